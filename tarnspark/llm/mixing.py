@@ -21,6 +21,8 @@ from tarnspark.llm._scratch import save
 #: Cells that the driver rakes itself and broadcasts; a larger table of cells is raked as a DataFrame.
 CELLS = 100_000
 ROUNDS, TOLERANCE = 200, 1e-9
+#: The part of all tokens that is kept.
+SHARE = 0.8
 #: Documents that the topics are fitted on, those of least hash of their id; dimensions of a document's vector; topics.
 TOPIC_SAMPLE, TOPIC_SPACE, TOPICS = 3_000, 512, 6
 DIMENSIONS = ("source", "lang", "topic")
@@ -85,12 +87,35 @@ def topic_column(centers: np.ndarray):
 # --- raking -----------------------------------------------------------------
 @dataclass
 class Raked:
-    """``weights``: a DataFrame of the dimensions and ``weight``; ``bounded``: whether it has ``CELLS`` rows at most."""
+    """``weights``: a DataFrame of the dimensions, ``mass`` and ``weight``; ``bounded``: whether it has ``CELLS`` rows at most;
+    ``error``: the largest difference of a marginal share from its target."""
 
     weights: DataFrame
     bounded: bool
     error: float
 
+    def factor(self, budget: float) -> float:
+        """f such that probabilities min(1, f * weight) expect ``budget`` tokens, or all that have a weight."""
+        if self.bounded:
+            got = self.weights.toPandas()
+            m, w = got["mass"].to_numpy(float), got["weight"].to_numpy(float)
+            order = np.argsort(-w, kind="stable")
+            m, w = m[order], w[order]
+            full, rest = np.concatenate([[0.0], np.cumsum(m)]), np.append(np.cumsum((m * w)[::-1])[::-1], 0.0)
+            for k in range(len(w)):  # the k cells of largest weight have probability 1
+                f = (budget - full[k]) / rest[k] if rest[k] > 0 else 0.0
+                if f * w[k] <= 1:
+                    return max(f, 0.0)
+            return 1 / w[w > 0].min() if (w > 0).any() else 1.0
+        spent = lambda f: self.weights.agg(F.sum(F.least(F.lit(1.0), F.col("weight") * f) * F.col("mass"))).first()[0] or 0.0
+        low, high = 0.0, 1.0
+        while spent(high) < budget and high < 1e9:
+            low, high = high, high * 4
+        for _ in range(30):
+            middle = (low + high) / 2
+            low, high = (middle, high) if spent(middle) < budget else (low, middle)
+        return high
+
 
 def rake_cells(codes: Sequence[np.ndarray], mass: np.ndarray, shares: Sequence[np.ndarray], rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Weights of cells so that each dimension's shares of ``mass * weight`` are those given, as nearly as can be; the largest error left."""
@@ -141,8 +166,8 @@ def rake(cells: DataFrame, targets: Mapping[str, Target], bound: int = CELLS, ro
             codes.append(code)
             shares.append(np.array([goal[v] for v in values]))
         w, error = rake_cells(codes, mass, shares, rounds) if len(got) else (np.zeros(0), 0.0)
-        rows = [(*r, float(x)) for r, x in zip(got[dims].itertuples(index=False), w, strict=True)]
-        return Raked(spark.createDataFrame(rows, ", ".join(f"{d} string" for d in dims) + ", weight double"), True, error)
+        rows = [(*r, float(x)) for r, x in zip(got[[*dims, "mass"]].itertuples(index=False), w, strict=True)]
+        return Raked(spark.createDataFrame(rows, ", ".join(f"{d} string" for d in dims) + ", mass double, weight double"), True, error)
     total = cells.agg(F.sum("mass")).first()[0]
     state, goals = save(cells.withColumn("weight", F.lit(1.0)), "rake"), {}
     for d in dims:  # values of one dimension are far fewer than cells; their targets are computed where the function is
@@ -158,7 +183,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Target], bound: int = CELLS, ro
             state = save(state.join(have.select(d, "f"), d).select(*dims, "mass", (F.col("weight") * F.col("f")).alias("weight")), "rake")
         if error < TOLERANCE:
             break
-    return Raked(state.select(*dims, "weight"), False, error)
+    return Raked(state.select(*dims, "mass", "weight"), False, error)
 
 
 def uniform(*keys: Column, seed: int = 0) -> Column:
@@ -169,32 +194,19 @@ def uniform(*keys: Column, seed: int = 0) -> Column:
 DEFAULT_TARGETS: dict[str, Target] = {"source": tempered(0.8), "lang": tempered(0.8), "topic": tempered(0.9)}
 
 
-def sampled(docs: DataFrame, targets: Mapping[str, Target] = DEFAULT_TARGETS, budget: float | None = None, seed: int = 0, topics: int = TOPICS) -> DataFrame:
+def sampled(docs: DataFrame, targets: Mapping[str, Target] = DEFAULT_TARGETS, share: float = SHARE, seed: int = 0, topics: int = TOPICS) -> DataFrame:
     """``docs`` with a struct column ``_mix``: tokens, topic, weight, probability, kept.
 
-    Probabilities are proportional to the raked weights.  Without ``budget`` the factor is the largest that
-    needs no probability over 1, so that the kept tokens' expected shares are the targets; a budget of
-    tokens sets the factor such that as many are expected, with probabilities cut at 1.  Null source or
-    language is a value of its own.  The decision depends on the id and the seed, so repeated rows
+    Probabilities are proportional to the raked weights and cut at 1; the factor is calibrated so that ``share`` of
+    all tokens is expected to be kept.  Null source or language is a value of its own.  The decision depends on the id and the seed, so repeated rows
     share it; a null id takes the hash of the text.  An empty table stays empty.
     """
     described = docs.withColumn("_d", topic_column(fit_topics(docs, topics))("text"))
     own = {d: F.coalesce(F.col(d).cast("string"), F.lit(NONE)) if d != "topic" else F.col("_d.topic") for d in targets}
     cells = save(described.groupBy(*(c.alias(d) for d, c in own.items())).agg(F.sum("_d.tokens").cast("double").alias("mass")), "cells")
     raked = rake(cells, targets)
-    weighed = cells.join(F.broadcast(raked.weights) if raked.bounded else raked.weights, list(own))
-    if budget is None:
-        top = weighed.agg(F.max("weight")).first()[0] or 1.0
-        factor = 1 / top
-    else:
-        low, high = 0.0, 1.0
-        spent = lambda f: weighed.agg(F.sum(F.least(F.lit(1.0), F.col("weight") * f) * F.col("mass"))).first()[0] or 0.0
-        while spent(high) < budget and high < 1e9:
-            high *= 4
-        for _ in range(40):
-            middle = (low + high) / 2
-            low, high = (middle, high) if spent(middle) < budget else (low, middle)
-        factor = high
+    total = cells.agg(F.sum("mass")).first()[0] or 0.0
+    factor = raked.factor(share * total)
     names = {d: f"_w_{d}" for d in own}
     weights = raked.weights.select(*(F.col(d).alias(n) for d, n in names.items()), F.col("weight").alias("_weight"))
     weights = F.broadcast(weights) if raked.bounded else weights

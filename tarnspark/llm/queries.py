@@ -66,7 +66,7 @@ WITH RECURSIVE words AS (
 ), sets AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []
     WHEN len(w) < 4 THEN [array_to_string(w, chr(32))]
-    ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], chr(32))) END) AS s FROM words
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], chr(32))) END) AS s FROM words
 ), tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets
 ), pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
@@ -81,7 +81,7 @@ WITH p AS (
   SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages
 ), f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
 SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
-  translate(array_to_string(list_transform(range(0, 4), i -> lpad(to_base(CAST('0x' || substr(d, CAST(10 * i + 1 AS INT), 10) AS BIGINT), 32), 8, '0')), ''),
+  translate(array_to_string(list_transform(range(0, 4), lambda i: lpad(to_base(CAST('0x' || substr(d, CAST(10 * i + 1 AS INT), 10) AS BIGINT), 32), 8, '0')), ''),
     '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to FROM f
@@ -89,8 +89,8 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
 
 _TOPK = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64e0 * CAST(x AS DOUBLE))) AS w FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64e0 * CAST(x AS DOUBLE))) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
