@@ -1,0 +1,132 @@
+"""Ingest: unit conversion, quality control, accumulation, deduplication and incremental append."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tarnspark.functions import physics as ph
+
+#: Largest plausible change in one step.
+SPIKES = {"t2m": 20.0, "d2m": 20.0, "sp": 5000.0, "strd": 200.0}
+
+
+def convert_surface(df: DataFrame, step_seconds: float = 3600.0) -> DataFrame:
+    """Accumulated fluxes to W/m2, precipitation to mm, geopotential to m; absent columns are skipped."""
+    rules = {**{v: F.col(v) / step_seconds for v in ("ssrd", "strd", "tisr")}, "tp": F.col("tp") * 1000.0, "z_surf": F.col("z_surf") / ph.G}
+    return df.withColumns({k: e for k, e in rules.items() if k in df.columns})
+
+
+def convert_levels(df: DataFrame) -> DataFrame:
+    """Geopotential to m; humidity in percent (largest value over 1.1) to a fraction; q from it where it is absent."""
+    out = df.withColumn("z", F.col("z") / ph.G) if "z" in df.columns else df
+    if "r" in df.columns:
+        top = df.agg(F.max("r").alias("_top"))
+        out = out.crossJoin(F.broadcast(top)).withColumn("r", F.when(F.col("_top") > 1.1, F.col("r") / 100.0).otherwise(F.col("r"))).drop("_top")
+        if "q" not in df.columns:
+            out = out.withColumn("q", ph.q_from_rh(F.col("r"), F.col("t"), F.col("level") * 100.0))
+    return out
+
+
+def repair_spikes(df: DataFrame, thresholds: Mapping[str, float], key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Single values that leave and come back by more than the threshold become the mean of their neighbours."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    fixed = {}
+    for v, limit in thresholds.items():
+        if v in df.columns:
+            before, after = F.lag(v).over(w), F.lead(v).over(w)
+            into, out = F.col(v) - before, after - F.col(v)
+            spike = (F.abs(into) > limit) & (F.abs(out) > limit) & (F.signum(into) != F.signum(out))
+            fixed[v] = F.when(spike, (before + after) * 0.5).otherwise(F.col(v))
+    return df.withColumns(fixed)
+
+
+def rolling_sum(df: DataFrame, value: str, n: int, key: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """The trailing sum of ``n`` rows, fewer at the start."""
+    return df.withColumn(name, F.sum(value).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(-(n - 1), 0)))
+
+
+def dedup_first(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """The first row of each key: a partial minimum by order, no window over whole groups."""
+    rest = [c for c in df.columns if c not in key]
+    ranks = [F.col(o) if isinstance(o, str) else o for o in order]
+    picked = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*(r.alias(f"o{i}") for i, r in enumerate(ranks)))).alias("_p"))
+    return picked.select(*key, *(F.col(f"_p.{c}").alias(c) for c in rest)).select(*df.columns)
+
+
+def day_spine(df: DataFrame, time: str = "time") -> DataFrame:
+    """(day): every day from the first to the last."""
+    return df.agg(F.min(F.to_date(time)).alias("a"), F.max(F.to_date(time)).alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
+
+
+def missing_days(df: DataFrame, time: str = "time") -> DataFrame:
+    return day_spine(df, time).join(df.select(F.to_date(time).alias("day")).distinct(), "day", "left_anti")
+
+
+def append_newer(stored: DataFrame, incoming: DataFrame, time: str = "time") -> DataFrame:
+    """``stored`` and the incoming rows after its last time; what is late is dropped."""
+    last = stored.agg(F.max(time).alias("_last"))
+    fresh = incoming.crossJoin(F.broadcast(last)).where(F.col("_last").isNull() | (F.col(time) > F.col("_last"))).drop("_last")
+    return stored.unionByName(fresh)
+
+
+def merge_versions(df: DataFrame, key: Sequence[str], version: str, values: Sequence[str], final: int = 1, preliminary: int = 5) -> DataFrame:
+    """One row per key with the final version's values, the preliminary one's where they are missing."""
+    pick = lambda v, k: F.max(F.when(F.col(version) == k, F.col(v)))
+    return df.groupBy(*key).agg(*(F.coalesce(pick(v, final), pick(v, preliminary)).alias(v) for v in values))
+
+
+def modal_step(df: DataFrame, key: Sequence[str], order: Sequence[str], time: str = "time") -> DataFrame:
+    """(key, step_s): the most frequent difference of neighbouring times in seconds, the smallest of equals."""
+    step = F.unix_timestamp(F.col(time).cast("timestamp")) - F.unix_timestamp(F.lag(time).over(Window.partitionBy(*key).orderBy(*order)).cast("timestamp"))
+    counted = df.select(*key, step.alias("step_s")).where("step_s is not null").groupBy(*key, "step_s").count()
+    return counted.groupBy(*key).agg(F.max_by("step_s", F.struct("count", -F.col("step_s"))).alias("step_s"))
+
+
+def fit_lapse_rate(levels: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, gamma): the least-squares slope of t over z; -0.0065 for fewer than two levels or no spread."""
+    ok = F.col("t").isNotNull() & F.col("z").isNotNull()
+    s = lambda e: F.sum(F.when(ok, e))
+    sums = levels.groupBy(*key).agg(F.count(F.when(ok, 1)).alias("n"), s(F.col("z")).alias("sz"), s(F.col("t")).alias("st"), s(F.col("z") * F.col("t")).alias("szt"), s(F.col("z") * F.col("z")).alias("szz"))
+    denominator = F.col("n") * F.col("szz") - F.col("sz") * F.col("sz")
+    slope = (F.col("n") * F.col("szt") - F.col("sz") * F.col("st")) / denominator
+    return sums.select(*key, F.when((F.col("n") >= 2) & (F.abs(denominator) > 1e-12), slope).otherwise(-0.0065).alias("gamma"))
+
+
+def synthesize_longwave(df: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """``df`` with strd from t2m, d2m, ssrd: clouds by day from the clearness, by night the day's mean, 0.5 without any."""
+    elevation, _ = ph.solar_geometry(F.col("time"), F.col(lat), F.col(lon))
+    toa = ph.toa_shortwave(elevation)
+    cloud = F.when(toa > 1.0, 1.0 - ph.clip(F.col("ssrd") / toa, 0.0, 1.0))
+    out = df.withColumn("_cf", cloud)
+    mean = F.avg("_cf").over(Window.partitionBy(lat, lon, F.to_date("time")))
+    return out.withColumn("_cf", F.coalesce("_cf", mean, F.lit(0.5))).withColumn("strd", ph.cloudy_longwave(F.col("t2m"), F.col("d2m"), F.col("_cf"))).drop("_cf")
+
+
+def in_bbox(lat: Column, lon: Column, west: float, south: float, east: float, north: float) -> Column:
+    """A box with west > east crosses the antimeridian."""
+    across = (lon >= west) & (lon <= east) if west <= east else (lon >= west) | (lon <= east)
+    return (lat >= south) & (lat <= north) & across
+
+
+def wrap_longitude(lon: Column) -> Column:
+    """0..360 to -180..180."""
+    return ph.mod360(lon + 180.0) - 180.0
+
+
+def in_days(time: Column, start: str, end: str) -> Column:
+    """Both days included, as a range that prunes partitions and reaches the scan."""
+    return (time >= F.lit(start).cast("timestamp_ntz")) & (time < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
+
+
+def every_hours(time: Column, n: int) -> Column:
+    return F.hour(time) % n == 0
+
+
+def modal_level_set(levels: DataFrame, key: str) -> DataFrame:
+    """The rows of the keys (files, days) whose set of levels is the most frequent one."""
+    sets = levels.groupBy(key).agg(F.array_sort(F.collect_set("level")).alias("_set"))
+    top = sets.groupBy("_set").count().orderBy(F.desc("count"), "_set").limit(1)
+    return levels.join(sets.join(F.broadcast(top), "_set").select(key), key, "left_semi")
