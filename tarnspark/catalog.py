@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnspark.functions import physics as ph
-from tarnspark.operators import aggregate, checks, downscale, graph, ingest, interp, redistribute, terrain, units
+from tarnspark.operators import aggregate, checks, downscale, graph, grids, ingest, interp, redistribute, terrain, units
 from tarnspark.sources.adapter import LAT0, LON0, N_LAT, N_LON, STEP, Views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -686,3 +686,55 @@ def domain_summary(v: Views) -> DataFrame:
     return aggregate.domain_summary(v.units)
 
 
+
+
+@query(f""", k AS (SELECT k, exp(-k*k/8e0) AS w FROM range(-6, 7) t(k)
+), a AS (SELECT r, c+k AS c, sum(w*elevation) AS s, sum(w) AS w FROM dem CROSS JOIN k GROUP BY 1, 2
+), b AS (SELECT r+k AS r, c, sum(k.w*s) AS s, sum(k.w*a.w) AS w FROM a CROSS JOIN k GROUP BY 1, 2)
+SELECT r, c, {r("b.s/b.w", 4)} AS elevation FROM b JOIN dem USING (r, c)""".replace("JOIN dem USING (r, c)", "JOIN (SELECT r, c FROM dem) d USING (r, c)"))
+def gaussian_smooth(v: Views) -> DataFrame:
+    return grids.smooth(v.dem, 2.0).select("r", "c", _r("elevation", 4))
+
+
+@query(""", t AS (SELECT 1 AS tile, r, c, elevation FROM dem WHERE c < 30 UNION ALL SELECT 2, r, c, elevation + 1e0 FROM dem WHERE c >= 20)
+SELECT r, c, min_by(elevation, tile) AS elevation FROM t GROUP BY 1, 2""")
+def stitch_tiles(v: Views) -> DataFrame:
+    a = v.dem.where("c < 30").withColumn("tile", F.lit(1))
+    b = v.dem.where("c >= 20").withColumns({"tile": F.lit(2), "elevation": F.col("elevation") + 1.0})
+    return grids.stitch_tiles(a.unionByName(b))
+
+
+@query(""", d AS (SELECT r, c, CASE WHEN r >= 1 AND c BETWEEN 5 AND 40 THEN elevation END AS elevation FROM dem
+), b AS (SELECT min(r) AS ar, max(r) AS br, min(c) AS ac, max(c) AS bc FROM d WHERE elevation IS NOT NULL)
+SELECT CAST(r - ar AS INT) AS r, CAST(c - ac AS INT) AS c, elevation FROM d, b WHERE r BETWEEN ar AND br AND c BETWEEN ac AND bc""")
+def trim_nodata(v: Views) -> DataFrame:
+    return grids.trim_nodata(v.dem.withColumn("elevation", F.when((F.col("r") >= 1) & F.col("c").between(5, 40), F.col("elevation")))).select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "elevation")
+
+
+@query(f""", b AS (SELECT surface_type, min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM units GROUP BY 1
+), x AS (SELECT *, 1000e0/(cos(radians((s+n)/2e0))*111320e0) AS dx, 1000e0/111320e0 AS dy FROM b)
+SELECT surface_type, {r("w-dx", 8)} AS west, {r("s-dy", 8)} AS south, {r("e+dx", 8)} AS east, {r("n+dy", 8)} AS north FROM x""")
+def patch_boxes(v: Views) -> DataFrame:
+    return grids.group_boxes(v.units, "surface_type", 1000.0).select("surface_type", _r("west", 8), _r("south", 8), _r("east", 8), _r("north", 8))
+
+
+@query(f""", p AS (SELECT r, c, elevation AS x, c*100e0 AS y, unit_idx AS k FROM (SELECT * FROM dem WHERE r < 12) JOIN membership USING (r, c) WHERE unit_idx >= 0
+), d AS (SELECT a.r, a.c, a.k, b.k AS o, sum(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) AS s, count(*) AS n FROM p a CROSS JOIN p b GROUP BY 1, 2, 3, 4
+), m AS (SELECT r, c, max(CASE WHEN o = k THEN s/(n-1) END) AS a, min(CASE WHEN o <> k THEN s/n END) AS b FROM d GROUP BY 1, 2)
+SELECT {r("avg((b-a)/greatest(a,b))", 6)} AS silhouette FROM m""")
+def silhouette(v: Views) -> DataFrame:
+    px = v.dem.where("r < 12").join(v.membership, ["r", "c"]).where("unit_idx >= 0").select("unit_idx", F.col("elevation").alias("x"), (F.col("c") * 100.0).alias("y"))
+    return grids.silhouette(px, ["x", "y"], "unit_idx").select(_r("silhouette", 6))
+
+
+@query(f""", a AS (SELECT time, cell, t2m, NULL::DOUBLE AS tp FROM surface WHERE cell < 15), b AS (SELECT time, cell, t2m + 1e0 AS t2m, tp FROM surface WHERE cell >= 10)
+SELECT coalesce(a.time, b.time) AS time, coalesce(a.cell, b.cell) AS cell, {r("coalesce(a.t2m, b.t2m)", 6)} AS t2m, {r("coalesce(a.tp, b.tp)", 8)} AS tp FROM a FULL JOIN b ON a.time = b.time AND a.cell = b.cell""")
+def source_merge(v: Views) -> DataFrame:
+    a = v.surface.where("cell < 15").select("time", "cell", "t2m")
+    b = v.surface.where("cell >= 10").select("time", "cell", (F.col("t2m") + 1.0).alias("t2m"), "tp")
+    return grids.outer_merge([a, b], ["time", "cell"], ["t2m", "tp"]).select("time", "cell", _r("t2m", 6), _r("tp", 8))
+
+
+@query("SELECT time, CAST(floor((epoch(time) - epoch(TIMESTAMP '2024-01-01'))/3600e0/504e0) AS INT) + 975 AS chunk FROM hours")
+def archive_chunks(v: Views) -> DataFrame:
+    return v.hours.select("time", grids.chunk_id(F.col("time")).alias("chunk"))

@@ -5,7 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tarnspark.operators import aggregate, checks, downscale, graph, ingest, interp, redistribute, terrain, units
+from tarnspark.functions import boxes, sql
+from tarnspark.operators import aggregate, checks, downscale, graph, grids, ingest, interp, redistribute, terrain, units
 from tarnspark.plans import planner
 from tarnspark.plans.config import Config
 from tarnspark.sources import registry, store
@@ -227,3 +228,38 @@ def test_stream_appends_once(spark, tmp_path):
     q = append.append_to(stream, out, str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(out).count() == 3
+
+
+def test_smoothing_keeps_a_constant(spark):
+    dem = spark.createDataFrame([(r, c, None if (r, c) == (2, 2) else 7.0) for r in range(5) for c in range(5)], "r int, c int, elevation double")
+    got = grids.smooth(dem).collect()
+    assert len(got) == 24 and all(x["elevation"] == pytest.approx(7.0) for x in got)
+
+
+def test_grid_trim_and_boxes(spark):
+    assert grids.regular_grid(spark, 76.1, 42.1, 76.9, 42.9).count() == 9
+    dem = spark.createDataFrame([(r, c, 1.0 if 1 <= r <= 2 and c == 3 else None) for r in range(4) for c in range(5)], "r int, c int, elevation double")
+    assert rows(grids.trim_nodata(dem).select("r", "c")) == [(0, 0), (1, 0)]
+    assert boxes.split((170, -1, -170, 1)) == [(170, -1, 180.0, 1), (-180.0, -1, -170, 1)]
+    assert boxes.parse_crs("utm32n") == "EPSG:32632" and boxes.parse_crs(4326) == "EPSG:4326"
+    with pytest.raises(ValueError):
+        boxes.parse_crs("moon")
+
+
+def test_best_k_finds_two_blobs(spark):
+    px = spark.createDataFrame([(float(k % 5) * 0.01 + 10.0 * (k % 2),) for k in range(40)], "x double")
+    assert grids.best_k(px, ["x"], [2, 3])[0][0] == 2
+
+
+def test_sql_functions_are_inlined(spark):
+    names = sql.register(spark)
+    assert "wind_direction" in names
+    df = spark.sql("SELECT wind_direction(CAST(id AS DOUBLE), -1D) AS d, lapse_temperature(280D, 0D, 1000D) AS t FROM range(3)")
+    assert df.first()["d"] == 0.0 and df.first()["t"] == pytest.approx(273.5)
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_page_arrays(spark):
+    f = spark.createDataFrame([(1, T0 + dt.timedelta(hours=h), float(h // 24)) for h in range(48)], "unit_id int, time timestamp_ntz, temperature double")
+    got = grids.hourly_to_page(f, {"temperature": 10.0}).first()
+    assert got["temperature"] == [0, 10] and len(got["days"]) == 2
