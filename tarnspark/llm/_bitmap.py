@@ -29,13 +29,15 @@ def members(df: DataFrame, *keys: str) -> bytes:
     return bytes(out)
 
 
+def holds(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def member_column(bits: bytes, *keys: str) -> Column:
     """True for every key that was there, and for few others."""
 
     @F.arrow_udf("boolean")
     def member(slots: pa.Array) -> pa.Array:
-        s = slots.to_numpy(zero_copy_only=False)
-        held = np.frombuffer(bits, np.uint8)
-        return pa.array((held[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool))
+        return pa.array(holds(np.frombuffer(bits, np.uint8), slots.to_numpy(zero_copy_only=False)))
 
     return member(slot_of(*keys))

@@ -6,10 +6,12 @@ setting gets a temporary folder of its own.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _RUN = f"tarnspark-{uuid.uuid4().hex}"
 _LOCAL: dict[str, str] = {}
@@ -34,6 +36,22 @@ def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a saved table that nothing will read again, and let Spark remove the shuffles that led to it."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"/{_RUN}/" in file:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Collect garbage in the driver, so that files of shuffles which nothing refers to any more are removed."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every table that this process saved.  Call it when no result still reads them."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{_RUN}")
@@ -47,3 +65,15 @@ def free_name(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def bounded_sample(df: DataFrame, keys: list[str], bound: int) -> DataFrame:
+    """At most ``bound`` rows of ``df``, those of least hash of ``keys``; all rows if there are no more.
+
+    Rows over the quantile that the bound asks for are dropped where they lie, so that the final order sees
+    about ``bound`` rows, not as many from each partition.
+    """
+    n = df.count()
+    if n > bound:
+        df = df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int((1 << 40) * bound / n))
+    return df.orderBy(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)), *keys).limit(bound)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
-SLICE = 1 << 20
+SLICE = 1 << 18
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _WHITE = np.zeros(256, bool)
@@ -62,6 +62,13 @@ class RangeHash:
         return mix(raw + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of few, so that what is made of a batch stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,15 +1,17 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Texts with the same shingle set are one node.  Similar nodes are first put into groups: nodes that
-agree in a band of min-hashes are compared with the band's smallest node, and those that link are
-joined (only verified links count).  A group is cut into parts of a bounded number of tokens, and each part
-stores the union of its members' tokens.  A member can link with a member of another group only if
-a token of its prefix (its rarest tokens) is in the other's prefixes, and only if its
+Texts with the same shingle set are one node.  Similar nodes are put into groups: nodes that
+agree in a band of min-hashes share a group.  A group is cut into parts of a bounded number of tokens, and each part
+stores the union of its members' tokens.  A member can link with a member of another part only if
+enough tokens of its prefix (its rarest tokens) are in the other's prefixes, and only if its
 overlap with the other part's union reaches the size that the threshold asks for; only such parts are
-opened and their members compared exactly.  The links give connected components.
+opened, and overlaps counted with all members at once.  The links give connected components.
+
+Before that, each node is compared with the smallest node of its bands.  The links found so join near copies in time
+proportional to their number; parts that lie within one such component aren't compared again.
 
 The order in which tokens count as rare comes from an array of levels of a fixed size, made from how many
-texts have a token in a first prefix.  Any order gives the same links; a good one opens fewer groups.
+texts have a token in their prefixes.  Any order gives the same links; a good one opens fewer parts.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnspark.llm import _text
-from tarnspark.llm._bitmap import member_column, members
-from tarnspark.llm._scratch import save
+from tarnspark.llm._bitmap import holds, member_column, members, slot_of
+from tarnspark.llm._scratch import drop, save
 from tarnspark.llm.components import components
 
 #: Min-hash bands that propose groups, and hashes in each.
 BANDS, ROWS = 8, 3
+#: Times that the order of tokens is made better.
+ROUNDS = 1
 #: Slots of the array of levels (a byte each), and tokens of a part of a group, about.
 SLOTS = 1 << 22
 PART_TOKENS = 1 << 16
@@ -85,7 +89,7 @@ def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n, node, bands, prefix) of every row; node and bands are null for an empty set."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.pieces(batches):
             n, nodes, bands, prefix = [], [], [], []
             for tokens in _text.row_shingle_sets(batch["text"], k):
                 n.append(len(tokens))
@@ -121,7 +125,7 @@ def ranked_prefixes(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(sent.value, np.uint8)
-        for batch in batches:
+        for batch in _text.pieces(batches):
             sets = [t for t in _text.row_shingle_sets(batch["text"], k) if len(t)]
             columns = [pa.array([_node(t) for t in sets], pa.binary()), pa.array([len(t) for t in sets], pa.int64()), _lists([_prefix(t, percent, level) for t in sets])]
             yield pa.RecordBatch.from_arrays(columns, ["node", "n", "prefix"])
@@ -134,15 +138,17 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     Texts are read where they lie; a bit array of a fixed size tells which rows may be wanted.
     """
-    bits = members(wanted, "doc_id")
+    sent = docs.sparkSession.sparkContext.broadcast(members(wanted, "doc_id"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = list(_text.row_shingle_sets(batch["text"], k))
+        bits = np.frombuffer(sent.value, np.uint8)
+        for batch in _text.pieces(batches):
+            may = batch.filter(pa.array(holds(bits, batch["slot"].to_numpy(zero_copy_only=False))))
+            held = list(_text.row_shingle_sets(may["text"], k))
             yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in held], pa.binary()), pa.array([t.tobytes() for t in held], pa.binary())], ["node", "tokens"])
 
-    may = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(member_column(bits, "doc_id"))
-    made = may.select("text").mapInArrow(tokens, "node binary, tokens binary")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(slot_of("doc_id").alias("slot"), "text")
+    made = keyed.mapInArrow(tokens, "node binary, tokens binary")
     return made.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
@@ -150,89 +156,185 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     """The rows (a, b, x, y) whose sets x and y link, as (a, b)."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.pieces(batches, 64):
             keep = [i for i, (x, y) in enumerate(zip(batch["x"], batch["y"], strict=True)) if links(_tokens(x), _tokens(y), percent)]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return pairs.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary")
 
 
-def star_links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links between a node and the smallest node of a band that both share: BANDS at most for each node."""
+def star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a node and the smallest node of a band that both share, BANDS at most for each node."""
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     smallest = banded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("m"), F.count("*").alias("c")).where("c > 1")
     smallest = save(smallest.select("band", F.col("m.node").alias("b"), F.col("m.n").alias("bn")), "bands")
     close = 100 * F.least("n", "bn") >= percent * F.greatest("n", "bn")
-    pairs = save(banded.join(smallest, "band").where((F.col("node") != F.col("b")) & close).select(F.col("node").alias("a"), "b").distinct(), "star-pairs")
+    return save(banded.join(smallest, "band").where((F.col("node") != F.col("b")) & close).select(F.col("node").alias("a"), "b").distinct(), "star-pairs")
+
+
+def star_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that link."""
     named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = save(sets_of(docs, save(nodes.join(named, "node", "left_semi").select("node", "doc_id"), "star-nodes"), k), "star-sets", "uncompressed")
     left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return save(_verified(pairs.join(left, "a").join(right, "b"), percent), "star-links")
+    found = save(_verified(pairs.join(left, "a").join(right, "b"), percent), "star-links")
+    drop(sets)
+    return found
 
 
-def grouped(nodes: DataFrame, stars: DataFrame) -> DataFrame:
-    """(node, doc_id, n, g, part) of the nodes in groups: label of the group, and part of it by the hash of the node."""
-    labels = components(stars)
-    placed = save(nodes.select("node", "doc_id", "n").join(labels, "node").select("node", "doc_id", "n", F.xxhash64("label").alias("g")), "placed")
-    parts = save(placed.groupBy("g").agg(F.ceil(F.sum("n") / PART_TOKENS).alias("p")), "parts")
-    return save(placed.join(parts, "g").select("node", "doc_id", "n", "g", F.pmod(F.xxhash64("node"), F.col("p")).cast("int").alias("part")), "groups")
+def grouped(nodes: DataFrame, pairs: DataFrame, stars: DataFrame) -> DataFrame:
+    """(node, doc_id, n, g, part, v) of the nodes in groups: g the group, v what verified links join.
+
+    A verified component of more than a part's tokens has parts of its own, by the hash of the node; the others of a
+    group are dealt to parts by the hash of v.
+    """
+    own = nodes.select("node", "doc_id", "n").join(components(pairs).withColumnRenamed("label", "group"), "node")
+    own = own.join(components(stars), "node", "left").select("node", "doc_id", "n", F.xxhash64("group").alias("g"), F.xxhash64(F.coalesce("label", "node")).alias("v"))
+    own = save(own, "placed")
+    joined = save(own.groupBy("g", "v").agg(F.sum("n").alias("vn")), "joined")
+    rest = F.sum(F.when(F.col("vn") <= PART_TOKENS, F.col("vn")))
+    sizes = save(joined.groupBy("g").agg(F.coalesce(F.ceil(rest / PART_TOKENS), F.lit(1)).alias("p")), "sizes")
+    large = save(joined.where(F.col("vn") > PART_TOKENS).select("g", "v", F.ceil(F.col("vn") / PART_TOKENS).alias("vp")), "large")
+    both = own.join(sizes, "g").join(large, ["g", "v"], "left")
+    part = F.when(F.col("vp").isNotNull(), F.xxhash64("v", F.pmod(F.xxhash64("node"), F.col("vp")))).otherwise(F.pmod(F.xxhash64("v"), F.col("p")))
+    return save(both.select("node", "doc_id", "n", "g", part.alias("part"), "v"), "groups")
+
+
+_MEMBER = pa.struct([("node", pa.binary()), ("tokens", pa.binary())])
 
 
 def _matrix_rows(key: tuple, table: pa.Table) -> pa.Table:
-    """One row of the matrix: a part of a group with its token union and its members."""
-    sets = [_tokens(t) for t in table["tokens"].combine_chunks()] if table["tokens"].num_chunks else []
+    """One row of the matrix: a part with its token union and its members."""
+    sets = [_tokens(t) for t in table["tokens"]]
     union = np.unique(np.concatenate(sets)) if len(sets) > 1 else sets[0]
     members_ = [{"node": n.as_py(), "tokens": t.tobytes()} for n, t in zip(table["node"], sets, strict=True)]
     return pa.table(
-        [pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int32()), pa.array([union.tobytes()], pa.binary()), pa.array([members_], pa.list_(pa.struct([("node", pa.binary()), ("tokens", pa.binary())])))],
+        [pa.array([k.as_py()], pa.int64()) for k in key] + [pa.array([union.tobytes()], pa.binary()), pa.array([members_], pa.list_(_MEMBER))],
         names=["g", "part", "union", "members"],
     )
 
 
-def _opened(percent: int):
-    """Bound each member's overlap with the other part's union; where it suffices, compare it with the members."""
+def part_links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndarray]], union: np.ndarray, percent: int, most: int = 1 << 22) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links between members of two parts (or of one, given twice).
+
+    Members whose overlap with ``union``, the tokens of ``right``, can't suffice are passed by; for the others the overlaps with all
+    members of ``right`` are counted from their postings, ``most`` at a time.
+    """
+    tokens = np.concatenate([t for _, t in right])
+    owner = np.repeat(np.arange(len(right)), [len(t) for _, t in right])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    sizes = np.array([len(t) for _, t in right])
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    found = []
+    for node, own in left:
+        if len(np.intersect1d(own, union, assume_unique=True)) < required(len(own), percent):
+            continue
+        a, b = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+        overlap = np.zeros(len(right), np.int64)
+        for i, j in _ranges(b - a, most):
+            hits = np.repeat(a[i:j], (b - a)[i:j]) + _within((b - a)[i:j])
+            overlap += np.bincount(owner[hits], minlength=len(right))
+        for k in np.flatnonzero(100 * overlap >= percent * (len(own) + sizes - overlap)):
+            x, y = find(node), find(right[k][0])
+            if x != y:
+                root[x] = y
+                found.append((node, right[k][0]))
+    return found
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each run of the given lengths."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def _ranges(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    i, total = 0, np.cumsum(counts)
+    while i < len(counts):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
+
 
+def _opened(percent: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.pieces(batches, 4):
             found: list[tuple[bytes, bytes]] = []
-            for m1, m2, u1, u2 in zip(batch["m1"], batch["m2"], batch["u1"], batch["u2"], strict=True):
-                few, many, union = (m1, m2, u2) if len(m1) <= len(m2) else (m2, m1, u1)
-                union, others = _tokens(union), [(m["node"].as_py(), _tokens(m["tokens"])) for m in many]
-                for m in few:
-                    node, tokens = m["node"].as_py(), _tokens(m["tokens"])
-                    if len(np.intersect1d(tokens, union, assume_unique=True)) >= required(len(tokens), percent):
-                        found += [(node, other) for other, held in others if links(tokens, held, percent)]
+            for row in range(batch.num_rows):
+                m1, m2 = ([(m["node"].as_py(), _tokens(m["tokens"])) for m in batch[c][row]] for c in ("m1", "m2"))
+                few, many, union = (m1, m2, batch["u2"][row]) if len(m1) <= len(m2) else (m2, m1, batch["u1"][row])
+                found += part_links(few, many, _tokens(union), percent)
             columns = list(zip(*found, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["a", "b"])
 
     return compare
 
 
-def cross_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
-    """All links between members of different groups; a node outside of ``groups`` is a group of its own."""
-    ranked = save(ranked_prefixes(docs, k, percent, levels), "prefixes")
+def least_common(lo: Column, hi: Column, lo2: Column, hi2: Column, percent: int) -> Column:
+    """How many prefix tokens two parts with sets of these sizes must share at least, for any of their sets to link.
+
+    Of two linked sets, the one whose prefix ends first has all but its suffix among the shared prefix tokens: the
+    overlap is at most the shared ones and that suffix, and at least percent / (100 + percent) of both sizes.
+    """
+    share = percent / (100.0 + percent)
+    exact = F.ceil((hi + hi2) * share - 1e-6) - F.ceil(F.greatest(hi, hi2) * percent / 100.0 - 1e-6) + 1
+    large, small = F.greatest(hi, hi2), F.greatest(F.least(lo, lo2), F.greatest(lo, lo2) * percent / 100.0)
+    spread = F.ceil((large + small) * share - large * percent / 100.0 - 1e-6)  # the least over all sizes in between
+    return F.greatest(F.when((lo == hi) & (lo2 == hi2), exact).otherwise(spread), F.lit(1))
+
+
+def candidate_parts(ranked: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(g, part, g2, part2): parts that may hold linked sets, in one order, a part of several components with itself too."""
     may = ranked.withColumn("may", member_column(members(groups, "node"), "node"))
     alone: Column = F.xxhash64("node")
-    inside = may.where("may").drop("may").join(groups.select(F.col("node").alias("gn"), "g", "part"), F.col("node") == F.col("gn"), "left")
-    placed = may.where("not may").select("node", "n", "prefix", alone.alias("g"), F.lit(0).alias("part")).unionByName(
-        inside.select("node", "n", "prefix", F.coalesce("g", alone).alias("g"), F.coalesce("part", F.lit(0)).alias("part"))
+    inside = may.where("may").drop("may").join(groups.select(F.col("node").alias("gn"), "g", "part", "v"), F.col("node") == F.col("gn"), "left")
+    placed = may.where("not may").select("n", "prefix", alone.alias("g"), F.lit(0).cast("long").alias("part"), alone.alias("v")).unionByName(
+        inside.select("n", "prefix", F.coalesce("g", alone).alias("g"), F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("v", alone).alias("v"))
     )
-    tokens = placed.select("g", "part", "n", F.explode("prefix").alias("t"))
-    shared = tokens.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi")
+    tokens = placed.select("g", "part", "v", "n", F.explode("prefix").alias("t"))
+    shared = tokens.groupBy("t").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a != b")
     held = members(shared, "t")
-    index = save(tokens.where(member_column(held, "t")).groupBy("t", "g", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "index")
-    other = index.select("t", *(F.col(c).alias(f"{c}2") for c in ("g", "part", "lo", "hi")))
+    index = tokens.where(member_column(held, "t")).groupBy("t", "g", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("v").alias("va"), F.max("v").alias("vb"))
+    index = save(index, "index")
+    other = index.select("t", *(F.col(c).alias(f"{c}2") for c in ("g", "part", "lo", "hi", "va", "vb")))
     fits = (100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo"))
-    pairs = save(index.join(other, "t").where((F.col("g") < F.col("g2")) & fits).select("g", "part", "g2", "part2").distinct(), "group-pairs")
+    ordered = (F.col("g") < F.col("g2")) | ((F.col("g") == F.col("g2")) & (F.col("part") < F.col("part2")))
+    apart = (F.col("va") != F.col("vb")) | (F.col("va2") != F.col("vb2")) | (F.col("va") != F.col("va2"))
+    met = index.join(other, "t").where(ordered & fits & apart).groupBy("g", "part", "g2", "part2")
+    met = met.agg(F.count("*").alias("c"), *(f(x).alias(x) for x in ("lo", "lo2") for f in (F.min,)), *(f(x).alias(x) for x in ("hi", "hi2") for f in (F.max,)))
+    # sizes seen at the shared tokens only bound less than the parts' own, so those are taken
+    spans = save(placed.groupBy("g", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("v").alias("va"), F.max("v").alias("vb")).where("lo != hi or va != vb"), "spans")
+    one = spans.select("g", "part", F.col("lo").alias("slo"), F.col("hi").alias("shi"))
+    two = spans.select(F.col("g").alias("g2"), F.col("part").alias("part2"), F.col("lo").alias("slo2"), F.col("hi").alias("shi2"))
+    met = met.join(one, ["g", "part"], "left").join(two, ["g2", "part2"], "left")
+    ends = [F.coalesce(f"s{x}", x) for x in ("lo", "hi", "lo2", "hi2")]
+    pairs = met.where(F.col("c") >= least_common(*ends, percent)).select("g", "part", "g2", "part2")
+    mixed = spans.where("va != vb").select("g", "part", F.col("g").alias("g2"), F.col("part").alias("part2"))
+    return save(pairs.unionByName(mixed), "part-pairs")
+
+
+def cross_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links between members of the parts."""
+    alone: Column = F.xxhash64("node")
     named = save(pairs.select("g", "part").unionByName(pairs.select(F.col("g2").alias("g"), F.col("part2").alias("part"))).distinct(), "named")
     every = nodes.join(groups.select("node", "g", "part"), "node", "left").select("node", "doc_id", F.coalesce("g", alone).alias("g"), F.coalesce("part", F.lit(0)).alias("part"))
     wanted = save(every.join(named, ["g", "part"], "left_semi"), "wanted")
     sets = sets_of(docs, wanted, k).join(wanted.select("node", "g", "part"), "node")
-    matrix = save(sets.groupBy("g", "part").applyInArrow(_matrix_rows, "g long, part int, union binary, members array<struct<node:binary,tokens:binary>>"), "matrix", "uncompressed")
+    matrix = save(sets.groupBy("g", "part").applyInArrow(_matrix_rows, "g long, part long, union binary, members array<struct<node:binary,tokens:binary>>"), "matrix", "uncompressed")
     first = matrix.select("g", "part", F.col("union").alias("u1"), F.col("members").alias("m1"))
     second = matrix.select(F.col("g").alias("g2"), F.col("part").alias("part2"), F.col("union").alias("u2"), F.col("members").alias("m2"))
     opened = pairs.join(first, ["g", "part"]).join(second, ["g2", "part2"]).select("m1", "m2", "u1", "u2")
-    return save(opened.mapInArrow(_opened(percent), "a binary, b binary"), "cross-links")
+    found = save(opened.mapInArrow(_opened(percent), "a binary, b binary"), "cross-links")
+    drop(matrix)
+    return found
 
 
 def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -245,13 +347,22 @@ def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     seen = save(described(docs, k, percent), "described")
-    levels = token_levels(seen.select("prefix"))
     nodes = save(
         seen.where("node is not null").select("doc_id", "n", "node", "bands").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes"
     )
-    stars = star_links(docs, nodes, k, percent)
-    groups = grouped(nodes, stars)
-    found = save(stars.unionByName(cross_links(docs, nodes, groups, levels, k, percent)), "all-links")
+    levels = token_levels(seen.select("prefix"))
+    ranked = save(ranked_prefixes(docs, k, percent, levels), "prefixes")
+    for _ in range(ROUNDS):  # tokens that came into a prefix for a commoner one may be common too
+        levels = np.maximum(levels, token_levels(ranked.select("prefix")))
+        drop(ranked)
+        ranked = save(ranked_prefixes(docs, k, percent, levels), "prefixes")
+    pairs = star_pairs(nodes, percent)
+    stars = star_links(docs, nodes, pairs, k, percent)
+    groups = grouped(nodes, pairs, stars)
+    parts = candidate_parts(ranked, groups, percent)
+    drop(ranked)
+    crossed = cross_links(docs, nodes, groups, parts, k, percent)
+    found = save(stars.unionByName(crossed), "all-links")
     labels = components(found)
     rooted = save(nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("root")), "rooted")
     least = save(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")

@@ -68,10 +68,38 @@ def test_small_parts_and_few_bands_lose_nothing(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(ngram_join, "PART_TOKENS", 200)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_documents(df, 4, 85).collect()), key=str) == plain(rows, 4, 85)
-    monkeypatch.setattr(ngram_join, "star_links", lambda docs, nodes, k, percent: docs.sparkSession.createDataFrame([], "a binary, b binary"))
+    monkeypatch.setattr(ngram_join, "star_links", lambda docs, nodes, pairs, k, percent: docs.sparkSession.createDataFrame([], "a binary, b binary"))
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_documents(df, 4, 85).collect()), key=str) == plain(rows, 4, 85)
 
 
+def test_parts_are_compared_exactly():
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    base = rnd.integers(0, 2**63, 60).astype(np.uint64)
+    sets = []
+    for n in range(30):
+        t = base.copy()
+        t[rnd.integers(0, 60, rnd.integers(0, 8))] = rnd.integers(0, 2**63)
+        sets.append((bytes([n]), np.unique(t)))
+    left, right = sets[:12], sets[12:]
+    union = np.unique(np.concatenate([t for _, t in right]))
+    want = {frozenset((a, b)) for a, x in left for b, y in right if ngram_join.links(x, y, 85)}
+    for most in (1, 50, 1 << 22):
+        got = ngram_join.part_links(left, right, union, 85, most)
+        assert {frozenset(p) for p in got} <= want and len(got) <= len(sets) - 1
+
+        def blocks(pairs):
+            root = {bytes([n]): bytes([n]) for n in range(30)}
+            for p in pairs:
+                a, b = tuple(p)
+                a, b = root[a], root[b]
+                root = {k: (a if v == b else v) for k, v in root.items()}
+            return {frozenset(k for k in root if root[k] == v) for v in root.values()}
+
+        assert blocks(got) == blocks(want)
+
+
 def test_empty(spark):
     assert ngram_join.join_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert ngram_join.join_documents(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()[0].component_id == 1
