@@ -77,25 +77,26 @@ class Linear:
     bias: float
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 300) -> Linear:
+    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 120) -> Linear:
         """Logistic regression by accelerated gradient descent."""
         n, d = x.shape
         if not n or y.min() == y.max():
             p = (y.sum() + 1) / (n + 2)
             return cls(np.zeros(d), float(np.log(p / (1 - p))))
-        v = np.ones(d) / np.sqrt(d)  # largest eigenvalue of x'x by power iteration
+        v = np.full(d, 1 / np.sqrt(d), x.dtype)  # largest eigenvalue of x'x by power iteration
         for _ in range(12):
             v = x.T @ (x @ v)
             v /= np.linalg.norm(v) + 1e-12
         rate = 1 / (0.25 * (np.linalg.norm(x @ v) ** 2 * 1.1 + n) + penalty)
-        w, b = np.zeros(d), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
+        w, b = np.zeros(d, x.dtype), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
         pw, pb = w.copy(), b
         for k in range(steps):
             m = k / (k + 3)
-            yw, yb = w + m * (w - pw), b + m * (b - pb)
+            yw, yb = w + np.float32(m) * (w - pw), b + m * (b - pb)
             g = 1 / (1 + np.exp(-np.clip(x @ yw + yb, -30, 30))) - y
             pw, pb = w, b
-            w, b = yw - rate * (x.T @ g + penalty * yw), float(yb - rate * g.sum())
+            g = g.astype(x.dtype)
+            w, b = (yw - rate * (x.T @ g + penalty * yw)).astype(x.dtype), float(yb - rate * g.sum())
         return cls(w, b)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -115,7 +116,7 @@ class Chain:
     links: list[Linear]
 
     def matrix(self, rows: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        x = np.zeros((len(rows), len(self.kept)))
+        x = np.zeros((len(rows), len(self.kept)), np.float32)
         if len(self.kept):
             for r, (bins, counts) in enumerate(rows):
                 at = np.minimum(np.searchsorted(self.kept, bins), len(self.kept) - 1)
@@ -130,14 +131,14 @@ class Chain:
         chain = cls(_strongest(rows, last), tuple(names), [])
         x = chain.matrix(rows)
         part = np.random.default_rng(seed).permutation(len(rows)) % FOLDS
-        out_of_fold = np.zeros((len(rows), 0))
+        out_of_fold = np.zeros((len(rows), 0), np.float32)
         for k in range(len(chain.names)):
             z, target = np.hstack([x, out_of_fold]), y[:, k].astype(float)
             p = np.zeros(len(rows))
             for f in range(FOLDS if k + 1 < len(chain.names) else 0):
                 p[part == f] = Linear.fit(z[part != f], target[part != f]).predict(z[part == f])
             chain.links.append(Linear.fit(z, target))
-            out_of_fold = np.hstack([out_of_fold, p[:, None]])
+            out_of_fold = np.hstack([out_of_fold, p[:, None].astype(np.float32)])
         return chain
 
     def predict(self, rows: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
