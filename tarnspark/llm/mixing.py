@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnspark.llm import _text
-from tarnspark.llm._scratch import save
+from tarnspark.llm._scratch import bounded_sample, save
 
 #: Cells that the driver rakes itself and broadcasts; a larger table of cells is raked as a DataFrame.
 CELLS = 100_000
@@ -47,7 +47,7 @@ def _vectors(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
 
 def fit_topics(docs: DataFrame, topics: int = TOPICS, bound: int = TOPIC_SAMPLE) -> np.ndarray:
     """Centroids by spherical k-means over a bounded sample of documents."""
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(bound)
+    sample = bounded_sample(docs.select("doc_id", "text"), ["doc_id", "text"], bound)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnspark.llm import _text
+from tarnspark.llm._scratch import bounded_sample
 
 #: Labelled documents that the fit reads at most, those of least hash of their id.
 SAMPLE = 20_000
@@ -132,11 +133,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     Null ids or labels and labels other than 0 and 1 are left out; an id labelled more than once
     counts with its largest label.
     """
-    chosen = (
-        labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    )
+    marked = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    chosen = bounded_sample(marked, ["doc_id"], bound)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
 
 
