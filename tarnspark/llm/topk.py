@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Rows of a block of candidates and of queries.
 CANDIDATES, QUERIES = 8192, 4096
 #: Entries of the array of scores that is filled at once.
-TILE = 1 << 19
+TILE = 1 << 17
 
 
 def quantised(vector: Column, scale: int) -> Column:
@@ -60,7 +60,14 @@ def _search(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         least = np.iinfo(kind).min
         order = np.argsort(terms, kind="stable")
         cuts = np.searchsorted(terms[order], np.arange(dims + 1))
-        postings = [(rows[o], weights[o].astype(kind)) for o in np.split(order, cuts[1:-1])] if dims else []
+        postings = []
+        for o in np.split(order, cuts[1:-1]) if dims else []:
+            at, w = rows[o], weights[o].astype(kind)
+            if 4 * len(at) > m:  # a long list is held as a dense one, with weight 0 for the absent
+                dense = np.zeros(m, kind)
+                dense[at] = w
+                at, w = None, dense
+            postings.append((at, w))
         q_ids, q_keys = queries["query_id"].to_numpy(), queries["query_row"].to_numpy()
         q_cuts = np.searchsorted(q_rows, np.arange(len(q_ids) + 1))
         found: list[tuple[np.ndarray, ...]] = []
@@ -70,11 +77,12 @@ def _search(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             s = slice(q_cuts[a], q_cuts[b])
             table = np.zeros((dims, b - a), kind)  # the tile's query weights by term
             table[q_terms[s], q_rows[s] - a] = q_weights[s]
-            scores = np.zeros((b - a, m), kind)
+            scores, weighted = np.zeros((b - a, m), kind), np.empty((b - a, m), kind)
             for term in np.flatnonzero(table.any(1)):
                 at, w = postings[term]
-                if len(at) == m:
-                    scores += table[term][:, None] * w
+                if at is None:
+                    np.multiply(table[term][:, None], w, out=weighted)
+                    scores += weighted
                 elif len(at):
                     live = np.flatnonzero(table[term])
                     scores[np.ix_(live, at)] += table[term][live][:, None] * w
