@@ -130,12 +130,14 @@ def remove_runs(text: bytes, runs: list[tuple[int, int, bytes, int]]) -> tuple[b
                 gone[-1][1] = max(gone[-1][1], span[1])
             else:
                 gone.append(list(span))
-    parts, at = [], 0
+    parts, at, kept = [], 0, 0
     for a, b in gone:
         parts.append(text[at:a])
+        kept += max(0, a - at)
         at = b
-        while at < len(text) and (parts[-1][-1:].isspace() or not b"".join(parts)) and text[at : at + 1].isspace():
-            at += 1  # white space on one side of the gap is enough
+        if not kept or parts[-1][-1:].isspace():  # white space on one side of the gap is enough
+            while at < len(text) and text[at : at + 1].isspace():
+                at += 1
     return b"".join([*parts, text[at:]]), [(a, b) for a, b in gone]
 
 

@@ -8,7 +8,7 @@ overlap with the other part's union reaches the size that the threshold asks for
 opened, and overlaps counted with all members at once.  The links give connected components.
 
 Before that, each node is compared with the smallest node of its bands.  The links found so join near copies in time
-proportional to their number; parts that lie within one such component aren't compared again.
+proportional to their number; parts whose members all link with the same node aren't compared again.
 
 The order in which tokens count as rare comes from an array of levels of a fixed size, made from how many
 texts have a token in their prefixes.  Any order gives the same links; a good one opens fewer parts.
@@ -86,7 +86,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, bands, prefix) of every row; node and bands are null for an empty set."""
+    """(doc_id, x, n, node, bands, prefix) of every row, x being the text's hash; node and bands are null for an empty set."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.pieces(batches):
@@ -96,10 +96,11 @@ def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 nodes.append(_node(tokens) if len(tokens) else None)
                 bands.append(_bands(tokens) if len(tokens) else None)
                 prefix.append(_prefix(tokens, percent, None))
-            columns = [batch["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), _lists(prefix)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "bands", "prefix"])
+            columns = [batch["doc_id"], batch["x"], pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), _lists(prefix)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "x", "n", "node", "bands", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, node binary, bands array<long>, prefix array<long>")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("x"), "text")
+    return keyed.mapInArrow(describe, "doc_id long, x long, n long, node binary, bands array<long>, prefix array<long>")
 
 
 def token_levels(prefixes: DataFrame, sizes: int = SLOTS) -> np.ndarray:
@@ -182,14 +183,19 @@ def star_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, perc
     return found
 
 
+def leaders(pairs: DataFrame) -> DataFrame:
+    """(node, label) of the nodes of pairs (a, b), b being the smaller: the smallest partner, or the node itself."""
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+
+
 def grouped(nodes: DataFrame, pairs: DataFrame, stars: DataFrame) -> DataFrame:
-    """(node, doc_id, n, g, part, v) of the nodes in groups: g the group, v what verified links join.
+    """(node, doc_id, n, g, part, v) of the nodes in groups: g the group; nodes of equal v are joined by verified links.
 
-    A verified component of more than a part's tokens has parts of its own, by the hash of the node; the others of a
+    A v of more than a part's tokens has parts of its own, by the hash of the node; the others of a
     group are dealt to parts by the hash of v.
     """
-    own = nodes.select("node", "doc_id", "n").join(components(pairs).withColumnRenamed("label", "group"), "node")
-    own = own.join(components(stars), "node", "left").select("node", "doc_id", "n", F.xxhash64("group").alias("g"), F.xxhash64(F.coalesce("label", "node")).alias("v"))
+    own = nodes.select("node", "doc_id", "n").join(leaders(pairs).withColumnRenamed("label", "group"), "node")
+    own = own.join(leaders(stars), "node", "left").select("node", "doc_id", "n", F.xxhash64("group").alias("g"), F.xxhash64(F.coalesce("label", "node")).alias("v"))
     own = save(own, "placed")
     joined = save(own.groupBy("g", "v").agg(F.sum("n").alias("vn")), "joined")
     rest = F.sum(F.when(F.col("vn") <= PART_TOKENS, F.col("vn")))
@@ -204,9 +210,9 @@ _MEMBER = pa.struct([("node", pa.binary()), ("tokens", pa.binary())])
 
 
 def _matrix_rows(key: tuple, table: pa.Table) -> pa.Table:
-    """One row of the matrix: a part with its token union and its members."""
+    """One row of the matrix: a part with its members and, if there are several, their token union."""
     sets = [_tokens(t) for t in table["tokens"]]
-    union = np.unique(np.concatenate(sets)) if len(sets) > 1 else sets[0]
+    union = np.unique(np.concatenate(sets)) if len(sets) > 1 else np.zeros(0, np.uint64)
     members_ = [{"node": n.as_py(), "tokens": t.tobytes()} for n, t in zip(table["node"], sets, strict=True)]
     return pa.table(
         [pa.array([k.as_py()], pa.int64()) for k in key] + [pa.array([union.tobytes()], pa.binary()), pa.array([members_], pa.list_(_MEMBER))],
@@ -271,7 +277,7 @@ def _opened(percent: int):
             for row in range(batch.num_rows):
                 m1, m2 = ([(m["node"].as_py(), _tokens(m["tokens"])) for m in batch[c][row]] for c in ("m1", "m2"))
                 few, many, union = (m1, m2, batch["u2"][row]) if len(m1) <= len(m2) else (m2, m1, batch["u1"][row])
-                found += part_links(few, many, _tokens(union), percent)
+                found += part_links(few, many, _tokens(union) if len(many) > 1 else many[0][1], percent)
             columns = list(zip(*found, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["a", "b"])
 
@@ -337,20 +343,17 @@ def cross_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, pairs: Dat
     return found
 
 
-def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links for every row.
-
-    ``component_id`` is the smallest id reachable by links, the row's own included; ``n_links`` counts the
-    verified links of the row's set with other sets that were needed to know the component, not all there are.  Null and
-    empty texts have no shingles and are linked with nothing.  A row with a null id takes part; its
-    component is null only if no row of it has an id.  Repeated rows share their values.  Other columns are ignored.
-    """
+def joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, x, n, root, component_id, links) of every row: hash of the text, size of the set, component, its smallest id,
+    verified links of the set; the last three are null for an empty set."""
     docs = docs.select("doc_id", "text")
     seen = save(described(docs, k, percent), "described")
     nodes = save(
         seen.where("node is not null").select("doc_id", "n", "node", "bands").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes"
     )
     levels = token_levels(seen.select("prefix"))
+    whole, seen = seen, save(seen.select("doc_id", "x", "n", "node"), "seen")
+    drop(whole)
     ranked = save(ranked_prefixes(docs, k, percent, levels), "prefixes")
     for _ in range(ROUNDS):  # tokens that came into a prefix for a commoner one may be common too
         levels = np.maximum(levels, token_levels(ranked.select("prefix")))
@@ -367,24 +370,33 @@ def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rooted = save(nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("root")), "rooted")
     least = save(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-    placed = save(rooted.join(least, "root").join(save(ends, "ends"), "node", "left").select("node", "component_id", F.coalesce("links", F.lit(0)).alias("links")), "components")
-    return seen.select("doc_id", "n", "node").join(placed, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("node").isNull(), F.col("doc_id"))).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links")
-    )
+    placed = rooted.join(least, "root").join(save(ends, "ends"), "node", "left")
+    placed = save(placed.select("node", "root", "component_id", F.coalesce("links", F.lit(0)).alias("links")), "components")
+    return seen.join(placed, "node", "left").select("doc_id", "x", "n", "root", "component_id", "links")
+
+
+def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links for every row.
+
+    ``component_id`` is the smallest id reachable by links, the row's own included; ``n_links`` counts the
+    verified links of the row's set with other sets that were needed to know the component, not all there are.  Null and
+    empty texts have no shingles and are linked with nothing.  A row with a null id takes part; its
+    component is null only if no row of it has an id.  Repeated rows share their values.  Other columns are ignored.
+    """
+    component = F.coalesce("component_id", F.when(F.col("root").isNull(), F.col("doc_id")))
+    return joined(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: of those with its smallest id, the one of greatest text.
+    """``docs`` with one row of each component: that of its smallest id (null last), of least text hash among its texts.
 
-    Rows with an empty set all stay.  A component whose rows have no id at all keeps one row of each set.
+    Rows with an empty set all stay.  The texts are shuffled once.
     """
-    found = join_documents(docs, k, percent).where("n_shingles > 0 and (doc_id = component_id or component_id is null)").select(F.col("doc_id").cast("long").alias("_id")).distinct()
-    kept = save(found, "kept")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    first = joined(docs, k, percent).where("n > 0").groupBy("root").agg(F.min(F.struct(key.alias("id"), "x")).alias("m"))
+    kept = save(first.select(F.col("m.id").alias("_id"), F.col("m.x").alias("_x")), "kept")
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.withColumns({"_key": F.col("doc_id").cast("long"), "_blank": blank})
-    some = rows.where("not _blank").join(kept, F.col("_key").eqNullSafe(F.col("_id")), "left_semi")
-    # an id that stands for several rows keeps one of them
-    some = some.withColumn("_x", F.xxhash64("text"))
-    best = some.groupBy("_key").agg(F.max("_x").alias("_b")).withColumnRenamed("_key", "_k")
-    some = some.join(best, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_x") == F.col("_b"))).dropDuplicates(["_key", "_x"])
-    return rows.where("_blank").select(*docs.columns).unionByName(some.select(*docs.columns))
+    rows = docs.withColumns({"_key": key, "_hash": F.xxhash64("text"), "_blank": blank})
+    some = rows.where("not _blank").join(kept, (F.col("_key") == F.col("_id")) & (F.col("_hash") == F.col("_x")), "left_semi")
+    one = some.dropDuplicates(["_key", "_hash"])  # repeated rows
+    return rows.where("_blank").select(*docs.columns).unionByName(one.select(*docs.columns))

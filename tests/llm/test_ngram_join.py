@@ -9,7 +9,7 @@ def shingles(t, k):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-def plain(rows, k, percent):
+def roots(rows, k, percent):
     sets = [shingles(t, k) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -23,11 +23,15 @@ def plain(rows, k, percent):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
-    ids = {}
-    for i, (d, _) in enumerate(rows):
+    return [find(i) for i in range(len(rows))]
+
+
+def plain(rows, k, percent):
+    own, ids = roots(rows, k, percent), {}
+    for r, (d, _) in zip(own, rows):
         if d is not None:
-            ids[find(i)] = min(ids.get(find(i), d), d)
-    return sorted(((d, len(s), ids.get(find(i))) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=str)
+            ids[r] = min(ids.get(r, d), d)
+    return sorted(((d, len(shingles(t, k)), ids.get(r)) for r, (d, t) in zip(own, rows)), key=str)
 
 
 def corpus(seed=5):
@@ -109,8 +113,15 @@ def test_one_of_each_group_stays(spark):
     rows = corpus(7)
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_chars int")
     kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(df).collect()]
-    want = plain(rows, 5, 80)
-    assert len([d for d, t in kept if shingles(t, 5)]) == len({c for d, n, c in want if n})
+    groups = {}
+    for (d, t), root in zip(rows, roots(rows, 5, 80)):
+        if shingles(t, 5):
+            groups.setdefault(root, set()).add((d is None, d or 0, t))
+    got = sorted((d is None, d or 0, t) for d, t in kept if shingles(t, 5))
+    assert len(got) == len(groups)
+    for g in groups.values():
+        (own,) = [x for x in got if x in g]
+        assert own[:2] == min(g)[:2]
     assert len([d for d, t in kept if not shingles(t, 5)]) == 3
 
 
