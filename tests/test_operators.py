@@ -48,8 +48,8 @@ def test_tilted_plane(spark):
 
 def test_flat_terrain_sees_the_whole_sky(spark):
     dem = spark.createDataFrame([(r, c, 100.0) for r in range(5) for c in range(5)], "r int, c int, elevation double")
-    assert {r["svf"] for r in terrain.sky_view_factor(terrain.horizon(dem, 8, 90.0, 30.0)).collect()} == {1.0}
-    assert {r["sx"] for r in terrain.winstral_sx(dem, 8, 90.0, 30.0).collect()} == {0.0}
+    assert {round(r["svf"], 9) for r in terrain.sky_view_factor(terrain.horizon(dem, 8, 90.0, 30.0)).collect()} == {1.0}
+    assert {abs(round(r["sx"], 9)) for r in terrain.winstral_sx(dem, 8, 90.0, 30.0).collect()} == {0.0}
 
 
 def test_flow_reaches_the_pit(spark):
