@@ -114,8 +114,9 @@ def token_levels(prefixes: DataFrame, sizes: int = SLOTS) -> np.ndarray:
     slots = counts.groupBy(F.expr(f"int(t & {sizes - 1})").alias("s")).agg(F.max(level).alias("v"))
     packed = slots.groupBy(F.shiftright("s", 12).alias("b")).agg(F.collect_list(F.col("s").bitwiseAND(block - 1) * 16 + F.col("v")).alias("x"))  # at most a block's slots
     out = np.zeros(sizes, np.uint8)
-    for b, x in packed.collect():
-        x = np.array(x, np.int64)
+    rows = packed.toArrow()
+    for b, x in zip(rows["b"].to_pylist(), rows["x"], strict=True):
+        x = x.values.to_numpy(zero_copy_only=False)
         out[b * block + x // 16] = x % 16
     return out
 
@@ -220,7 +221,7 @@ def _matrix_rows(key: tuple, table: pa.Table) -> pa.Table:
     )
 
 
-def part_links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndarray]], union: np.ndarray, percent: int, most: int = 1 << 22) -> list[tuple[bytes, bytes]]:
+def part_links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndarray]], union: np.ndarray, percent: int, most: int = 1 << 19) -> list[tuple[bytes, bytes]]:
     """A spanning forest of the links between members of two parts (or of one, given twice).
 
     Members whose overlap with ``union``, the tokens of ``right``, can't suffice are passed by; for the others the overlaps with all

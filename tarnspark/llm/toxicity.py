@@ -20,7 +20,7 @@ from tarnspark.llm import _text
 from tarnspark.llm.quality import labelled_sample
 
 #: Labelled documents that the fit reads at most, those of least hash of their id.
-SAMPLE = 8_000
+SAMPLE = 6_000
 #: Hash space of words and prefixes, and the features that are kept: those with the strongest evidence.
 SPACE, KEPT = 1 << 22, 1024
 #: Bytes of the word prefixes that are features besides whole words.
