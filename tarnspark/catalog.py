@@ -480,7 +480,7 @@ def cluster_weights(v: Views) -> DataFrame:
 
 
 _FEATURES = ("elevation", "slope", "cos_aspect", "sin_aspect", "svf")
-_STD = ", ".join(f"{r(f'({f}-avg({f}) OVER ())/stddev_pop({f}) OVER ()', 5)} AS {f}" for f in _FEATURES)
+_STD = ", ".join(f"{r(f'({f}-avg({f}) OVER ())/CASE WHEN stddev_pop({f}) OVER () > 0 THEN stddev_pop({f}) OVER () ELSE 1e0 END', 5)} AS {f}" for f in _FEATURES)
 
 
 @query(_HRU + f", ft AS (SELECT *, cos(radians(aspect)) AS cos_aspect, sin(radians(aspect)) AS sin_aspect FROM px) SELECT r, c, {_STD} FROM ft")
