@@ -115,6 +115,8 @@ def _grow(text: bytes, s: int, e: int, first: bytes, lead: int) -> tuple[int, in
     if a < s and a > 0 and not text[a - 1 : a].isspace():  # whole words only
         while a < s and not text[a : a + 1].isspace():
             a += 1
+    while a < s and text[a : a + 1].isspace():  # the white space before stays, so that words aren't joined
+        a += 1
     if b > e and b < len(text) and not text[b : b + 1].isspace():
         while b > e and not text[b - 1 : b].isspace():
             b -= 1
