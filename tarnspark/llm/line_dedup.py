@@ -2,8 +2,10 @@
 
 A text's lines (ended by a line break or by the end of a sentence) are hashed, and a rolling hash
 over neighbouring line hashes chooses the chunks' boundaries, so that an inserted line moves
-boundaries only near itself.  Chunks of several lines that occur elsewhere are found by hash;
-neighbouring chunks with the same first occurrence are joined to runs, compared byte by byte with that
+boundaries only near itself.  Beside these there are grams of words, chosen by their hashes alone
+(the least of each window), so that any two occurrences of ``GRAM + WINDOW - 1`` = 50 words or more have a gram in common,
+whatever stands around them and wherever their lines end.  Chunks and grams that occur elsewhere are found by hash;
+neighbouring ones with the same first occurrence are joined to runs, compared byte by byte with that
 occurrence, extended as far as the bytes agree, and removed.  The first occurrence, by
 (doc_id, hash of the text, position), stays.
 """
@@ -23,6 +25,8 @@ from tarnspark.llm._scratch import save
 
 #: A chunk has so many lines and words at least; then each boundary closes it with a chance of 1 / CHANCE, and MOST lines always do.
 LEAST_LINES, LEAST_WORDS, CHANCE, MOST = 2, 8, 2, 256
+#: Words of a gram, and successive grams of which the one of least hash is kept.  A window is shorter than a gram, so neighbours leave no gap.
+GRAM, WINDOW = 26, 25
 #: Bytes beside a run that are compared to extend it.
 CONTEXT = 768
 _END = np.zeros(256, bool)
@@ -65,25 +69,71 @@ def chunk_slice(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return r, start - at[r], end - at[r], _text.RangeHash(data)(start, end).view(np.int64)
 
 
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` values the position of the least one, the leftmost of equals."""
+    least, place, have = h, np.arange(len(h)), 1
+    while have < width:
+        by = min(have, width - have)
+        right = least[by:] < least[:-by]
+        least, place, have = np.where(right, least[by:], least[:-by]), np.where(right, place[by:], place[:-by]), have + by
+    return place
+
+
+def gram_slice(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, hash, again) of the chosen grams of a slice; positions are bytes within the row.
+
+    A stretch that repeats itself within less than a gram has an equal gram at each repetition.  The first and last are kept and
+    so many between that no window is without; ``again`` marks all but the first, which are no second occurrence in their own text.
+    """
+    starts, ends, first = _text.words(data, at)
+    none = np.zeros(0, np.int64)
+    n = len(starts) - GRAM + 1
+    if n < 1:
+        return none, none, none, none, np.zeros(0, bool)
+    count = np.diff(first)
+    row = np.repeat(np.arange(len(at) - 1), count)
+    h = _text.RangeHash(data)(starts[:n], ends[GRAM - 1 :])
+    top = _text.U(2**64 - 1)
+    padded = np.concatenate([np.where(row[:n] == row[GRAM - 1 :], h, top), np.full(WINDOW - 1, top)])
+    whole = np.zeros(n, bool)  # windows within a row, and the only one of a row with fewer grams
+    whole[: max(0, n - WINDOW + 1)] = row[: max(0, n - WINDOW + 1)] == row[GRAM + WINDOW - 2 :]
+    whole[first[:-1][(count >= GRAM) & (count < GRAM + WINDOW - 1)]] = True
+    grams = np.unique(_least(padded, WINDOW)[whole])
+    if not len(grams):
+        return none, none, none, none, np.zeros(0, bool)
+    new = np.ones(len(grams), bool)
+    new[1:] = (h[grams[1:]] != h[grams[:-1]]) | (row[grams[1:]] != row[grams[:-1]]) | (np.diff(grams) >= GRAM)
+    part = (grams - grams[new][np.cumsum(new) - 1]) // (WINDOW // 2)
+    keep = new | np.append(new[1:], True)
+    keep[1:] |= part[1:] != part[:-1]
+    grams, again = grams[keep], ~new[keep]
+    r = row[grams]
+    return r, starts[grams] - at[r], ends[grams + GRAM - 1] - at[r], h[grams].view(np.int64), again
+
+
 def _keys(docs: DataFrame) -> tuple[Column, Column]:
     """What stands for a document: its id (null: last of all) and the hash of its text."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64("text")
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(k1, k2, n, s, e, h) of every chunk of every text: keys, number within the text, bytes from and to, hash."""
+    """(k1, k2, w, n, s, e, h, again) of every chunk and gram of every text: keys, whether it is a gram, number within the text's
+    chunks or grams, bytes from and to, hash, and whether it goes on with the one before."""
     k1, k2 = _keys(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = _text.buffers(batch["text"])
             for i, j in _text.slices(at):
-                row, s, e, h = chunk_slice(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                n = np.arange(len(row)) - np.searchsorted(row, row)
-                own = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([batch["k1"].take(own), batch["k2"].take(own), *map(pa.array, (n, s, e, h))], ["k1", "k2", "n", "s", "e", "h"])
+                piece, of = data[at[i] : at[j]], at[i : j + 1] - at[i]
+                found = chunk_slice(piece, of)
+                for w, (row, s, e, h, again) in enumerate(((*found, np.zeros(len(found[0]), bool)), gram_slice(piece, of))):
+                    n = np.arange(len(row)) - np.searchsorted(row, row)
+                    own = pa.array(row + i)
+                    kind = np.full(len(row), w == 1)
+                    yield pa.RecordBatch.from_arrays([batch["k1"].take(own), batch["k2"].take(own), *map(pa.array, (kind, n, s, e, h, again))], ["k1", "k2", "w", "n", "s", "e", "h", "again"])
 
-    return docs.select(k1.alias("k1"), k2.alias("k2"), "text").mapInArrow(cut, "k1 long, k2 long, n long, s long, e long, h long")
+    return docs.select(k1.alias("k1"), k2.alias("k2"), "text").mapInArrow(cut, "k1 long, k2 long, w boolean, n long, s long, e long, h long, again boolean")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -92,15 +142,15 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     owner = F.min(F.struct("k1", "k2", "s", "e", "n"))
     firsts = occurs.groupBy("h").agg(owner.alias("o"), F.count("*").alias("c")).where("c > 1").drop("c")
     firsts = save(firsts, "first-chunks")
-    later = occurs.join(firsts, "h").where("struct(k1, k2, s, e) != struct(o.k1, o.k2, o.s, o.e)")
-    order = Window.partitionBy("k1", "k2").orderBy("n")
+    later = occurs.join(firsts, "h").where("struct(k1, k2, s, e) != struct(o.k1, o.k2, o.s, o.e) and not (again and k1 = o.k1 and k2 = o.k2)")
+    order = Window.partitionBy("k1", "k2", "w").orderBy("n")
     before = lambda c: F.lag(c).over(order)
     joined = (before("n") == F.col("n") - 1) & (before("o.k1") == F.col("o.k1")) & (before("o.k2") == F.col("o.k2")) & (before("o.n") == F.col("o.n") - 1)
     numbered = later.withColumn("new", F.when(joined & (F.col("s") - before("s") == F.col("o.s") - before("o.s")), 0).otherwise(1))
-    runs = numbered.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("k1", "k2", "run")
+    runs = numbered.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("k1", "k2", "w", "run")
     return runs.agg(
         F.min("s").alias("s"), F.max("e").alias("e"), F.first("o.k1").alias("o1"), F.first("o.k2").alias("o2"), F.min("o.s").alias("os"), F.max("o.e").alias("oe")
-    ).drop("run")
+    ).drop("w", "run")
 
 
 def _grow(text: bytes, s: int, e: int, first: bytes, lead: int) -> tuple[int, int] | None:

@@ -78,3 +78,35 @@ def test_inserted_line_moves_boundaries_only_nearby():
         return set(line_dedup.chunk_slice(d, np.array([0, len(d)]))[3].tolist())
 
     assert len(hashes(a) & hashes(b)) >= len(hashes(a)) - 3
+
+
+def plain(n):
+    return ["".join(rnd.choice("abcdefghé") for _ in range(rnd.randrange(2, 9))) for _ in range(n)]
+
+
+def test_any_fifty_words_share_a_gram_inside():
+    import numpy as np
+
+    def grams(words, a, b):
+        text = " ".join(words).encode()
+        _, s, e, h, _ = line_dedup.gram_slice(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        lo, hi = len(" ".join(words[:a]).encode()), len(" ".join(words[:b]).encode())
+        return {x for x, i, j in zip(h.tolist(), s.tolist(), e.tolist(), strict=True) if i >= lo and j <= hi}
+
+    for _ in range(200):
+        p = rnd.choice([plain(50), plain(50), (plain(rnd.randrange(1, 40)) * 50)[:50]])
+        both = []
+        for _ in range(2):
+            a = rnd.randrange(0, 90)
+            before = (p * 4)[-a:] if a and rnd.random() < 0.2 else plain(a)
+            both.append(grams(before + p + plain(rnd.randrange(0, 90)), a, a + 50))
+        assert both[0] & both[1]
+
+
+def test_passages_without_sentences_go(spark):
+    passage = plain(51)
+    own = {k: (plain(rnd.randrange(30, 90)), plain(rnd.randrange(30, 90))) for k in range(12)}
+    got = run(spark, [(k, " ".join([*a, *passage, *b])) for k, (a, b) in own.items()])
+    assert " ".join(passage) in got[0].text and got[0].removed_bytes == 0
+    for k in range(1, 12):
+        assert got[k].text == " ".join([*own[k][0], *own[k][1]])
