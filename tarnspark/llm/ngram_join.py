@@ -221,8 +221,8 @@ def _matrix_rows(key: tuple, table: pa.Table) -> pa.Table:
     )
 
 
-def part_links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndarray]], union: np.ndarray, percent: int, most: int = 1 << 19) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the links between members of two parts (or of one, given twice).
+def _linked(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndarray]], union: np.ndarray, percent: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For members of ``left`` by number, the numbers of all members of ``right`` that they link with (a set with itself too).
 
     Members whose overlap with ``union``, the tokens of ``right``, can't suffice are passed by; for the others the overlaps with all
     members of ``right`` are counted from their postings, ``most`` at a time.
@@ -232,6 +232,19 @@ def part_links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
     sizes = np.array([len(t) for _, t in right])
+    for at, (_, own) in enumerate(left):
+        if len(np.intersect1d(own, union, assume_unique=True)) < required(len(own), percent):
+            continue
+        a, b = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+        overlap = np.zeros(len(right), np.int64)
+        for i, j in _ranges(b - a, most):
+            hits = np.repeat(a[i:j], (b - a)[i:j]) + _within((b - a)[i:j])
+            overlap += np.bincount(owner[hits], minlength=len(right))
+        yield at, np.flatnonzero(100 * overlap >= percent * (len(own) + sizes - overlap))
+
+
+def part_links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndarray]], union: np.ndarray, percent: int, most: int = 1 << 19) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links between members of two parts (or of one, given twice)."""
     root: dict[bytes, bytes] = {}
 
     def find(x: bytes) -> bytes:
@@ -241,15 +254,9 @@ def part_links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np
         return x
 
     found = []
-    for node, own in left:
-        if len(np.intersect1d(own, union, assume_unique=True)) < required(len(own), percent):
-            continue
-        a, b = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
-        overlap = np.zeros(len(right), np.int64)
-        for i, j in _ranges(b - a, most):
-            hits = np.repeat(a[i:j], (b - a)[i:j]) + _within((b - a)[i:j])
-            overlap += np.bincount(owner[hits], minlength=len(right))
-        for k in np.flatnonzero(100 * overlap >= percent * (len(own) + sizes - overlap)):
+    for at, partners in _linked(left, right, union, percent, most):
+        node = left[at][0]
+        for k in partners:
             x, y = find(node), find(right[k][0])
             if x != y:
                 root[x] = y
@@ -257,6 +264,16 @@ def part_links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np
     return found
 
 
+def part_counts(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndarray]], union: np.ndarray, percent: int, same: bool, most: int = 1 << 19) -> list[tuple[bytes, int]]:
+    """(node, number of all its links) between members of two parts, or within one given twice (``same``)."""
+    mine, theirs = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+    for at, partners in _linked(left, right, union, percent, most):
+        mine[at] = len(partners) - same  # without itself
+        theirs[partners] += 1
+    both = [(left, mine)] if same else [(left, mine), (right, theirs)]
+    return [(node, int(c)) for side, counts in both for (node, _), c in zip(side, counts, strict=True) if c]
+
+
 def _within(counts: np.ndarray) -> np.ndarray:
     """0, 1, ... within each run of the given lengths."""
     ends = np.cumsum(counts)
@@ -285,6 +302,20 @@ def _opened(percent: int):
     return compare
 
 
+def _counted(percent: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _text.pieces(batches, 4):
+            found: list[tuple[bytes, int]] = []
+            for row in range(batch.num_rows):
+                m1, m2 = ([(m["node"].as_py(), _tokens(m["tokens"])) for m in batch[c][row]] for c in ("m1", "m2"))
+                few, many, union = (m1, m2, batch["u2"][row]) if len(m1) <= len(m2) else (m2, m1, batch["u1"][row])
+                found += part_counts(few, many, _tokens(union) if len(many) > 1 else many[0][1], percent, batch["same"][row].as_py())
+            node, links_ = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(links_, pa.int64())], ["node", "links"])
+
+    return compare
+
+
 def least_common(lo: Column, hi: Column, lo2: Column, hi2: Column, percent: int) -> Column:
     """How many prefix tokens two parts with sets of these sizes must share at least, for any of their sets to link.
 
@@ -328,8 +359,8 @@ def candidate_parts(ranked: DataFrame, groups: DataFrame, percent: int) -> DataF
     return save(pairs.unionByName(mixed), "part-pairs")
 
 
-def cross_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links between members of the parts."""
+def cross_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, pairs: DataFrame, k: int, percent: int, count: bool = False) -> DataFrame:
+    """(a, b): the links between members of the parts that their components need; with ``count`` (node, links), how many there are at all."""
     alone: Column = F.xxhash64("node")
     named = save(pairs.select("g", "part").unionByName(pairs.select(F.col("g2").alias("g"), F.col("part2").alias("part"))).distinct(), "named")
     every = nodes.join(groups.select("node", "g", "part"), "node", "left").select("node", "doc_id", F.coalesce("g", alone).alias("g"), F.coalesce("part", F.lit(0)).alias("part"))
@@ -338,15 +369,23 @@ def cross_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, pairs: Dat
     matrix = save(sets.groupBy("g", "part").applyInArrow(_matrix_rows, "g long, part long, union binary, members array<struct<node:binary,tokens:binary>>"), "matrix", "uncompressed")
     first = matrix.select("g", "part", F.col("union").alias("u1"), F.col("members").alias("m1"))
     second = matrix.select(F.col("g").alias("g2"), F.col("part").alias("part2"), F.col("union").alias("u2"), F.col("members").alias("m2"))
-    opened = pairs.join(first, ["g", "part"]).join(second, ["g2", "part2"]).select("m1", "m2", "u1", "u2")
-    found = save(opened.mapInArrow(_opened(percent), "a binary, b binary"), "cross-links")
+    opened = pairs.join(first, ["g", "part"]).join(second, ["g2", "part2"])
+    if count:
+        same = ((F.col("g") == F.col("g2")) & (F.col("part") == F.col("part2"))).alias("same")
+        counts = opened.select("m1", "m2", "u1", "u2", same).mapInArrow(_counted(percent), "node binary, links long")
+        found = save(counts.groupBy("node").agg(F.sum("links").alias("links")), "link-counts")
+    else:
+        found = save(opened.select("m1", "m2", "u1", "u2").mapInArrow(_opened(percent), "a binary, b binary"), "cross-links")
     drop(matrix)
     return found
 
 
-def joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, x, n, root, component_id, links) of every row: hash of the text, size of the set, component, its smallest id,
-    verified links of the set; the last three are null for an empty set."""
+def joined(docs: DataFrame, k: int, percent: int, count: bool = False) -> DataFrame:
+    """(doc_id, x, n, root, component_id) of every row: hash of the text, size of the set, component, its smallest id; the
+    last two are null for an empty set.  With ``count`` also links, the number of other sets that the set links with.
+
+    Counting opens every part that may hold links, also those whose sets are known to be of one component.
+    """
     docs = docs.select("doc_id", "text")
     seen = save(described(docs, k, percent), "described")
     nodes = save(
@@ -364,28 +403,39 @@ def joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
     stars = star_links(docs, nodes, pairs, k, percent)
     groups = grouped(nodes, pairs, stars)
     parts = candidate_parts(ranked, groups, percent)
+    if count:
+        single = grouped(nodes, pairs, stars.limit(0))  # no nodes are joined, so that no pair of parts is left out
+        counts = cross_links(docs, nodes, single, candidate_parts(ranked, single, percent), k, percent, count=True)
     drop(ranked)
     crossed = cross_links(docs, nodes, groups, parts, k, percent)
     found = save(stars.unionByName(crossed), "all-links")
     labels = components(found)
     rooted = save(nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("root")), "rooted")
     least = save(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-    placed = rooted.join(least, "root").join(save(ends, "ends"), "node", "left")
-    placed = save(placed.select("node", "root", "component_id", F.coalesce("links", F.lit(0)).alias("links")), "components")
-    return seen.join(placed, "node", "left").select("doc_id", "x", "n", "root", "component_id", "links")
+    placed = rooted.join(least, "root")
+    names = ["doc_id", "x", "n", "root", "component_id"]
+    if count:
+        placed, names = placed.join(counts, "node", "left").withColumn("links", F.coalesce("links", F.lit(0))), [*names, "links"]
+    placed = save(placed.select("node", *names[3:]), "components")
+    return seen.join(placed, "node", "left").select(*names)
+
+
+def document_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id as ``join_documents`` gives them, without counting links."""
+    component = F.coalesce("component_id", F.when(F.col("root").isNull(), F.col("doc_id")))
+    return joined(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links for every row.
 
-    ``component_id`` is the smallest id reachable by links, the row's own included; ``n_links`` counts the
-    verified links of the row's set with other sets that were needed to know the component, not all there are.  Null and
+    ``component_id`` is the smallest id reachable by links, the row's own included; ``n_links`` counts all
+    verified links of the row's set with other sets.  Null and
     empty texts have no shingles and are linked with nothing.  A row with a null id takes part; its
     component is null only if no row of it has an id.  Repeated rows share their values.  Other columns are ignored.
     """
     component = F.coalesce("component_id", F.when(F.col("root").isNull(), F.col("doc_id")))
-    return joined(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    return joined(docs, k, percent, count=True).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

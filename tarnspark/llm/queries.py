@@ -35,7 +35,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join_documents(_table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.document_components(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

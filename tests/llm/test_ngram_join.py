@@ -128,3 +128,21 @@ def test_one_of_each_group_stays(spark):
 def test_long_paths(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     assert {(r.node, r.label) for r in components(links).collect()} == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
+
+
+def test_n_links_counts_every_link_of_a_family(spark):
+    rnd = random.Random(11)
+    rows = []
+    for family in range(3):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+        for k in range(12):
+            words = list(base)
+            for _ in range(rnd.randrange(0, 4)):
+                words[rnd.randrange(len(words))] = f"x{rnd.randrange(10**6)}"
+            rows.append((100 * family + k, " ".join(words)))
+        rows.append((100 * family + 50, rows[-1][1]))  # an equal set is no other set
+    sets = {d: frozenset(tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)) for d, t in rows}
+    want = {d: sum(100 * len(s & o) >= 85 * len(s | o) for o in set(sets.values()) if o != s) for d, s in sets.items()}
+    assert max(want.values()) > 4
+    got = ngram_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=85).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
