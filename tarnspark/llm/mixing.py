@@ -16,15 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnspark.llm import _text
-from tarnspark.llm._scratch import bounded_sample, save
+from tarnspark.llm._scratch import drop, save
 
 #: Cells that the driver rakes itself and broadcasts; a larger table of cells is raked as a DataFrame.
 CELLS = 100_000
 ROUNDS, TOLERANCE = 200, 1e-9
 #: The part of all tokens that is kept.
 SHARE = 0.8
-#: Documents that the topics are fitted on, those of least hash of their id; dimensions of a document's vector; topics.
-TOPIC_SAMPLE, TOPIC_SPACE, TOPICS = 3_000, 512, 6
+#: Dimensions of a document's vector; topics; rounds of k-means at most.
+TOPIC_SPACE, TOPICS, TOPIC_ROUNDS = 512, 6, 20
+#: Vectors are added up as whole numbers of this part of one, so that sums don't depend on the order of rows.
+GRAIN = 1 << 24
 DIMENSIONS = ("source", "lang", "topic")
 #: Stands for null in a dimension.
 NONE = "\x00none"
@@ -45,27 +47,71 @@ def _vectors(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12), n_words
 
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS, bound: int = TOPIC_SAMPLE) -> np.ndarray:
-    """Centroids by spherical k-means over a bounded sample of documents."""
-    sample = bounded_sample(docs.select("doc_id", "text"), ["doc_id", "text"], bound)
+def _stacked(column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Pieces of a column of saved vectors, and the vectors as rows."""
+    for i in range(0, len(column), 1024):
+        part = column.slice(i, 1024)
+        yield part, np.frombuffer(b"".join(part.to_pylist()), np.float32).reshape(-1, TOPIC_SPACE).astype(float)
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _farthest(vectors: DataFrame, centers: np.ndarray) -> np.ndarray:
+    """The vector least like those given, of equals the least by bytes; each task sends one."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: tuple[float, bytes] | None = None
         for batch in batches:
-            v, _ = _vectors(batch["text"])
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes() for x in v], pa.binary())], ["v"])
+            for part, x in _stacked(batch["v"]):
+                near = np.round((x @ centers.T).max(1), 9)
+                found = min((float(near[k]), part[int(k)].as_py()) for k in np.flatnonzero(near == near.min()))
+                best = found if best is None else min(best, found)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary())], ["d", "v"])
+
+    found = vectors.mapInArrow(least, "d double, v binary").agg(F.min(F.struct("d", "v")).alias("m")).first()["m"]
+    return np.frombuffer(found["v"], np.float32).astype(float)
 
-    rows = sorted(sample.mapInArrow(extract, "v binary").toArrow()["v"].to_pylist())
-    if not rows:
+
+def _sums(vectors: DataFrame, centers: np.ndarray) -> np.ndarray:
+    """For each centre the sum of the vectors that are nearest to it; each task sends one row a centre and dimension."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(centers), TOPIC_SPACE))  # whole numbers below 2**53, so exact
+        for batch in batches:
+            for _, x in _stacked(batch["v"]):
+                own = np.round(x @ centers.T, 9).argmax(1)
+                total += (own == np.arange(len(centers))[:, None]).astype(float) @ np.rint(x * GRAIN)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at].astype(np.int64))], ["at", "s"])
+
+    got = vectors.mapInArrow(add, "at long, s long").groupBy("at").agg(F.sum("s").alias("s")).toArrow()
+    out = np.zeros(len(centers) * TOPIC_SPACE)
+    out[got["at"].to_numpy()] = got["s"].to_numpy()
+    return out.reshape(len(centers), TOPIC_SPACE)
+
+
+def fit_topics(docs: DataFrame, topics: int = TOPICS) -> np.ndarray:
+    """Centroids by spherical k-means over all documents that have words; what reaches the driver doesn't grow with them."""
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _text.pieces(batches):
+            v, n = _vectors(batch["text"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes() for x in v[n > 0]], pa.binary())], ["v"])
+
+    vectors = save(docs.select("text").mapInArrow(extract, "v binary"), "vectors")
+    first = vectors.agg(F.min("v").alias("v")).first()["v"]
+    if first is None:
+        drop(vectors)
         return np.zeros((1, TOPIC_SPACE))
-    x = np.stack([np.frombuffer(r, np.float32) for r in rows]).astype(float)
-    far = [0]
-    for _ in range(min(topics, len(x)) - 1):  # the next centre is the point least like those so far
-        far.append(int(np.argmin((x @ x[far].T).max(1))))
-    centers = x[far]
-    for _ in range(20):
-        own = (x @ centers.T).argmax(1)
-        centers = np.stack([x[own == k].sum(0) if (own == k).any() else centers[k] for k in range(len(centers))])
-        centers /= np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
+    centers = np.frombuffer(first, np.float32).astype(float)[None]
+    for _ in range(topics - 1):  # the next centre is the vector least like those so far
+        centers = np.vstack([centers, _farthest(vectors, centers)])
+    for _ in range(TOPIC_ROUNDS):
+        sums, last = _sums(vectors, centers), centers
+        centers = np.where(sums.any(1, keepdims=True), sums, centers)
+        centers = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
+        if np.allclose(centers, last, rtol=0, atol=1e-12):
+            break
+    drop(vectors)
     return centers
 
 

@@ -124,3 +124,12 @@ def test_kept_share(spark, tables):
     got = mixing.mix_documents(tables[0]).toPandas()
     part = got[got["kept"]]["tokens"].sum() / got["tokens"].sum()
     assert abs((got["probability"] * got["tokens"]).sum() / got["tokens"].sum() - mixing.SHARE) < 1e-6 and abs(part - mixing.SHARE) < 0.03
+
+
+def test_topics_are_fitted_on_all_documents(spark):
+    words = [[f"w{t}x{k}" for k in range(8)] for t in range(3)]
+    rows = [(k, " ".join(words[k % 2])) for k in range(30_000)] + [(30_000, " ".join(words[2]))]
+    centers = mixing.fit_topics(spark.createDataFrame(rows, "doc_id long, text string"), 3)
+    rare, _ = mixing._vectors(pa.array([" ".join(w) for w in words]))
+    assert np.allclose((rare @ centers.T).max(1), 1, atol=1e-6)  # each has its centroid, the topic of one in 30,001 too
+    assert sorted((rare @ centers.T).argmax(1).tolist()) == [0, 1, 2]
