@@ -1,4 +1,4 @@
-"""Bit and level arrays of a fixed size over hashed keys.
+"""Bit arrays of a fixed size over hashed keys, as tables of words.
 
 They bound what is sent to every executor, whatever the data: a key's slot is its hash
 modulo the size.  A slot can be shared, so a member test may say yes for a key that isn't there, never no for
@@ -7,37 +7,34 @@ one that is; everything that uses them stays right in either case.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a member array (2 MB).
+from tarnspark.llm._scratch import free_names, save
+
+#: Bits of an array, which makes 262,144 words of 64 bits at most: the rows of the broadcast table.
 BITS = 1 << 24
 
 
-def slot_of(*keys: str) -> Column:
+def _slot(keys: tuple[str | Column, ...]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BITS))
 
 
-def members(df: DataFrame, *keys: str) -> bytes:
-    """The bits of the slots of all keys; ``BITS`` of them reach the driver, in rows of 4 KB."""
-    slots = df.select((slot_of(*keys) + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
-    out = bytearray(BITS // 8)
-    for b, m in slots.collect():  # bucket b >= 1 holds slots 32768 * (b - 1) and on
-        out[(b - 1) * 4096 : b * 4096] = bytes(m)
-    return bytes(out)
-
-
-def holds(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
+def members(df: DataFrame, *keys: str) -> DataFrame:
+    """(word, bits): the bits of the slots of all keys, ``BITS`` / 64 rows at most."""
+    slots = df.select(_slot(keys).alias("s")).select(F.shiftright("s", 6).alias("word"), F.expr("shiftleft(1L, int(s & 63))").alias("b"))
+    return save(slots.groupBy("word").agg(F.bit_or("b").alias("bits")), "members")
 
 
-def member_column(bits: bytes, *keys: str) -> Column:
-    """True for every key that was there, and for few others."""
+def with_member(df: DataFrame, words: DataFrame, name: str, *keys: str | Column) -> DataFrame:
+    """``df`` with a boolean column ``name``: true for every key that was there, and for few others."""
+    slot, word, bits = free_names(df, "_slot", "_word", "_bits")
+    named = words.select(F.col("word").alias(word), F.col("bits").alias(bits))
+    joined = df.withColumn(slot, _slot(keys)).join(F.broadcast(named), F.shiftright(slot, 6) == F.col(word), "left")
+    return joined.withColumn(name, F.coalesce(F.expr(f"(shiftright({bits}, int({slot} & 63)) & 1L) = 1L"), F.lit(False))).drop(slot, word, bits)
 
-    @F.arrow_udf("boolean")
-    def member(slots: pa.Array) -> pa.Array:
-        return pa.array(holds(np.frombuffer(bits, np.uint8), slots.to_numpy(zero_copy_only=False)))
 
-    return member(slot_of(*keys))
+def only_members(df: DataFrame, words: DataFrame, *keys: str | Column) -> DataFrame:
+    """The rows of ``df`` whose key was there, and few others."""
+    (name,) = free_names(df, "_member")
+    return with_member(df, words, name, *keys).where(F.col(name)).drop(name)

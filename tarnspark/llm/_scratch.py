@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 _RUN = f"tarnspark-{uuid.uuid4().hex}"
 _LOCAL: dict[str, str] = {}
+#: Rows of a batch that goes to Python, at most.
+BATCH = 1024
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,11 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL['dir']}"
 
 
-def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and return the reread table."""
+def save(df: DataFrame, name: str, codec: str = "zstd", rows: int = BATCH) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and return the reread table.
+
+    While it is written, batches that go to Python hold ``rows`` rows at most, so that a task's memory stays small.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{_RUN}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_BATCH_KEY)
+    spark.conf.set(_BATCH_KEY, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_BATCH_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,6 +78,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def free_names(df: DataFrame, *bases: str) -> list[str]:
+    """The same for several columns."""
+    return [free_name(df, b) for b in bases]
+
+
 def bounded_sample(df: DataFrame, keys: list[str], bound: int) -> DataFrame:
     """At most ``bound`` rows of ``df``, those of least hash of ``keys``; all rows if there are no more.
 

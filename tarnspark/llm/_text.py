@@ -8,12 +8,19 @@ stand, and is then mixed.  Nothing here depends on the process or the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:  # only the GNU C library has malloc_trim
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):
+    _LIBC = None
+
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
 SLICE = 1 << 18
 U = np.uint64
@@ -69,6 +76,13 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def trim() -> None:
+    """Give free memory back to the system; a worker waits for its next task after this."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -8,6 +8,9 @@ whatever stands around them and wherever their lines end.  Chunks and grams that
 neighbouring ones with the same first occurrence are joined to runs, compared byte by byte with that
 occurrence, extended as far as the bytes agree, and removed.  The first occurrence, by
 (doc_id, hash of the text, position), stays.
+
+Beside a run, ``CONTEXT`` = 50 words of the first occurrence are compared, however long they are.  No repeated stretch reaches further: one of 50
+words or more has a gram within 24 words of either end, and a shorter one has fewer than 50 words in all.
 """
 
 from __future__ import annotations
@@ -20,26 +23,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnspark.llm import _text
-from tarnspark.llm._bitmap import member_column, members
-from tarnspark.llm._scratch import save
+from tarnspark.llm._bitmap import members, only_members, with_member
+from tarnspark.llm._scratch import drop, free_names, save
 
-#: A chunk has so many lines and words at least; then each boundary closes it with a chance of 1 / CHANCE, and MOST lines always do.
-LEAST_LINES, LEAST_WORDS, CHANCE, MOST = 2, 8, 2, 256
+#: A chunk has so many lines and words at least; then each boundary closes it with a chance of 1 / CHANCE.
+LEAST_LINES, LEAST_WORDS, CHANCE = 2, 8, 2
 #: Words of a gram, and successive grams of which the one of least hash is kept.  A window is shorter than a gram, so neighbours leave no gap.
 GRAM, WINDOW = 26, 25
-#: Bytes beside a run that are compared to extend it.
-CONTEXT = 768
+#: Words beside a run that are compared to extend it.
+CONTEXT = 50
 _END = np.zeros(256, bool)
 _END[list(b".!?")] = True
 
 
-def chunk_slice(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end, hash) of the chunks of a slice; positions are bytes within the row, without white space around."""
+def _around(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes from ``CONTEXT`` words before word ``a`` to its start, and from the end of word ``b`` to so many words after it, within the row."""
+    before, after = np.maximum(a - CONTEXT, first[row]), np.minimum(b + CONTEXT, first[row + 1] - 1)
+    return starts[a] - starts[before], ends[after] - ends[b]
+
+
+def chunk_slice(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, hash, lead, tail) of the chunks of a slice; positions are bytes within the row, without white space around;
+    lead and tail are the bytes of context before and after."""
     starts, ends, first = _text.words(data, at)
     n = len(starts)
     none = np.zeros(0, np.int64)
     if not n:
-        return none, none, none, none
+        return none, none, none, none, none, none
     row = np.repeat(np.arange(len(at) - 1), np.diff(first))
     closes = _END[data[ends - 1]]  # the word ends a sentence,
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
@@ -58,15 +68,15 @@ def chunk_slice(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for i, (w, n_words, end) in enumerate(zip(wanted.tolist(), line_words.tolist(), final.tolist(), strict=True)):
         lines += 1
         words += n_words
-        if end or (w and lines >= LEAST_LINES and words >= LEAST_WORDS) or lines >= MOST:
+        if end or (w and lines >= LEAST_LINES and words >= LEAST_WORDS):
             cuts.append((i, lines, words))
             lines = words = 0
     c_last, c_lines, c_words = np.array(cuts).T
     c_first = c_last - c_lines + 1
-    start, end = starts[line_first[c_first]], ends[last[c_last]]
     keep = (c_lines >= LEAST_LINES) & (c_words >= LEAST_WORDS)
-    start, end, r = start[keep], end[keep], line_row[c_last][keep]
-    return r, start - at[r], end - at[r], _text.RangeHash(data)(start, end).view(np.int64)
+    a, b, r = line_first[c_first][keep], last[c_last][keep], line_row[c_last][keep]
+    start, end = starts[a], ends[b]
+    return r, start - at[r], end - at[r], _text.RangeHash(data)(start, end).view(np.int64), *_around(starts, ends, first, r, a, b)
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -79,8 +89,8 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-def gram_slice(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end, hash, again) of the chosen grams of a slice; positions are bytes within the row.
+def gram_slice(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, hash, lead, tail, again) of the chosen grams of a slice; positions as for chunks.
 
     A stretch that repeats itself within less than a gram has an equal gram at each repetition.  The first and last are kept and
     so many between that no window is without; ``again`` marks all but the first, which are no second occurrence in their own text.
@@ -89,7 +99,7 @@ def gram_slice(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     none = np.zeros(0, np.int64)
     n = len(starts) - GRAM + 1
     if n < 1:
-        return none, none, none, none, np.zeros(0, bool)
+        return none, none, none, none, none, none, np.zeros(0, bool)
     count = np.diff(first)
     row = np.repeat(np.arange(len(at) - 1), count)
     h = _text.RangeHash(data)(starts[:n], ends[GRAM - 1 :])
@@ -100,7 +110,7 @@ def gram_slice(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     whole[first[:-1][(count >= GRAM) & (count < GRAM + WINDOW - 1)]] = True
     grams = np.unique(_least(padded, WINDOW)[whole])
     if not len(grams):
-        return none, none, none, none, np.zeros(0, bool)
+        return none, none, none, none, none, none, np.zeros(0, bool)
     new = np.ones(len(grams), bool)
     new[1:] = (h[grams[1:]] != h[grams[:-1]]) | (row[grams[1:]] != row[grams[:-1]]) | (np.diff(grams) >= GRAM)
     part = (grams - grams[new][np.cumsum(new) - 1]) // (WINDOW // 2)
@@ -108,7 +118,7 @@ def gram_slice(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     keep[1:] |= part[1:] != part[:-1]
     grams, again = grams[keep], ~new[keep]
     r = row[grams]
-    return r, starts[grams] - at[r], ends[grams + GRAM - 1] - at[r], h[grams].view(np.int64), again
+    return r, starts[grams] - at[r], ends[grams + GRAM - 1] - at[r], h[grams].view(np.int64), *_around(starts, ends, first, r, grams, grams + GRAM - 1), again
 
 
 def _keys(docs: DataFrame) -> tuple[Column, Column]:
@@ -117,8 +127,8 @@ def _keys(docs: DataFrame) -> tuple[Column, Column]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(k1, k2, w, n, s, e, h, again) of every chunk and gram of every text: keys, whether it is a gram, number within the text's
-    chunks or grams, bytes from and to, hash, and whether it goes on with the one before."""
+    """(k1, k2, w, n, s, e, h, lead, tail, again) of every chunk and gram of every text: keys, whether it is a gram, number within the text's
+    chunks or grams, bytes from and to, hash, bytes of context, and whether it goes on with the one before."""
     k1, k2 = _keys(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,30 +137,36 @@ def chunks(docs: DataFrame) -> DataFrame:
             for i, j in _text.slices(at):
                 piece, of = data[at[i] : at[j]], at[i : j + 1] - at[i]
                 found = chunk_slice(piece, of)
-                for w, (row, s, e, h, again) in enumerate(((*found, np.zeros(len(found[0]), bool)), gram_slice(piece, of))):
+                for w, (row, *values) in enumerate(((*found, np.zeros(len(found[0]), bool)), gram_slice(piece, of))):
                     n = np.arange(len(row)) - np.searchsorted(row, row)
                     own = pa.array(row + i)
                     kind = np.full(len(row), w == 1)
-                    yield pa.RecordBatch.from_arrays([batch["k1"].take(own), batch["k2"].take(own), *map(pa.array, (kind, n, s, e, h, again))], ["k1", "k2", "w", "n", "s", "e", "h", "again"])
+                    yield pa.RecordBatch.from_arrays([batch["k1"].take(own), batch["k2"].take(own), *map(pa.array, (kind, n, *values))], ["k1", "k2", "w", "n", "s", "e", "h", "lead", "tail", "again"])
+        _text.trim()
 
-    return docs.select(k1.alias("k1"), k2.alias("k2"), "text").mapInArrow(cut, "k1 long, k2 long, w boolean, n long, s long, e long, h long, again boolean")
+    return docs.select(k1.alias("k1"), k2.alias("k2"), "text").mapInArrow(cut, "k1 long, k2 long, w boolean, n long, s long, e long, h long, lead long, tail long, again boolean")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(k1, k2, s, e, o1, o2, os, oe): runs of chunks and the first occurrence of the same hashes."""
+    """(k1, k2, s, e, o1, o2, os, oe, lead, tail): runs of chunks, the first occurrence of the same hashes, and its bytes of context."""
     occurs = save(chunks(docs), "chunks")
-    owner = F.min(F.struct("k1", "k2", "s", "e", "n"))
+    owner = F.min(F.struct("k1", "k2", "s", "e", "n", "lead", "tail"))
     firsts = occurs.groupBy("h").agg(owner.alias("o"), F.count("*").alias("c")).where("c > 1").drop("c")
     firsts = save(firsts, "first-chunks")
-    later = occurs.join(firsts, "h").where("struct(k1, k2, s, e) != struct(o.k1, o.k2, o.s, o.e) and not (again and k1 = o.k1 and k2 = o.k2)")
+    later = occurs.drop("lead", "tail").join(firsts, "h").where("struct(k1, k2, s, e) != struct(o.k1, o.k2, o.s, o.e) and not (again and k1 = o.k1 and k2 = o.k2)")
+    later = later.dropDuplicates(["k1", "k2", "w", "n"])  # repeated rows
     order = Window.partitionBy("k1", "k2", "w").orderBy("n")
     before = lambda c: F.lag(c).over(order)
     joined = (before("n") == F.col("n") - 1) & (before("o.k1") == F.col("o.k1")) & (before("o.k2") == F.col("o.k2")) & (before("o.n") == F.col("o.n") - 1)
     numbered = later.withColumn("new", F.when(joined & (F.col("s") - before("s") == F.col("o.s") - before("o.s")), 0).otherwise(1))
     runs = numbered.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("k1", "k2", "w", "run")
-    return runs.agg(
-        F.min("s").alias("s"), F.max("e").alias("e"), F.first("o.k1").alias("o1"), F.first("o.k2").alias("o2"), F.min("o.s").alias("os"), F.max("o.e").alias("oe")
-    ).drop("w", "run")
+    found = save(runs.agg(
+        F.min("s").alias("s"), F.max("e").alias("e"), F.first("o.k1").alias("o1"), F.first("o.k2").alias("o2"), F.min("o.s").alias("os"), F.max("o.e").alias("oe"),
+        F.min_by("o.lead", "o.s").alias("lead"), F.max_by("o.tail", "o.e").alias("tail"),
+    ).drop("w", "run"), "runs")
+    drop(occurs)
+    drop(firsts)
+    return found
 
 
 def _grow(text: bytes, s: int, e: int, first: bytes, lead: int) -> tuple[int, int] | None:
@@ -205,44 +221,40 @@ def _clean_batch(text: pa.Array, runs: pa.Array) -> pa.Array:
             continue
         new, gone = remove_runs(t.as_py().encode(), [(x["s"], x["e"], x["b"], x["lead"]) for x in r.as_py()])
         # a cut between the bytes of a character can't occur: both ends stand beside white space or an end of the run
-        out.append({"text": new.decode("utf-8", "ignore"), "spans": [{"start": a, "end": b} for a, b in gone]})
+        out.append({"text": new.decode(), "spans": [{"start": a, "end": b} for a, b in gone]})
     return pa.array(out, _DONE)
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` without repeated chunks and a column ``_spans`` of the byte ranges removed from the text before.
+def deduplicated(docs: DataFrame, spans: str = "_spans") -> DataFrame:
+    """``docs`` with ``text`` without repeated chunks and a column ``spans``, new to ``docs``, of the byte ranges removed from the text before.
 
     All columns and rows stay; a text of which nothing is left is empty.  Null texts stay null.  Rows with
     equal id and text are one document: all of them keep what any of them keeps.  A document without
     repeated chunks isn't shuffled: a bit array of fixed size tells those that may have some.
     """
-    runs = save(repeated_runs(docs), "runs")
+    if spans in docs.columns:
+        raise ValueError(f"{spans} is a column already")
+    runs = repeated_runs(docs)
     both = runs.select("k1", "k2").unionByName(runs.select(F.col("o1").alias("k1"), F.col("o2").alias("k2")))
     touched, held = members(runs, "k1", "k2"), members(both, "k1", "k2")
     k1, k2 = _keys(docs)
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
-    texts = docs.select(k1.alias("o1"), k2.alias("o2"), F.col("text").cast("binary").alias("b")).where(member_column(held, "o1", "o2"))
+    texts = only_members(docs.select(k1.alias("o1"), k2.alias("o2"), F.col("text").cast("binary").alias("b")), held, "o1", "o2")
     texts = texts.groupBy("o1", "o2").agg(F.first("b").alias("b"))
-    spans = runs.select("o1", "o2", "os", "oe").distinct()
-    start = F.greatest(F.col("os") - CONTEXT, F.lit(0))
-    bytes_of = save(
-        spans.join(texts, ["o1", "o2"]).select(
-            "o1", "o2", "os", "oe", (F.col("os") - start).cast("int").alias("lead"), F.expr(f"substring(b, int(greatest(os - {CONTEXT}, 0)) + 1, int(oe + {CONTEXT} - greatest(os - {CONTEXT}, 0)))").alias("b")
-        ),
-        "first-occurrences",
-    )
+    owned = runs.groupBy("o1", "o2", "os", "oe").agg(F.max("lead").alias("lead"), F.max("tail").alias("tail"))
+    piece = F.expr("substring(b, int(os - lead) + 1, int(oe + tail - os + lead))")
+    bytes_of = save(owned.join(texts, ["o1", "o2"]).select("o1", "o2", "os", "oe", F.col("lead").cast("int").alias("lead"), piece.alias("b")), "first-occurrences")
+    m1, m2, r1, r2, may, new, own = free_names(docs, "_k1", "_k2", "_r1", "_r2", "_may", "_new", "_runs")
     per_doc = (
-        runs.join(bytes_of, ["o1", "o2", "os", "oe"]).groupBy(F.col("k1").alias("_r1"), F.col("k2").alias("_r2"))
-        .agg(F.collect_list(F.struct("s", "e", "b", "lead")).alias("_runs"))  # the runs of one text, which its length bounds
+        runs.drop("lead", "tail").join(bytes_of, ["o1", "o2", "os", "oe"]).groupBy(F.col("k1").alias(r1), F.col("k2").alias(r2))
+        .agg(F.collect_list(F.struct("s", "e", "b", "lead")).alias(own))  # the runs of one text, which its length bounds
     )
-    may = member_column(touched, "_k1", "_k2")
-    marked = keyed.withColumn("_may", may)
+    marked = with_member(docs.withColumns({m1: k1, m2: k2}), touched, may, m1, m2)
     names = docs.columns
     empty = F.array().cast("array<struct<start:long,end:long>>")
-    left = marked.where("not _may").select(*names, empty.alias("_spans"))
-    some = marked.where("_may").join(per_doc, (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")), "left")
-    some = some.withColumn("_new", F.arrow_udf(_clean_batch, "text string, spans array<struct<start:long,end:long>>")("text", "_runs"))
-    return left.unionByName(some.select(*(F.col("_new.text").alias(c) if c == "text" else F.col(c) for c in names), F.col("_new.spans").alias("_spans")))
+    left = marked.where(~F.col(may)).select(*names, empty.alias(spans))
+    some = marked.where(may).join(per_doc, (F.col(m1) == F.col(r1)) & (F.col(m2) == F.col(r2)), "left")
+    some = some.withColumn(new, F.arrow_udf(_clean_batch, "text string, spans array<struct<start:long,end:long>>")("text", own))
+    return left.unionByName(some.select(*(F.col(f"{new}.text").alias(c) if c == "text" else F.col(c) for c in names), F.col(f"{new}.spans").alias(spans)))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,9 @@ opened, and overlaps counted with all members at once.  The links give connected
 Before that, each node is compared with the smallest node of its bands.  The links found so join near copies in time
 proportional to their number; parts whose members all link with the same node aren't compared again.
 
+Token sets are sent only for pairs of nodes that a short sketch lets pass: a bit array of the parities of
+the tokens, whose differences bound the overlap from above.
+
 The order in which tokens count as rare comes from an array of levels of a fixed size, made from how many
 texts have a token in their prefixes.  Any order gives the same links; a good one opens fewer parts.
 """
@@ -25,17 +28,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnspark.llm import _text
-from tarnspark.llm._bitmap import holds, member_column, members, slot_of
-from tarnspark.llm._scratch import drop, save
+from tarnspark.llm._bitmap import members, only_members, with_member
+from tarnspark.llm._scratch import drop, free_names, save
 from tarnspark.llm.components import components
 
 #: Min-hash bands that propose groups, and hashes in each.
 BANDS, ROWS = 8, 3
-#: Times that the order of tokens is made better.
-ROUNDS = 1
 #: Slots of the array of levels (a byte each), and tokens of a part of a group, about.
 SLOTS = 1 << 22
 PART_TOKENS = 1 << 16
+#: Rows that a token is in, from which on it counts as common; overlap in percent, from which on nodes of a band are grouped.
+COMMON, SIMILAR = 4, 60
+#: Rows of a batch of token sets, and of one of opened parts.
+SETS, OPENED = 128, 16
 _ODD = _text.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -56,6 +61,25 @@ def _tokens(scalar: pa.Scalar) -> np.ndarray:
     return np.frombuffer(scalar.as_buffer(), np.uint64)
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """How many tokens fall on each of at least four slots a token, odd (1) or even (0), as a bit array."""
+    size = max(512, 1 << (4 * len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount((tokens & _text.U(size - 1)).astype(np.int64), minlength=size) & 1)
+
+
+def may_link(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, percent: int) -> bool:
+    """False only for sets that don't link: two sets differ in at least as many tokens as their sketches in bits.
+
+    The longer sketch is folded to the length of the other; parities of folded slots add up.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    most = (n_a + n_b - int(np.bitwise_count(a ^ b).sum())) // 2
+    return most * (100 + percent) >= percent * (n_a + n_b)
+
+
 def _node(tokens: np.ndarray) -> bytes:
     """What stands for a set: 96 bits of a cryptographic hash."""
     return hashlib.blake2b(tokens.tobytes(), digest_size=12).digest()
@@ -70,9 +94,9 @@ def _bands(tokens: np.ndarray) -> list[int]:
     return mixed.view(np.int64).tolist()
 
 
-def _prefix(tokens: np.ndarray, percent: int, level: np.ndarray | None) -> np.ndarray:
-    """The rarest tokens; any set that links to this one has one of them, and in its own prefix too."""
-    length = len(tokens) - required(len(tokens), percent) + 1 if len(tokens) else 0
+def _prefix(tokens: np.ndarray, percent: int, level: np.ndarray | None, more: int = 0) -> np.ndarray:
+    """The rarest tokens, and ``more`` that follow; any set that links to this one has one of the former, and in its own prefix too."""
+    length = len(tokens) - required(len(tokens), percent) + 1 + more if len(tokens) else 0
     if level is not None and len(tokens):
         rank = level[(tokens % _text.U(SLOTS)).astype(np.int64)]
         if rank.any():
@@ -98,18 +122,19 @@ def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 prefix.append(_prefix(tokens, percent, None))
             columns = [batch["doc_id"], batch["x"], pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), _lists(prefix)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "x", "n", "node", "bands", "prefix"])
+        _text.trim()
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("x"), "text")
     return keyed.mapInArrow(describe, "doc_id long, x long, n long, node binary, bands array<long>, prefix array<long>")
 
 
 def token_levels(prefixes: DataFrame, sizes: int = SLOTS) -> np.ndarray:
-    """For each slot the binary logarithm (15 at most) of the most rows that one of its tokens is in.
+    """For each slot the binary logarithm (15 at most) of the most rows that one of its common tokens is in, else 0.
 
     ``sizes`` bytes reach the driver, in blocks, whatever the data.
     """
     block = 1 << 12
-    counts = prefixes.select(F.explode("prefix").alias("t")).groupBy("t").count().where("count > 1")
+    counts = prefixes.select(F.explode("prefix").alias("t")).groupBy("t").count().where(f"count >= {COMMON}")
     level = F.least(F.floor(F.log2("count")), F.lit(15)).cast("int")
     slots = counts.groupBy(F.expr(f"int(t & {sizes - 1})").alias("s")).agg(F.max(level).alias("v"))
     packed = slots.groupBy(F.shiftright("s", 12).alias("b")).agg(F.collect_list(F.col("s").bitwiseAND(block - 1) * 16 + F.col("v")).alias("x"))  # at most a block's slots
@@ -121,6 +146,25 @@ def token_levels(prefixes: DataFrame, sizes: int = SLOTS) -> np.ndarray:
     return out
 
 
+def newcomers(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
+    """(prefix): for every row whose prefix changes with ``levels``, the tokens that come into it and as many more that may follow."""
+    sent = docs.sparkSession.sparkContext.broadcast(levels.tobytes())
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.frombuffer(sent.value, np.uint8)
+        for batch in _text.pieces(batches):
+            found = []
+            for tokens in _text.row_shingle_sets(batch["text"], k):
+                first = _prefix(tokens, percent, None)
+                out = int(np.count_nonzero(level[(first.view(np.uint64) % _text.U(SLOTS)).astype(np.int64)]))
+                if out:
+                    found.append(np.setdiff1d(_prefix(tokens, percent, level, 2 * out), first))
+            yield pa.RecordBatch.from_arrays([_lists(found)], ["prefix"])
+        _text.trim()
+
+    return docs.select("text").mapInArrow(find, "prefix array<long>")
+
+
 def ranked_prefixes(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
     """(node, n, prefix) of every row that isn't empty, by the order of ``levels``."""
     sent = docs.sparkSession.sparkContext.broadcast(levels.tobytes())
@@ -131,38 +175,71 @@ def ranked_prefixes(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -
             sets = [t for t in _text.row_shingle_sets(batch["text"], k) if len(t)]
             columns = [pa.array([_node(t) for t in sets], pa.binary()), pa.array([len(t) for t in sets], pa.int64()), _lists([_prefix(t, percent, level) for t in sets])]
             yield pa.RecordBatch.from_arrays(columns, ["node", "n", "prefix"])
+        _text.trim()
 
     return docs.select("text").mapInArrow(cut, "node binary, n long, prefix array<long>")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, tokens) of the wanted (node, doc_id) rows: the set of one document of each.
+def _made_of(docs: DataFrame, wanted: DataFrame, k: int, column: str, make) -> DataFrame:
+    """(node, n, column): what ``make`` gives for the set of one document of each wanted (node, doc_id).
 
-    Texts are read where they lie; a bit array of a fixed size tells which rows may be wanted.
+    Texts are read where they lie; bit arrays of a fixed size tell which rows may be wanted, so a few more nodes may come along.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(members(wanted, "doc_id"))
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(sent.value, np.uint8)
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.pieces(batches):
-            may = batch.filter(pa.array(holds(bits, batch["slot"].to_numpy(zero_copy_only=False))))
-            held = list(_text.row_shingle_sets(may["text"], k))
-            yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in held], pa.binary()), pa.array([t.tobytes() for t in held], pa.binary())], ["node", "tokens"])
+            held = list(_text.row_shingle_sets(batch["text"], k))
+            columns = [pa.array([_node(t) for t in held], pa.binary()), pa.array([len(t) for t in held], pa.int64()), pa.array([make(t).tobytes() for t in held], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", column])
+        _text.trim()
+
+    rows = only_members(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), members(wanted, "doc_id"), "doc_id").select("text")
+    made = only_members(rows.mapInArrow(compute, f"node binary, n long, {column} binary"), members(wanted, "node"), "node")
+    return made.groupBy("node").agg(F.first("n").alias("n"), F.first(column).alias(column))
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(slot_of("doc_id").alias("slot"), "text")
-    made = keyed.mapInArrow(tokens, "node binary, tokens binary")
-    return made.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, tokens) of the wanted (node, doc_id) rows, and perhaps of others."""
+    return _made_of(docs, wanted, k, "tokens", lambda t: t).select("node", "tokens")
 
-def _verified(pairs: DataFrame, percent: int) -> DataFrame:
-    """The rows (a, b, x, y) whose sets x and y link, as (a, b)."""
+
+def passed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int, wide: int | None = None) -> DataFrame:
+    """(a, b, close): the pairs of nodes whose sketches don't rule out an overlap of ``wide`` percent (``percent`` by default); close: nor a link."""
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = save(nodes.select("node", "doc_id").join(named, "node", "left_semi"), "sketched")
+    sketches = save(_made_of(docs, wanted, k, "sketch", sketch), "sketches", "uncompressed")
+    left, right = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _text.pieces(batches):
+            rows = [(np.frombuffer(a.as_buffer(), np.uint8), m.as_py(), np.frombuffer(b.as_buffer(), np.uint8), n.as_py()) for a, m, b, n in zip(*(batch[c] for c in ("sa", "na", "sb", "nb")), strict=True)]
+            keep = [i for i, r in enumerate(rows) if may_link(*r, wide or percent)]
+            kept = batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            yield kept.append_column("close", pa.array([may_link(*rows[i], percent) for i in keep], pa.bool_()))
+        _text.trim()
+
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "na", "sb", "nb")
+    found = save(both.mapInArrow(test, "a binary, b binary, close boolean"), "passed", rows=SETS)
+    drop(sketches)
+    return found
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The rows (a, b) of pairs of nodes that link, from those whose sketches passed."""
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = save(nodes.select("node", "doc_id").join(named, "node", "left_semi"), "named-nodes")
+    sets = save(sets_of(docs, wanted, k), "sets", "uncompressed")
+    left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.pieces(batches, 64):
             keep = [i for i, (x, y) in enumerate(zip(batch["x"], batch["y"], strict=True)) if links(_tokens(x), _tokens(y), percent)]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        _text.trim()
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary")
+    found = save(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary"), "verified", rows=SETS)
+    drop(sets)
+    return found
 
 
 def star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
@@ -174,16 +251,6 @@ def star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     return save(banded.join(smallest, "band").where((F.col("node") != F.col("b")) & close).select(F.col("node").alias("a"), "b").distinct(), "star-pairs")
 
 
-def star_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that link."""
-    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = save(sets_of(docs, save(nodes.join(named, "node", "left_semi").select("node", "doc_id"), "star-nodes"), k), "star-sets", "uncompressed")
-    left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    found = save(_verified(pairs.join(left, "a").join(right, "b"), percent), "star-links")
-    drop(sets)
-    return found
-
-
 def leaders(pairs: DataFrame) -> DataFrame:
     """(node, label) of the nodes of pairs (a, b), b being the smaller: the smallest partner, or the node itself."""
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
@@ -331,7 +398,7 @@ def least_common(lo: Column, hi: Column, lo2: Column, hi2: Column, percent: int)
 
 def candidate_parts(ranked: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(g, part, g2, part2): parts that may hold linked sets, in one order, a part of several components with itself too."""
-    may = ranked.withColumn("may", member_column(members(groups, "node"), "node"))
+    may = with_member(ranked, members(groups, "node"), "may", "node")
     alone: Column = F.xxhash64("node")
     inside = may.where("may").drop("may").join(groups.select(F.col("node").alias("gn"), "g", "part", "v"), F.col("node") == F.col("gn"), "left")
     placed = may.where("not may").select("n", "prefix", alone.alias("g"), F.lit(0).cast("long").alias("part"), alone.alias("v")).unionByName(
@@ -339,8 +406,7 @@ def candidate_parts(ranked: DataFrame, groups: DataFrame, percent: int) -> DataF
     )
     tokens = placed.select("g", "part", "v", "n", F.explode("prefix").alias("t"))
     shared = tokens.groupBy("t").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a != b")
-    held = members(shared, "t")
-    index = tokens.where(member_column(held, "t")).groupBy("t", "g", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("v").alias("va"), F.max("v").alias("vb"))
+    index = only_members(tokens, members(shared, "t"), "t").groupBy("t", "g", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("v").alias("va"), F.max("v").alias("vb"))
     index = save(index, "index")
     other = index.select("t", *(F.col(c).alias(f"{c}2") for c in ("g", "part", "lo", "hi", "va", "vb")))
     fits = (100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo"))
@@ -360,22 +426,35 @@ def candidate_parts(ranked: DataFrame, groups: DataFrame, percent: int) -> DataF
 
 
 def cross_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, pairs: DataFrame, k: int, percent: int, count: bool = False) -> DataFrame:
-    """(a, b): the links between members of the parts that their components need; with ``count`` (node, links), how many there are at all."""
+    """(a, b): the links between members of the parts that their components need; with ``count`` (node, links), how many there are at all.
+
+    Parts of one node each are compared as nodes; pairs with a larger part are opened from the matrix.
+    """
     alone: Column = F.xxhash64("node")
     named = save(pairs.select("g", "part").unionByName(pairs.select(F.col("g2").alias("g"), F.col("part2").alias("part"))).distinct(), "named")
     every = nodes.join(groups.select("node", "g", "part"), "node", "left").select("node", "doc_id", F.coalesce("g", alone).alias("g"), F.coalesce("part", F.lit(0)).alias("part"))
     wanted = save(every.join(named, ["g", "part"], "left_semi"), "wanted")
-    sets = sets_of(docs, wanted, k).join(wanted.select("node", "g", "part"), "node")
-    matrix = save(sets.groupBy("g", "part").applyInArrow(_matrix_rows, "g long, part long, union binary, members array<struct<node:binary,tokens:binary>>"), "matrix", "uncompressed")
+    single = wanted.groupBy("g", "part").agg(F.count("*").alias("m"), F.min("node").alias("node"))
+    single = save(single.select("g", "part", F.when(F.col("m") == 1, F.col("node")).alias("node")), "single")
+    second = single.select(F.col("g").alias("g2"), F.col("part").alias("part2"), F.col("node").alias("b"))
+    placed = save(pairs.join(single.withColumnRenamed("node", "a"), ["g", "part"]).join(second, ["g2", "part2"]), "placed-pairs")
+    one = placed.where("a is not null and b is not null and a != b").select("a", "b")
+    plain = verified(docs, nodes, passed(docs, nodes, one, k, percent), k, percent)
+    pairs = placed.where("a is null or b is null").select("g", "part", "g2", "part2")
+    large = pairs.select("g", "part").unionByName(pairs.select(F.col("g2").alias("g"), F.col("part2").alias("part"))).distinct()
+    held = save(wanted.join(large, ["g", "part"], "left_semi"), "held")
+    sets = sets_of(docs, held, k).join(held.select("node", "g", "part"), "node")
+    matrix = save(sets.groupBy("g", "part").applyInArrow(_matrix_rows, "g long, part long, union binary, members array<struct<node:binary,tokens:binary>>"), "matrix", "uncompressed", SETS)
     first = matrix.select("g", "part", F.col("union").alias("u1"), F.col("members").alias("m1"))
     second = matrix.select(F.col("g").alias("g2"), F.col("part").alias("part2"), F.col("union").alias("u2"), F.col("members").alias("m2"))
     opened = pairs.join(first, ["g", "part"]).join(second, ["g2", "part2"])
     if count:
         same = ((F.col("g") == F.col("g2")) & (F.col("part") == F.col("part2"))).alias("same")
         counts = opened.select("m1", "m2", "u1", "u2", same).mapInArrow(_counted(percent), "node binary, links long")
-        found = save(counts.groupBy("node").agg(F.sum("links").alias("links")), "link-counts")
+        once = plain.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("links"))
+        found = save(counts.unionByName(once).groupBy("node").agg(F.sum("links").alias("links")), "link-counts", rows=OPENED)
     else:
-        found = save(opened.select("m1", "m2", "u1", "u2").mapInArrow(_opened(percent), "a binary, b binary"), "cross-links")
+        found = plain.unionByName(save(opened.select("m1", "m2", "u1", "u2").mapInArrow(_opened(percent), "a binary, b binary"), "cross-links", rows=OPENED))
     drop(matrix)
     return found
 
@@ -394,17 +473,16 @@ def joined(docs: DataFrame, k: int, percent: int, count: bool = False) -> DataFr
     levels = token_levels(seen.select("prefix"))
     whole, seen = seen, save(seen.select("doc_id", "x", "n", "node"), "seen")
     drop(whole)
+    new = save(newcomers(docs, k, percent, levels), "newcomers")  # tokens that come into a prefix for a commoner one may be common too
+    levels = np.maximum(levels, token_levels(new))
+    drop(new)
     ranked = save(ranked_prefixes(docs, k, percent, levels), "prefixes")
-    for _ in range(ROUNDS):  # tokens that came into a prefix for a commoner one may be common too
-        levels = np.maximum(levels, token_levels(ranked.select("prefix")))
-        drop(ranked)
-        ranked = save(ranked_prefixes(docs, k, percent, levels), "prefixes")
-    pairs = star_pairs(nodes, percent)
-    stars = star_links(docs, nodes, pairs, k, percent)
-    groups = grouped(nodes, pairs, stars)
+    near = passed(docs, nodes, star_pairs(nodes, percent), k, percent, SIMILAR)
+    stars = verified(docs, nodes, near.where("close"), k, percent)
+    groups = grouped(nodes, near, stars)
     parts = candidate_parts(ranked, groups, percent)
     if count:
-        single = grouped(nodes, pairs, stars.limit(0))  # no nodes are joined, so that no pair of parts is left out
+        single = grouped(nodes, near, stars.limit(0))  # no nodes are joined, so that no pair of parts is left out
         counts = cross_links(docs, nodes, single, candidate_parts(ranked, single, percent), k, percent, count=True)
     drop(ranked)
     crossed = cross_links(docs, nodes, groups, parts, k, percent)
@@ -441,13 +519,17 @@ def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest id (null last), of least text hash among its texts.
 
-    Rows with an empty set all stay.  The texts are shuffled once.
+    Rows with an empty set all stay.  Only the texts of rows that aren't alone in their component are shuffled; a bit array of
+    fixed size tells them.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    first = joined(docs, k, percent).where("n > 0").groupBy("root").agg(F.min(F.struct(key.alias("id"), "x")).alias("m"))
-    kept = save(first.select(F.col("m.id").alias("_id"), F.col("m.x").alias("_x")), "kept")
+    k1, k2, blank_, may, id_, x_ = free_names(docs, "_key", "_hash", "_blank", "_may", "_id", "_x")
+    rooted = save(joined(docs, k, percent).where("n > 0").select(key.alias("id"), "x", "root"), "rooted-rows")
+    firsts = rooted.groupBy("root").agg(F.min(F.struct("id", "x")).alias("m"), F.count("*").alias("c")).where("c > 1").select("root", "m")
+    shared = save(rooted.join(save(firsts, "firsts"), "root").select("id", "x", (F.struct("id", "x") != F.col("m")).alias("later")).distinct(), "shared-rows")
+    dropped = shared.where("later").select(F.col("id").alias(id_), F.col("x").alias(x_))
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.withColumns({"_key": key, "_hash": F.xxhash64("text"), "_blank": blank})
-    some = rows.where("not _blank").join(kept, (F.col("_key") == F.col("_id")) & (F.col("_hash") == F.col("_x")), "left_semi")
-    one = some.dropDuplicates(["_key", "_hash"])  # repeated rows
-    return rows.where("_blank").select(*docs.columns).unionByName(one.select(*docs.columns))
+    rows = with_member(docs.withColumns({k1: key, k2: F.xxhash64("text"), blank_: blank}), members(shared, "id", "x"), may, k1, k2)
+    doubtful = rows.where(F.col(may) & ~F.col(blank_)).join(dropped, (F.col(k1) == F.col(id_)) & (F.col(k2) == F.col(x_)), "left_anti")
+    one = doubtful.dropDuplicates([k1, k2])  # repeated rows
+    return rows.where(~F.col(may) | F.col(blank_)).select(*docs.columns).unionByName(one.select(*docs.columns))

@@ -89,7 +89,7 @@ def test_any_fifty_words_share_a_gram_inside():
 
     def grams(words, a, b):
         text = " ".join(words).encode()
-        _, s, e, h, _ = line_dedup.gram_slice(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        _, s, e, h, *_ = line_dedup.gram_slice(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
         lo, hi = len(" ".join(words[:a]).encode()), len(" ".join(words[:b]).encode())
         return {x for x, i, j in zip(h.tolist(), s.tolist(), e.tolist(), strict=True) if i >= lo and j <= hi}
 
@@ -110,3 +110,43 @@ def test_passages_without_sentences_go(spark):
     assert " ".join(passage) in got[0].text and got[0].removed_bytes == 0
     for k in range(1, 12):
         assert got[k].text == " ".join([*own[k][0], *own[k][1]])
+
+
+def test_long_words_are_compared_to_the_end(spark):
+    """A shared passage whose words are thousands of bytes long goes as a whole."""
+    passage = ["".join(rnd.choice("abcdefgh") for _ in range(1500)) for _ in range(60)]
+    got = run(spark, [(1, " ".join(["start", *passage, "end"])), (2, " ".join(["other", *passage, "close"]))])
+    assert got[2].text == "other close" and got[1].removed_bytes == 0
+
+
+def test_against_brute_force(spark):
+    """What goes stands elsewhere byte for byte, what stays is the rest, and no 50 words of what stays stand in another text that stays."""
+    passages = [plain(n) for n in (50, 51, 60, 120)] + [prose(9).split()]
+    rows = []
+    for k in range(40):
+        words = plain(rnd.randrange(20, 80))
+        for p in rnd.sample(passages, rnd.randrange(0, 3)):
+            words += p + plain(rnd.randrange(1, 40))
+        rows.append((k, rnd.choice([" ", "\n"]).join(words)))
+    rows += [(100 + k, rows[k][1]) for k in range(5)]
+    got, texts = run(spark, rows), dict(rows)
+    seen = {}
+    for d, r in got.items():
+        raw = texts[d].encode()
+        for x in r.removed_spans:
+            piece = raw[x.start : x.end].strip()
+            assert any(piece in t.encode() for o, t in texts.items() if o != d) or raw.count(piece) > 1
+        gone = sum(x.end - x.start for x in r.removed_spans)
+        assert gone == r.removed_bytes and len(raw) - gone >= len((r.text or "").encode()) >= len(raw) - gone - 2 * len(r.removed_spans)
+        words = (r.text or "").split()
+        for i in range(len(words) - 49):
+            assert seen.setdefault(" ".join(words[i : i + 50]), d) == d
+    assert all(got[k].text == t for k, t in rows if not any(" ".join(p[:50]) in t.replace("\n", " ") for p in passages) and k < 100 and k not in range(5))
+
+
+def test_columns_with_clashing_names_pass_through(spark):
+    names = ["_k1", "_k2", "_r1", "_r2", "_may", "_new", "_runs", "_slot", "_word", "_bits", "h", "n"]
+    t = prose(12)
+    df = spark.createDataFrame([(k, f"{sentence()} {t}", *range(k, k + len(names))) for k in range(4)], f"doc_id long, text string, {', '.join(f'{n} long' for n in names)}")
+    got = line_dedup.deduplicated(df).collect()
+    assert all([r[n] for n in names] == list(range(r.doc_id, r.doc_id + len(names))) for r in got) and sum(bool(r._spans) for r in got) == 3

@@ -72,10 +72,27 @@ def test_small_parts_and_few_bands_lose_nothing(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(ngram_join, "PART_TOKENS", 200)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_documents(df, 4, 85).collect()), key=str) == plain(rows, 4, 85)
-    monkeypatch.setattr(ngram_join, "star_links", lambda docs, nodes, pairs, k, percent: docs.sparkSession.createDataFrame([], "a binary, b binary"))
+    monkeypatch.setattr(ngram_join, "star_pairs", lambda nodes, percent: nodes.sparkSession.createDataFrame([], "a binary, b binary"))
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_documents(df, 4, 85).collect()), key=str) == plain(rows, 4, 85)
 
 
+def test_sketches_never_rule_out_a_link():
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    ruled = 0
+    for n in (1, 2, 30, 300, 5000):
+        for share in (0.0, 0.01, 0.05, 0.08, 0.5):
+            a = np.unique(rnd.integers(0, 2**63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[: len(a) - int(share * n)], rnd.integers(0, 2**63, int(share * n) + n // 40).astype(np.uint64)]))
+            if not len(b):
+                continue
+            may = ngram_join.may_link(ngram_join.sketch(a), len(a), ngram_join.sketch(b), len(b), 85)
+            assert may or not ngram_join.links(a, b, 85)
+            ruled += not may
+    assert ruled >= 3
+
+
 def test_parts_are_compared_exactly():
     import numpy as np
 
