@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Documents fall into cells of (source, language, topic).  The cells' token totals are raked until
-the marginals of all three dimensions meet their targets; a document is then kept with
+Documents fall into cells of (source, language, topic).  The cells' token totals are raked, with no
+probability above 1, until the marginals of all three dimensions meet their targets; a document is then kept with
 the calibrated probability of its cell, decided by a hash of its id.
 """
 
@@ -16,17 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnspark.llm import _text
-from tarnspark.llm._scratch import drop, save
+from tarnspark.llm._scratch import drop, free_names, save
 
-#: Cells that the driver rakes itself and broadcasts; a larger table of cells is raked as a DataFrame.
-CELLS = 100_000
-ROUNDS, TOLERANCE = 200, 1e-9
+#: Cells that raking takes, at most: the rows that the driver holds and broadcasts.  More raise an error, as nobody states targets for so many.
+CELLS = 200_000
+#: Rounds of raking, error of a share at which targets count as met, and halvings of the way from the shares that are there to the targets.
+ROUNDS, TOLERANCE, HALVINGS = 400, 2e-4, 10
 #: The part of all tokens that is kept.
 SHARE = 0.8
 #: Dimensions of a document's vector; topics; rounds of k-means at most.
 TOPIC_SPACE, TOPICS, TOPIC_ROUNDS = 512, 6, 20
-#: Vectors are added up as whole numbers of this part of one, so that sums don't depend on the order of rows.
-GRAIN = 1 << 24
+#: Vectors are kept as whole numbers of this part of one, a byte each, so that sums don't depend on the order of rows; movement at which centres count as settled.
+GRAIN, SETTLED = 255, 1e-3
 DIMENSIONS = ("source", "lang", "topic")
 #: Stands for null in a dimension.
 NONE = "\x00none"
@@ -47,11 +48,13 @@ def _vectors(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12), n_words
 
 
-def _stacked(column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """Pieces of a column of saved vectors, and the vectors as rows."""
+def _stacked(column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Pieces of a column of saved vectors, the whole numbers in them as rows, and the same as unit vectors."""
     for i in range(0, len(column), 1024):
         part = column.slice(i, 1024)
-        yield part, np.frombuffer(b"".join(part.to_pylist()), np.float32).reshape(-1, TOPIC_SPACE).astype(float)
+        data, at = _text.buffers(part)
+        x = data[at[0] : at[-1]].reshape(-1, TOPIC_SPACE).astype(np.float32)
+        yield part, x, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1)
 
 
 def _farthest(vectors: DataFrame, centers: np.ndarray) -> np.ndarray:
@@ -60,15 +63,21 @@ def _farthest(vectors: DataFrame, centers: np.ndarray) -> np.ndarray:
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: tuple[float, bytes] | None = None
         for batch in batches:
-            for part, x in _stacked(batch["v"]):
-                near = np.round((x @ centers.T).max(1), 9)
+            for part, _, x in _stacked(batch["v"]):
+                near = np.round((x @ centers.T).max(1), 6)
                 found = min((float(near[k]), part[int(k)].as_py()) for k in np.flatnonzero(near == near.min()))
                 best = found if best is None else min(best, found)
         if best is not None:
             yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary())], ["d", "v"])
+        _text.trim()
 
     found = vectors.mapInArrow(least, "d double, v binary").agg(F.min(F.struct("d", "v")).alias("m")).first()["m"]
-    return np.frombuffer(found["v"], np.float32).astype(float)
+    return _unit(found["v"])
+
+
+def _unit(raw: bytes) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint8).astype(float)
+    return x / np.linalg.norm(x)
 
 
 def _sums(vectors: DataFrame, centers: np.ndarray) -> np.ndarray:
@@ -77,9 +86,10 @@ def _sums(vectors: DataFrame, centers: np.ndarray) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(centers), TOPIC_SPACE))  # whole numbers below 2**53, so exact
         for batch in batches:
-            for _, x in _stacked(batch["v"]):
-                own = np.round(x @ centers.T, 9).argmax(1)
-                total += (own == np.arange(len(centers))[:, None]).astype(float) @ np.rint(x * GRAIN)
+            for _, whole, x in _stacked(batch["v"]):
+                own = np.round(x @ centers.T, 6).argmax(1)
+                total += (own == np.arange(len(centers))[:, None]).astype(np.float32) @ whole  # at most 1024 * 255 in single precision
+        _text.trim()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at].astype(np.int64))], ["at", "s"])
 
@@ -95,21 +105,23 @@ def fit_topics(docs: DataFrame, topics: int = TOPICS) -> np.ndarray:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.pieces(batches):
             v, n = _vectors(batch["text"])
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes() for x in v[n > 0]], pa.binary())], ["v"])
+            whole = np.rint(v[n > 0] * GRAIN).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in whole], pa.binary())], ["v"])
+        _text.trim()
 
     vectors = save(docs.select("text").mapInArrow(extract, "v binary"), "vectors")
     first = vectors.agg(F.min("v").alias("v")).first()["v"]
     if first is None:
         drop(vectors)
         return np.zeros((1, TOPIC_SPACE))
-    centers = np.frombuffer(first, np.float32).astype(float)[None]
+    centers = _unit(first)[None]
     for _ in range(topics - 1):  # the next centre is the vector least like those so far
         centers = np.vstack([centers, _farthest(vectors, centers)])
     for _ in range(TOPIC_ROUNDS):
         sums, last = _sums(vectors, centers), centers
         centers = np.where(sums.any(1, keepdims=True), sums, centers)
         centers = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
-        if np.allclose(centers, last, rtol=0, atol=1e-12):
+        if np.abs(centers - last).max() < SETTLED:
             break
     drop(vectors)
     return centers
@@ -133,49 +145,87 @@ def topic_column(centers: np.ndarray):
 # --- raking -----------------------------------------------------------------
 @dataclass
 class Raked:
-    """``weights``: a DataFrame of the dimensions, ``mass`` and ``weight``; ``bounded``: whether it has ``CELLS`` rows at most;
-    ``error``: the largest difference of a marginal share from its target."""
+    """``weights``: a DataFrame of the dimensions, ``mass`` and ``probability``, of ``CELLS`` rows at most; ``reached``: how far, from 0 to 1, the
+    shares lie on the way from those that are there to the (feasible) targets; ``error``: their largest difference from that point."""
 
     weights: DataFrame
-    bounded: bool
+    reached: float
     error: float
 
-    def factor(self, budget: float) -> float:
-        """f such that probabilities min(1, f * weight) expect ``budget`` tokens, or all that have a weight."""
-        if self.bounded:
-            got = self.weights.toPandas()
-            m, w = got["mass"].to_numpy(float), got["weight"].to_numpy(float)
-            order = np.argsort(-w, kind="stable")
-            m, w = m[order], w[order]
-            full, rest = np.concatenate([[0.0], np.cumsum(m)]), np.append(np.cumsum((m * w)[::-1])[::-1], 0.0)
-            for k in range(len(w)):  # the k cells of largest weight have probability 1
-                f = (budget - full[k]) / rest[k] if rest[k] > 0 else 0.0
-                if f * w[k] <= 1:
-                    return max(f, 0.0)
-            return 1 / w[w > 0].min() if (w > 0).any() else 1.0
-        spent = lambda f: self.weights.agg(F.sum(F.least(F.lit(1.0), F.col("weight") * f) * F.col("mass"))).first()[0] or 0.0
-        low, high = 0.0, 1.0
-        while spent(high) < budget and high < 1e9:
-            low, high = high, high * 4
-        for _ in range(30):
-            middle = (low + high) / 2
-            low, high = (middle, high) if spent(middle) < budget else (low, middle)
-        return high
-
-
-def rake_cells(codes: Sequence[np.ndarray], mass: np.ndarray, shares: Sequence[np.ndarray], rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Weights of cells so that each dimension's shares of ``mass * weight`` are those given, as nearly as can be; the largest error left."""
-    w, total, error = np.ones(len(mass)), mass.sum(), 0.0
-    for _ in range(rounds):
-        error = 0.0
-        for code, share in zip(codes, shares, strict=True):
-            have = np.bincount(code, mass * w, len(share))
-            want = share * total
-            error = max(error, float(np.abs(have - want).max() / total))
-            w = w * np.divide(want, have, out=np.ones(len(share)), where=have > 0)[code]
-        if error < TOLERANCE:
+
+def _filling(mass: np.ndarray, weight: np.ndarray, code: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """For each value the factor f with sum(mass * min(1, f * weight)) over its cells = ``want``, or the one that makes all of them 1."""
+    out = np.ones(len(want))
+    order = np.lexsort((-weight, code))
+    ends = np.searchsorted(code[order], np.arange(len(want) + 1))
+    for v, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        m, w = mass[order[a:b]], weight[order[a:b]]
+        rest = np.cumsum((m * w)[::-1])[::-1]
+        full = np.cumsum(m) - m
+        with np.errstate(divide="ignore", invalid="ignore"):
+            f = np.where(rest > 0, (want[v] - full) / rest, np.inf)  # if the cells before k have probability 1
+        fits = np.flatnonzero(f * w <= 1)
+        if want[v] <= 0:
+            out[v] = 0.0
+        elif len(fits):
+            out[v] = max(f[fits[0]], 0.0)
+        elif b > a and (w > 0).any():
+            out[v] = 1 / w[w > 0].min()
+    return out
+
+
+def feasible(goal: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """``goal`` with no share above ``most``: what a value can't give is given by the others, in proportion to their goals."""
+    out, full = goal.copy(), np.zeros(len(goal), bool)
+    for _ in range(len(goal)):
+        over = (out > most * (1 + 1e-12)) & ~full
+        if not over.any():
             break
-    return w, error
+        full |= over
+        rest = out[~full].sum()
+        out = np.where(full, most, out * ((1 - most[full].sum()) / rest if rest > 0 else 0.0))
+    return out
+
+
+def _fitted(codes: Sequence[np.ndarray], mass: np.ndarray, goals: Sequence[np.ndarray], share: float, rounds: int) -> tuple[np.ndarray, float]:
+    """(probabilities, error): iterative proportional fitting under the bound, each step of which solves for one dimension's factors exactly."""
+    total, w, error, last = mass.sum(), np.ones(len(mass)), np.inf, np.inf
+    for k in range(rounds):
+        for code, goal in zip(codes, goals, strict=True):
+            w = np.minimum(w * _filling(mass, w, code, goal * share * total)[code], 1e12)
+        if k % 10 == 9:
+            p = np.minimum(w, 1.0)
+            kept = max((p * mass).sum(), 1e-300)
+            error = max(float(np.abs(np.bincount(code, mass * p, len(goal)) / kept - goal).max()) for code, goal in zip(codes, goals, strict=True))
+            if error < TOLERANCE / 10 or error > 0.9 * last:  # met, or it doesn't come nearer
+                break
+            last = error
+    return np.minimum(w, 1.0), error
+
+
+def rake_cells(codes: Sequence[np.ndarray], mass: np.ndarray, shares: Sequence[np.ndarray], share: float, rounds: int = ROUNDS) -> tuple[np.ndarray, float, float]:
+    """(probabilities, reached, error): probabilities in [0, 1] of cells, products of a factor for each value cut at 1, so that ``share`` of all
+    mass is kept and each dimension's shares of it are those given.
+
+    A value whose target is more than all its mass gives all (``feasible``).  Targets of several dimensions may still contradict each other under the
+    bound (a topic of one language only, say).  The shares that are there always can be kept, and what can be kept is convex, so the
+    targets are then approached from there as far as possible: ``reached`` is found by halving.
+    """
+    seen = [np.bincount(code, mass, len(goal)) / mass.sum() for code, goal in zip(codes, shares, strict=True)]
+    wanted = [feasible(goal, s / share) for goal, s in zip(shares, seen, strict=True)]
+    at = lambda reached: [s + reached * (goal - s) for goal, s in zip(wanted, seen, strict=True)]
+    p, error = _fitted(codes, mass, at(1.0), share, rounds)
+    if error <= TOLERANCE:
+        return p, 1.0, error
+    low, high, best = 0.0, 1.0, (np.full(len(mass), share), 0.0)
+    for _ in range(HALVINGS):
+        middle = (low + high) / 2
+        p, error = _fitted(codes, mass, at(middle), share, rounds)
+        if error <= TOLERANCE:
+            low, best = middle, (p, error)
+        else:
+            high = middle
+    return best[0], low, best[1]
 
 
 def _complete(share: Mapping[str, float], present: Sequence[str]) -> dict[str, float]:
@@ -193,43 +243,23 @@ def tempered(power: float) -> Target:
     return lambda seen: {v: s**power if s > 0 else 0.0 for v, s in seen.items()}
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Target], bound: int = CELLS, rounds: int = ROUNDS) -> Raked:
-    """``cells``: the dimensions, strings without null, and ``mass``, one row per cell.
-
-    Up to ``bound`` cells are raked by the driver; more are raked as a DataFrame, by the same steps
-    (there the marginals, one row per value, are what each step joins).
-    """
+def rake(cells: DataFrame, targets: Mapping[str, Target], share: float = SHARE, rounds: int = ROUNDS) -> Raked:
+    """``cells``: the dimensions, strings without null, and ``mass``, one row per cell; ``CELLS`` at most, else ValueError."""
     dims = list(targets)
-    spark = cells.sparkSession
-    got = cells.orderBy(*dims).limit(bound + 1).toPandas()
-    if len(got) <= bound:
-        mass = got["mass"].to_numpy(float)
-        codes, shares = [], []
-        for d in dims:
-            values, code = np.unique(got[d].to_numpy(str), return_inverse=True)
-            seen = np.bincount(code, mass, len(values)) / max(mass.sum(), 1e-300)
-            goal = _complete(targets[d](dict(zip(values, seen, strict=True))), list(values))
-            codes.append(code)
-            shares.append(np.array([goal[v] for v in values]))
-        w, error = rake_cells(codes, mass, shares, rounds) if len(got) else (np.zeros(0), 0.0)
-        rows = [(*r, float(x)) for r, x in zip(got[[*dims, "mass"]].itertuples(index=False), w, strict=True)]
-        return Raked(spark.createDataFrame(rows, ", ".join(f"{d} string" for d in dims) + ", mass double, weight double"), True, error)
-    total = cells.agg(F.sum("mass")).first()[0]
-    state, goals = save(cells.withColumn("weight", F.lit(1.0)), "rake"), {}
-    for d in dims:  # values of one dimension are far fewer than cells; their targets are computed where the function is
-        seen = {r[d]: r["m"] / total for r in cells.groupBy(d).agg(F.sum("mass").alias("m")).toLocalIterator()}
-        goals[d] = save(spark.createDataFrame(list(_complete(targets[d](seen), list(seen)).items()), f"{d} string, share double"), f"goal-{d}")
-    error = 0.0
-    for _ in range(rounds):
-        error = 0.0
-        for d in dims:
-            have = state.groupBy(d).agg(F.sum(F.col("mass") * F.col("weight")).alias("have")).join(goals[d], d)
-            have = have.withColumn("f", F.when(F.col("have") > 0, F.col("share") * total / F.col("have")).otherwise(1.0))
-            error = max(error, have.agg(F.max(F.abs(F.col("have") - F.col("share") * total))).first()[0] / total)
-            state = save(state.join(have.select(d, "f"), d).select(*dims, "mass", (F.col("weight") * F.col("f")).alias("weight")), "rake")
-        if error < TOLERANCE:
-            break
-    return Raked(state.select(*dims, "mass", "weight"), False, error)
+    got = cells.orderBy(*dims).limit(CELLS + 1).toPandas()
+    if len(got) > CELLS:
+        raise ValueError(f"more than {CELLS} cells; map {', '.join(dims)} to coarser values")
+    mass = got["mass"].to_numpy(float)
+    codes, shares = [], []
+    for d in dims:
+        values, code = np.unique(got[d].to_numpy(str), return_inverse=True)
+        seen = np.bincount(code, mass, len(values)) / max(mass.sum(), 1e-300)
+        goal = _complete(targets[d](dict(zip(values, seen, strict=True))), list(values))
+        codes.append(code)
+        shares.append(np.array([goal[v] for v in values]))
+    p, reached, error = rake_cells(codes, mass, shares, share, rounds) if len(got) else (np.zeros(0), 1.0, 0.0)
+    rows = [(*r, float(x)) for r, x in zip(got[[*dims, "mass"]].itertuples(index=False), p, strict=True)]
+    return Raked(cells.sparkSession.createDataFrame(rows, ", ".join(f"{d} string" for d in dims) + ", mass double, probability double"), reached, error)
 
 
 def uniform(*keys: Column, seed: int = 0) -> Column:
@@ -240,27 +270,28 @@ def uniform(*keys: Column, seed: int = 0) -> Column:
 DEFAULT_TARGETS: dict[str, Target] = {"source": tempered(0.8), "lang": tempered(0.8), "topic": tempered(0.9)}
 
 
-def sampled(docs: DataFrame, targets: Mapping[str, Target] = DEFAULT_TARGETS, share: float = SHARE, seed: int = 0, topics: int = TOPICS) -> DataFrame:
-    """``docs`` with a struct column ``_mix``: tokens, topic, weight, probability, kept.
+def sampled(docs: DataFrame, targets: Mapping[str, Target] = DEFAULT_TARGETS, share: float = SHARE, seed: int = 0, topics: int = TOPICS, mix: str = "_mix") -> DataFrame:
+    """``docs`` with a struct column ``mix``, new to ``docs``: tokens, topic, probability, kept, and for all rows alike reached and error (see ``Raked``).
 
-    Probabilities are proportional to the raked weights and cut at 1; the factor is calibrated so that ``share`` of
-    all tokens is expected to be kept.  Null source or language is a value of its own.  The decision depends on the id and the seed, so repeated rows
-    share it; a null id takes the hash of the text.  An empty table stays empty.
+    Probabilities are raked under the bound 1, so that the tokens expected to be kept have the target shares by source, language and topic,
+    but for ``error``; targets that can't be met under the bound are approached as far as they can be (``rake_cells``).  The tokens are ``share`` of all.  Null source or language is a value of its
+    own.  The decision depends on the id and the seed, so repeated rows share it; a null id takes the hash of the text.  An empty table stays empty.
     """
-    described = docs.withColumn("_d", topic_column(fit_topics(docs, topics))("text"))
-    own = {d: F.coalesce(F.col(d).cast("string"), F.lit(NONE)) if d != "topic" else F.col("_d.topic") for d in targets}
-    cells = save(described.groupBy(*(c.alias(d) for d, c in own.items())).agg(F.sum("_d.tokens").cast("double").alias("mass")), "cells")
-    raked = rake(cells, targets)
-    total = cells.agg(F.sum("mass")).first()[0] or 0.0
-    factor = raked.factor(share * total)
-    names = {d: f"_w_{d}" for d in own}
-    weights = raked.weights.select(*(F.col(d).alias(n) for d, n in names.items()), F.col("weight").alias("_weight"))
-    weights = F.broadcast(weights) if raked.bounded else weights
-    joined = described.join(weights, [own[d] == F.col(n) for d, n in names.items()], "left")
-    p = F.least(F.lit(1.0), F.col("_weight") * factor)
+    if mix in docs.columns:
+        raise ValueError(f"{mix} is a column already")
+    names = docs.columns
+    (own,) = free_names(docs, "_d")
+    described = docs.withColumn(own, topic_column(fit_topics(docs, topics))("text"))
+    values = {d: F.coalesce(F.col(d).cast("string"), F.lit(NONE)) if d != "topic" else F.col(f"{own}.topic") for d in targets}
+    cells = save(described.groupBy(*(c.alias(d) for d, c in values.items())).agg(F.sum(f"{own}.tokens").cast("double").alias("mass")), "cells")
+    raked = rake(cells, targets, share)
+    keys = dict(zip(values, free_names(docs, *(f"_w_{d}" for d in values)), strict=True))
+    (p,) = free_names(docs, "_p")
+    weights = F.broadcast(raked.weights.select(*(F.col(d).alias(n) for d, n in keys.items()), F.col("probability").alias(p)))  # CELLS rows at most
+    joined = described.join(weights, [values[d] == F.col(n) for d, n in keys.items()], "left")
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    mix = F.struct(F.col("_d.tokens").alias("tokens"), F.col("_d.topic").alias("topic"), F.col("_weight").alias("weight"), p.alias("probability"), (uniform(key, seed=seed) < p).alias("kept"))
-    return joined.withColumn("_mix", mix).drop("_d", "_weight", *names.values())
+    decided = F.struct(F.col(f"{own}.tokens").alias("tokens"), F.col(f"{own}.topic").alias("topic"), F.col(p).alias("probability"), (uniform(key, seed=seed) < F.col(p)).alias("kept"), F.lit(raked.reached).alias("reached"), F.lit(raked.error).alias("error"))
+    return joined.select(*names, decided.alias(mix))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -271,4 +302,5 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 def sample_mixture(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    return sampled(docs, **options).where("_mix.kept").select(*docs.columns)
+    (mix,) = free_names(docs, "_mix")
+    return sampled(docs, mix=mix, **options).where(F.col(f"{mix}.kept")).select(*docs.columns)
