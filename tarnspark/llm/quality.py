@@ -71,7 +71,7 @@ def _slice_features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
             np.log1p(n), np.log1p(w), np.log(size.mean()), np.log1p(size.std()),
             np.sqrt(share(_UPPER)), np.sqrt(share(_DIGIT)), np.sqrt(share(_SYMBOL)), np.sqrt(share(_RARE)), np.sqrt(seen[124] / n), np.sqrt(seen[10] / n), np.sqrt(share(_HIGH)),
             _logit((size <= 3).mean()), np.sqrt(_RARE[last[a:b]].mean()), np.sqrt(_UPPER[initial[a:b]].mean()),
-            _logit(len(times) / w) - 0.3 * np.log1p(w) * -1, np.sqrt(times.max() / w), _logit(pairs / max(1, w - 1)), _logit(len(line_hash) / lines), np.log1p(w / lines), -(p * np.log2(p)).sum(),
+            _logit(len(times) / w) + 0.3 * np.log1p(w), np.sqrt(times.max() / w), _logit(pairs / max(1, w - 1)), _logit(len(line_hash) / lines), np.log1p(w / lines), -(p * np.log2(p)).sum(),
             np.sqrt((h[1:] == h[:-1]).mean()) if w > 1 else 0.0,
         )
     return out
@@ -116,7 +116,11 @@ class Discriminant:
         return cls(center, scale, means, np.stack(factors), np.array(offsets))
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """The probability of class 1."""
+        """The logistic function of the difference of the log densities over the square root of the number of features.
+
+        The features depend on each other in ways that no Gaussian has, so the plain difference is far too sure of itself; the
+        root keeps scores apart from 0 and 1 and leaves their order as it is.
+        """
         z = np.clip((x - self.center) / self.scale, -CLIP, CLIP)
         density = [o - 0.5 * (((z - m) @ f.T) ** 2).sum(1) for m, f, o in zip(self.means, self.factors, self.offsets, strict=True)]
         return 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / np.sqrt(x.shape[1]), -35, 35)))
@@ -128,14 +132,20 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(text, y) of at most ``bound`` labelled ids, those of least hash; the broadcast side has so many rows at most.
+    """(doc_id, h, text, y) of at most ``bound`` labelled ids, those of least hash; the broadcast side has so many rows at most.
 
     Null ids or labels and labels other than 0 and 1 are left out; an id labelled more than once
     counts with its largest label.
     """
     marked = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = bounded_sample(marked, ["doc_id"], bound)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("text").alias("h"), "text", "y")
+
+
+def one_row_an_id(made: DataFrame) -> DataFrame:
+    """Of rows with equal doc_id that of least ``h``, without it; repeated rows go where they lie."""
+    values = [c for c in made.columns if c not in ("doc_id", "h")]
+    return made.groupBy("doc_id").agg(F.min_by(F.struct(*values), "h").alias("r")).select("doc_id", "r.*")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = SAMPLE) -> Discriminant:
@@ -145,10 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(batch["text"])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], batch["y"], pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "h", "y", "x"])
 
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
-    rows = train.mapInArrow(extract, f"doc_id {kind}, y int, x array<double>").orderBy("doc_id").toArrow()
+    rows = one_row_an_id(train.mapInArrow(extract, f"doc_id {kind}, h long, y int, x array<double>")).orderBy("doc_id").toArrow()
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     return Discriminant.fit(x, rows["y"].to_numpy())
 

@@ -4,6 +4,9 @@ The categories are predicted one after another.  Each link is a linear (logistic
 hashed words and word prefixes and the probabilities of the links before it.  A link is trained
 with the out-of-fold probabilities of the earlier ones, so that it meets in training what it
 will meet in use.  The last link is the label itself.
+
+The tables label ``toxic`` only, so the categories come from the data: the labelled toxic documents are
+clustered by the features that tell them from the others.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnspark.llm import _text
-from tarnspark.llm.quality import labelled_sample
+from tarnspark.llm.quality import labelled_sample, one_row_an_id
 
 #: Labelled documents that the fit reads at most, those of least hash of their id.
 SAMPLE = 6_000
@@ -28,14 +31,11 @@ PREFIXES = (4, 5, 6, 8)
 FOLDS = 5
 THRESHOLD = 0.5
 
-#: Words that tell the categories of labelled toxic documents apart.  A category's training label is
-#: the toxic label together with one of its words; a toxic document without any belongs to "other".
-CATEGORIES = {
-    "insult": ("idiot", "moron", "loser", "clown", "fool", "dumb"),
-    "contempt": ("pathetic", "worthless", "stupid", "useless", "ridiculous"),
-    "disgust": ("disgusting", "scum", "trash", "filth", "vermin", "garbage"),
-}
-LINKS = (*CATEGORIES, "other", "toxic")
+#: Categories that the toxic labelled documents are clustered into, and the links of the chain.
+KINDS = 3
+LINKS = (*(f"kind_{k + 1}" for k in range(KINDS)), "toxic")
+#: A fit ends when the gradient's norm has fallen to this part of its first value; it raises after so many steps.
+SETTLED, STEPS = 1e-3, 2_000
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -77,27 +77,48 @@ class Linear:
     bias: float
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 120) -> Linear:
-        """Logistic regression by accelerated gradient descent."""
+    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> Linear:
+        """Logistic regression by a quasi-Newton method with limited memory, until the gradient vanishes."""
         n, d = x.shape
         if not n or y.min() == y.max():
             p = (y.sum() + 1) / (n + 2)
             return cls(np.zeros(d), float(np.log(p / (1 - p))))
-        v = np.full(d, 1 / np.sqrt(d), x.dtype)  # largest eigenvalue of x'x by power iteration
-        for _ in range(12):
-            v = x.T @ (x @ v)
-            v /= np.linalg.norm(v) + 1e-12
-        rate = 1 / (0.25 * (np.linalg.norm(x @ v) ** 2 * 1.1 + n) + penalty)
-        w, b = np.zeros(d, x.dtype), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
-        pw, pb = w.copy(), b
-        for k in range(steps):
-            m = k / (k + 3)
-            yw, yb = w + np.float32(m) * (w - pw), b + m * (b - pb)
-            g = 1 / (1 + np.exp(-np.clip(x @ yw + yb, -30, 30))) - y
-            pw, pb = w, b
-            g = g.astype(x.dtype)
-            w, b = (yw - rate * (x.T @ g + penalty * yw)).astype(x.dtype), float(yb - rate * g.sum())
-        return cls(w, b)
+
+        def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+            z = (x @ w[:-1].astype(x.dtype)).astype(float) + w[-1]
+            off = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+            value = (np.logaddexp(0, z) - y * z).sum() + 0.5 * penalty * (w[:-1] ** 2).sum()
+            return float(value), np.append((x.T @ off.astype(x.dtype)).astype(float) + penalty * w[:-1], off.sum())
+
+        w = np.append(np.zeros(d), np.log((y.sum() + 1) / (n - y.sum() + 1)))
+        value, g = loss(w)
+        first, past = np.linalg.norm(g), []
+        for _ in range(STEPS):
+            if np.linalg.norm(g) <= SETTLED * max(first, 1e-9):
+                return cls(w[:-1], float(w[-1]))
+            step, used = g.copy(), []
+            for s, t, r in reversed(past):  # the two loops over remembered steps
+                a = r * (s @ step)
+                used.append(a)
+                step -= a * t
+            if past:
+                step *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+            for (s, t, r), a in zip(past, reversed(used), strict=True):
+                step += s * (a - r * (t @ step))
+            size, slope = 1.0 if past else 1 / max(1.0, np.linalg.norm(g)), g @ step
+            while True:
+                new = w - size * step
+                less, h = loss(new)
+                if less <= value - 1e-4 * size * slope:
+                    break
+                size /= 2
+                if size < 1e-10:  # single precision doesn't tell the two apart any more
+                    return cls(w[:-1], float(w[-1]))
+            s, t = new - w, h - g
+            if s @ t > 1e-10:
+                past = [*past[-9:], (s, t, 1 / (s @ t))]
+            w, value, g = new, less, h
+        raise RuntimeError("the fit didn't settle")
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
@@ -107,6 +128,17 @@ def _presence(counts: np.ndarray) -> np.ndarray:
     return np.minimum(1 + np.log(np.maximum(counts, 1)), 3.0)
 
 
+def _matrix(rows: Sequence[tuple[np.ndarray, np.ndarray]], kept: np.ndarray, kind: type) -> np.ndarray:
+    """A row for each text and a column for each of the sorted feature numbers ``kept``."""
+    x = np.zeros((len(rows), len(kept)), kind)
+    if len(kept):
+        for r, (bins, counts) in enumerate(rows):
+            at = np.minimum(np.searchsorted(kept, bins), len(kept) - 1)
+            hit = kept[at] == bins
+            x[r, at[hit]] = _presence(counts[hit])
+    return x
+
+
 @dataclass
 class Chain:
     """``kept``: sorted feature numbers; ``links``: one model for each category, in order."""
@@ -116,28 +148,27 @@ class Chain:
     links: list[Linear]
 
     def matrix(self, rows: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        x = np.zeros((len(rows), len(self.kept)), np.float32)
-        if len(self.kept):
-            for r, (bins, counts) in enumerate(rows):
-                at = np.minimum(np.searchsorted(self.kept, bins), len(self.kept) - 1)
-                hit = self.kept[at] == bins
-                x[r, at[hit]] = _presence(counts[hit])
-        return x
+        return _matrix(rows, self.kept, np.float32)
 
     @classmethod
     def fit(cls, rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, names: Sequence[str], seed: int = 7) -> Chain:
-        """``y``: a column of 0 and 1 for each name."""
+        """``y``: a column of 0 and 1 for each name.  A fold's probabilities come from models whose features were chosen without it."""
         last = y[:, -1] if len(y) else np.zeros(0)
         chain = cls(_strongest(rows, last), tuple(names), [])
         x = chain.matrix(rows)
         part = np.random.default_rng(seed).permutation(len(rows)) % FOLDS
+        own = []
+        for f in range(FOLDS if len(names) > 1 else 0):
+            others = np.flatnonzero(part != f)
+            own.append(_matrix(rows, _strongest([rows[i] for i in others], last[others]), np.float16))
         out_of_fold = np.zeros((len(rows), 0), np.float32)
         for k in range(len(chain.names)):
-            z, target = np.hstack([x, out_of_fold]), y[:, k].astype(float)
+            target = y[:, k].astype(float)
             p = np.zeros(len(rows))
-            for f in range(FOLDS if k + 1 < len(chain.names) else 0):
+            for f, of in enumerate(own if k + 1 < len(chain.names) else []):
+                z = np.hstack([of.astype(np.float32), out_of_fold])
                 p[part == f] = Linear.fit(z[part != f], target[part != f]).predict(z[part == f])
-            chain.links.append(Linear.fit(z, target))
+            chain.links.append(Linear.fit(np.hstack([x, out_of_fold]), target))
             out_of_fold = np.hstack([out_of_fold, p[:, None].astype(np.float32)])
         return chain
 
@@ -149,8 +180,8 @@ class Chain:
         return out
 
 
-def _strongest(rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
-    """Features in at least 3 rows whose presence tells most about ``y`` (smoothed log odds over its standard error)."""
+def _strongest(rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, signed: bool = False) -> np.ndarray:
+    """Features in at least 3 rows whose presence tells most about ``y`` (smoothed log odds over its standard error); ``signed``: for 1 only."""
     if not len(rows):
         return np.zeros(0, np.int32)
     seen = [np.concatenate([b for (b, _), v in zip(rows, y, strict=True) if v == k] or [np.zeros(0, np.int32)]) for k in (0, 1)]
@@ -159,19 +190,34 @@ def _strongest(rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray) ->
     c0, c1 = (np.bincount(np.searchsorted(bins, s), minlength=len(bins)).astype(float) for s in seen)
     odds = np.log((c1 + 0.5) / (n[1] - c1 + 0.5)) - np.log((c0 + 0.5) / (n[0] - c0 + 0.5))
     error = np.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5))
-    z = np.where(c0 + c1 >= 3, np.abs(odds) / error, 0)
+    z = np.where(c0 + c1 >= 3, (odds if signed else np.abs(odds)) / error, 0)
     best = np.lexsort((bins, -z))[:KEPT]
     return np.sort(bins[best][z[best] > 1.5])
 
 
-def category_labels(rows: Sequence[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
-    y = np.zeros((len(rows), len(LINKS)), np.int8)
-    terms = [term_bins(words) for words in CATEGORIES.values()]
-    for r, ((bins, _), t) in enumerate(zip(rows, toxic, strict=True)):
-        if t:
-            for k, own in enumerate(terms):
-                y[r, k] = np.isin(own, bins, assume_unique=True).any()
-            y[r, -2], y[r, -1] = not y[r, :-2].any(), 1
+def category_labels(rows: Sequence[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, kinds: int = KINDS) -> np.ndarray:
+    """A column of 0 and 1 for each kind, and ``toxic`` last: the cluster of each toxic row, by spherical k-means over the features that
+    toxic rows have more often.  The first centre is the mean, the others the rows least like those so far."""
+    y = np.zeros((len(rows), kinds + 1), np.int8)
+    y[:, -1] = toxic
+    at = np.flatnonzero(toxic)
+    kept = _strongest(rows, toxic, signed=True)
+    if not len(at) or not len(kept):
+        return y
+    x = _matrix([rows[i] for i in at], kept, np.float32).astype(float)
+    x *= np.log(len(x) / np.maximum((x > 0).sum(0), 1)) + 1  # a word that most have tells kinds apart less
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centers = x.mean(0, keepdims=True)
+    for _ in range(kinds):
+        centers = np.vstack([centers, x[(x @ centers.T).max(1).argmin()]])
+    centers = centers[1:]
+    for _ in range(50):
+        own = (x @ centers.T).argmax(1)
+        last, centers = centers, np.stack([x[own == k].sum(0) if (own == k).any() else c for k, c in enumerate(centers)])
+        centers = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
+        if np.allclose(centers, last):
+            break
+    y[at, (x @ centers.T).argmax(1)] = 1
     return y
 
 
@@ -182,12 +228,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
         for batch in batches:
             pairs = [(b.tobytes(), c.astype(np.int32).tobytes()) for b, c in hashed_features(batch["text"])]
             columns = [pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], *columns], ["doc_id", "y", "bins", "counts"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], batch["y"], *columns], ["doc_id", "h", "y", "bins", "counts"])
 
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
-    found = labelled_sample(docs, labels, label, bound).mapInArrow(extract, f"doc_id {kind}, y int, bins binary, counts binary").orderBy("doc_id").toArrow()
+    made = labelled_sample(docs, labels, label, bound).mapInArrow(extract, f"doc_id {kind}, h long, y int, bins binary, counts binary")
+    found = one_row_an_id(made).orderBy("doc_id").toArrow()
     rows = [(np.frombuffer(b.as_py(), np.int32), np.frombuffer(c.as_py(), np.int32)) for b, c in zip(found["bins"], found["counts"], strict=True)]
-    return Chain.fit(rows, category_labels(rows, found["y"].to_numpy()), LINKS)
+    return Chain.fit(rows, category_labels(rows, np.asarray(found["y"].to_numpy(), np.int8)), LINKS)
 
 
 def chain_column(chain: Chain):
