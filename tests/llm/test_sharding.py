@@ -3,28 +3,62 @@ import zlib
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tarnspark.llm import sharding
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 50), max_size=60), st.integers(50, 120))
-def test_best_fit_agrees_with_a_plain_search(sizes, capacity):
-    rooms, want = [], {}
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        fits = [(room, b) for b, room in enumerate(rooms) if room >= sizes[i]]
-        room, b = min(fits) if fits else (capacity, len(rooms))
+def plain_best_fit(sizes, capacity):
+    rooms, want = [], []
+    for size in sorted(sizes, reverse=True):
+        fits = [(room, b) for b, room in enumerate(rooms) if room >= size]
+        room, b = min(fits) if fits else (max(capacity, size), len(rooms))
         if not fits:
-            rooms.append(capacity)
-        rooms[b] = room - sizes[i]
-        want[i] = b
-    assert sharding.best_fit_decreasing(sizes, capacity) == [want[i] for i in range(len(sizes))]
+            rooms.append(room)
+        rooms[b] = room - size
+        want.append((size, b))
+    return want
+
+
+def histogram(sizes):
+    kinds = sorted(set(sizes), reverse=True)
+    return kinds, [sizes.count(k) for k in kinds]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=60), st.integers(30, 120))
+def test_best_fit_of_a_histogram_is_that_of_its_items(sizes, capacity):
+    kinds, counts = histogram(sizes)
+    got = sharding.best_fit_decreasing(kinds, counts, capacity)
+    assert [(k, b) for k, runs in zip(kinds, got) for b, n in runs for _ in range(n)] == plain_best_fit(sizes, capacity)
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(1, 1000), max_size=80), st.integers(1, 9))
+@given(st.lists(st.integers(1, 1000), min_size=1, max_size=80), st.integers(1, 9))
 def test_no_more_shards_than_asked(sizes, shards):
-    got = sharding.pack_into(sizes, shards)
-    assert len(got) == len(sizes) and all(0 <= b < shards for b in got)
+    kinds, counts = histogram(sizes)
+    got = sharding.pack_into(kinds, counts, shards)
+    assert [sum(n for _, n in runs) for runs in got] == counts and all(0 <= b < shards for runs in got for b, _ in runs)
+    loads = [0] * shards
+    for k, runs in zip(kinds, got):
+        for b, n in runs:
+            loads[b] += k * n
+    assert max(loads) <= max(max(sizes), sum(sizes) / shards + max(sizes))
+
+
+def test_size_classes(spark):
+    got = spark.range(1, 200_000, 7).union(spark.range(2**40, 2**40 + 3)).select("id", sharding.size_class(F.col("id")).alias("k")).collect()
+    assert all(r.k == r.id for r in got if r.id < 8192) and all(r.id <= r.k <= r.id * (1 + 2**-12) for r in got)
+
+
+def test_shards_of_many_equal_sizes_are_even(spark):
+    """Groups of one size go to several shards, by number; the query against its own law."""
+    rows = [(k, f"{k:06d}") for k in range(5000)] + [(9000 + k, "the hot text " * 3) for k in range(2500)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    assert len(got) == len(rows) and got[got["doc_id"] >= 9000]["shard"].nunique() == 1
+    light = sums.drop(got[got["doc_id"] >= 9000]["shard"].iloc[0])
+    assert len(sums) == 8 and light.max() - light.min() <= 2 * 7
 
 
 def test_documents(spark):
