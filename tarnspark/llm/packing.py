@@ -2,8 +2,9 @@
 
 Pieces of documents are dealt to partitions, and each partition packs its own by best-fit
 decreasing.  Lower bounds from dual-feasible functions certify a partition whose number of bins can't
-be lowered.  The others give up the pieces of their bins with gaps; these are dealt anew to
-fewer partitions and packed again, until the bound over all is met or a round gains nothing.
+be lowered by itself.  Bins with gaps give up their pieces, in the first round those of certified partitions
+too, since gaps of several partitions may make a bin together; the pieces are dealt anew to so many partitions as they need and packed
+again, until the bound over all pieces is met or a round gains nothing.  The bound is returned beside the number of bins.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from tarnspark.llm._scratch import save
 CAPACITY = 2048
 #: Pieces that a task packs at once, about.
 ITEMS = 32_768
-ROUNDS = 5
 END_ID = 0
 SPECIAL = "<|endoftext|>"
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -87,40 +87,41 @@ def _packer(round_no: int, capacity: int):
     return pack
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, items: int = ITEMS, rounds: int = ROUNDS) -> DataFrame:
-    """``pieces`` with sequence_id, offset and certified.
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, items: int = ITEMS, rounds: int | None = None) -> DataFrame:
+    """``pieces`` with sequence_id, offset, certified, and for all rows alike sequences and least_sequences: how many there are, and the bound.
 
     ``length`` lies between 1 and ``capacity``.  Other columns pass through.  Each round is written to the
     shared folder, so a lost executor repeats its tasks only.  A round that doesn't lower the
-    number of bins is thrown away, so the result is never worse than the first packing.
+    number of bins is thrown away, so the result is never worse than the first packing.  Without ``rounds`` they end when one gains nothing.
     """
     names = pieces.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, certified boolean, open boolean"
-    n = pieces.count()
-    parts, done = max(1, -(-n // items)), []
+    lengths = pieces.groupBy("length").count().toPandas()  # as many rows as there are lengths
+    histogram = np.bincount(lengths["length"].astype(int), lengths["count"], capacity + 1).astype(np.int64)
+    bound, parts, done, k = lower_bound(histogram), max(1, -(-int(histogram.sum()) // items)), [], 0
     packed = save(pieces.repartition(parts).mapInArrow(_packer(0, capacity), schema), "pack-0")
-    for k in range(1, rounds):
-        bins, total, pool, pool_bins = packed.agg(
-            F.count(F.when(F.col("offset") == 0, 1)), F.sum("length"), F.count(F.when(F.col("open"), 1)), F.count(F.when(F.col("open") & (F.col("offset") == 0), 1))
-        ).first()
-        if parts == 1 or pool_bins <= 1 or bins == -(-(total or 0) // capacity):
+    bins = packed.where("offset = 0").count()
+    while bins > bound and (rounds is None or k + 1 < rounds):
+        pool, pool_bins = packed.agg(F.count(F.when(F.col("open"), 1)), F.count(F.when(F.col("open") & (F.col("offset") == 0), 1))).first()
+        if parts == 1 or pool_bins <= 1:
             break
-        parts = max(1, min(parts // 4, -(-pool // items)))
+        k, parts = k + 1, max(1, -(-pool // items))
         again = save(packed.where("open").select(*names).repartition(parts).mapInArrow(_packer(k, capacity), schema), f"pack-{k}")
-        if again.where("offset = 0").count() >= pool_bins:
+        now = again.where("offset = 0").count()
+        if now >= pool_bins:
             break
         done.append(packed.where("not open"))
-        packed = again
+        packed, bins = again, bins - pool_bins + now
     for d in done:
         packed = packed.unionByName(d)
-    return packed.drop("open")
+    return packed.drop("open").withColumns({"sequences": F.lit(bins).cast("long"), "least_sequences": F.lit(bound).cast("long")})
 
 
 class Tokenizer:
     """Token ids of the byte-level vocabulary.
 
-    The ids are those of the ``tokenizers`` library for the same file.  A text with the
-    special token's string goes through that library; all others through the faster encoder of the same merges.
+    The ids are those of the ``tokenizers`` library for the same file.  A text with the special token's string, or with a
+    run too long for the faster encoder of the same merges, goes through that library; all others through the faster one.
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
@@ -135,10 +136,13 @@ class Tokenizer:
         self.path, self.plain, self.load = json_path, None, Plain.from_file
 
     def __call__(self, text: str) -> np.ndarray:
-        if SPECIAL in text:
-            self.plain = self.plain or self.load(self.path)
-            return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        if SPECIAL not in text:
+            try:
+                return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            except ValueError:  # its pattern can't go back over hundreds of thousands of equal characters
+                pass
+        self.plain = self.plain or self.load(self.path)
+        return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 _LOADED: dict[str, Tokenizer] = {}
@@ -186,4 +190,4 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Repeated rows are packed one by one; null ids are kept; an empty table gives none; other columns are ignored.
     """
     pieces = save(document_pieces(docs, capacity), "pieces")
-    return pack_pieces(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
+    return pack_pieces(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified", "sequences", "least_sequences")

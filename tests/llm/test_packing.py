@@ -52,11 +52,18 @@ def test_rounds_only_improve(spark):
     many = packing.pack_pieces(df, 2048, items=100).collect()
     assert len(many) == len(rows) and {r.doc_id for r in many} == set(range(4000))
     assert check_bins(many, 2048) <= one
-    least = -(-sum(r[3] for r in rows) // 2048)
-    assert check_bins(many, 2048) <= 1.01 * least
+    least = packing.lower_bound(np.bincount([r[3] for r in rows], minlength=2049))
+    assert {(r.sequences, r.least_sequences) for r in many} == {(check_bins(many, 2048), least)}
+    assert check_bins(many, 2048) <= least + 3
     assert check_bins(packing.pack_pieces(df).collect(), 2048) <= least + 1
 
 
+def test_a_run_of_white_space_too_long_for_the_faster_encoder():
+    text = "a" + " " * 1_000_000 + "b"
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.public_tokenizer()(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_documents(spark):
     texts = ["", None, "one two three", "x y <|endoftext|> z", "ab " * 6000, "café 你好\n\n  end", "ab " * 2047, "ab " * 2048]
     rows = [(k, t, 0) for k, t in enumerate(texts)] + [(2, "one two three", 0), (None, "q", 0)]
