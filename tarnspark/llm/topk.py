@@ -25,9 +25,24 @@ TILE = 1 << 17
 
 
 def quantised(vector: Column, scale: int) -> Column:
-    """``floor(scale * x)`` of each component as longs; null for a vector that takes no part."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) * scale >= F.lit(2.0**53)))
-    return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
+    """``floor(scale * x)`` of each component as longs; null for a vector that takes no part.  A component that no long holds raises an error."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
+    large = F.exists(vector, lambda x: F.abs(x.cast("double")) * scale >= F.lit(2.0**63))
+    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
+    return F.when(vector.isNotNull() & ~bad, F.when(large, F.raise_error(F.lit("a scaled component doesn't fit a 64-bit integer"))).otherwise(whole))
+
+
+def _by_integers(queries: pa.Table, ids: np.ndarray, weights: list[list[int]], k: int) -> list[tuple[np.ndarray, ...]]:
+    """The best rows by integers of any size, for weights whose products may not fit 64 bits; a best score that doesn't fit raises."""
+    found = []
+    for key, own, q in zip(*(queries[c].to_pylist() for c in ("query_row", "query_id", "w")), strict=True):
+        scores = [sum(a * b for a, b in zip(q, w)) for w in weights]  # noqa: B905
+        best = sorted((i for i in range(len(ids)) if ids[i] != own), key=lambda i: (-scores[i], i))[:k]  # noqa: B023
+        if any(not -(2**63) <= scores[i] < 2**63 for i in best):
+            raise OverflowError("a score doesn't fit a 64-bit integer")
+        if best:
+            found.append((np.full(len(best), key), np.full(len(best), own), ids[best], np.array([scores[i] for i in best], np.int64)))
+    return found
 
 
 def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,7 +70,11 @@ def _search(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         rows, terms, weights = _matrix(candidates["w"])
         q_rows, q_terms, q_weights = _matrix(queries["w"])
         dims = int(max(terms.max(initial=-1), q_terms.max(initial=-1))) + 1
-        bound = float(np.abs(weights).max(initial=0)) * float(np.abs(q_weights).max(initial=0)) * max(1, dims)
+        largest = [float(np.abs(w.astype(float)).max(initial=0)) for w in (weights, q_weights)]
+        bound = largest[0] * largest[1] * max(1, dims) * (1 + 1e-9)
+        if bound >= 2**63:
+            found = _by_integers(queries, ids, candidates["w"].to_pylist(), k)
+            return pa.table([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], schema=schema) if found else schema.empty_table()
         kind = np.int32 if bound < 2**31 - 1 else np.int64
         least = np.iinfo(kind).min
         order = np.argsort(terms, kind="stable")
@@ -111,8 +130,8 @@ def _search(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 def exact_topk(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each query row its ``k`` highest integer inner products: query_id, rank, vec_id, score.
 
-    A vector that is null, or holds a null, a non-finite component or one beyond 2**53 once scaled, takes no
-    part, nor does a row without id.  A shorter vector has weight 0 in the missing terms; an empty
+    A vector that is null or holds a null or a non-finite component takes no
+    part, nor does a row without id.  What no 64-bit integer holds, a scaled component or one of the scores asked for, raises an error.  A shorter vector has weight 0 in the missing terms; an empty
     one scores 0.  Ties go to the smaller id.  Candidates are all rows but those with the query's id; repeated rows
     count one by one, as candidates and as queries.  Scores are exact in 64 bits.  Other columns are ignored.
     """

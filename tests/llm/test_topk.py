@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tarnspark.llm import topk
@@ -33,3 +34,13 @@ def test_fewer_candidates_than_k_and_repeated_ids(spark):
     df = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0]), (2, [-1.0])], "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in topk.exact_topk(df, F.col("vec_id") % 20 == 0).collect())
     assert got == sorted(2 * [(0, 1, 1, 8192), (0, 2, 2, -4096)])
+
+
+def test_finite_vectors_of_any_size_take_part(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1e16, 1.0]), (2, [-1e16, 3.0]), (3, [2.0**52, 0.5]), (20, [1e-3, 2.0**40])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.exact_topk(df, F.col("vec_id") % 20 == 0).collect()) == plain(rows, 20)
+    for huge in ([1e18, 0.0], [1e17, 0.0]):  # a component, and a product, over 64 bits
+        wide = spark.createDataFrame([(0, [200.0, 0.0]), (1, huge)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="64-bit"):
+            topk.exact_topk(wide, F.col("vec_id") % 20 == 0).collect()
