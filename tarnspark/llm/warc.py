@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnspark.llm import _text
+from tarnspark.llm._bitmap import members, only_members, with_member
 from tarnspark.llm._scratch import save
 
 SEGMENT = 4 << 20
@@ -28,12 +30,16 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVES = "archive string, segment int, n_records int, content binary"
 RECORDS = (
     "archive string, segment int, ordinal int, record_id string, record_type string, target_uri string, date string, concurrent_to array<string>, refers_to_uri string,"
-    " payload_digest string, digest_ok boolean, payload_bytes long, fields map<string,string>, payload binary"
+    " payload_digest string, digest_ok boolean, payload_bytes long, fields map<string,string>, payload binary, error string"
 )
 
 
+def base32(hexadecimal: str) -> str:
+    return base64.b32encode(bytes.fromhex(hexadecimal)).decode()
+
+
 def base32_sha1(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return base32(hashlib.sha1(payload).hexdigest())
 
 
 def _clean(value: str) -> str:
@@ -52,25 +58,26 @@ def _member(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def capture(page_id: int | None, url: str | None, payload: bytes, first: int | None, first_url: str | None) -> list[bytes]:
-    """The records of one capture: response, or revisit of page ``first``; request; metadata."""
+def capture(page_id: int | None, url: str | None, payload: bytes | None, sha1: str, length: int, first: int | None, first_url: str | None) -> list[bytes]:
+    """The records of one capture: response, or revisit of page ``first``, which needs no payload; request; metadata."""
     ids = [f"urn:uuid:{uuid.uuid4()}" for _ in range(3)]
-    digest = f"sha1:{base32_sha1(payload)}"
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    digest = f"sha1:{base32(sha1)}"
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     common = {"WARC_Target_URI": url}
     if first is None:
-        main = record("response", ids[0], head + payload, "application/http;msgtype=response", **common, WARC_Payload_Digest=digest)
+        main = record("response", ids[0], head + (payload or b""), "application/http;msgtype=response", **common, WARC_Payload_Digest=digest)
     else:
         main = record("revisit", ids[0], head, "application/http;msgtype=response", **common, WARC_Payload_Digest=digest, WARC_Profile=REVISIT, WARC_Refers_To_Target_URI=first_url)
     host, _, path = (url or "").partition("://")[2].partition("/")
     asked = record("request", ids[1], f"GET /{_clean(path)} HTTP/1.1\r\nHost: {_clean(host)}\r\n\r\n".encode(), "application/http;msgtype=request", **common, WARC_Concurrent_To=f"<{ids[0]}>")
-    facts = {"pageId": page_id, "payloadLength": len(payload), "refersToPage": first}
+    facts = {"pageId": page_id, "payloadLength": length, "refersToPage": first}
     block = "".join(f"{k}: {v}\r\n" for k, v in facts.items() if v is not None).encode()
     return [main, asked, record("metadata", ids[2], block, "application/warc-fields", **common, WARC_Concurrent_To=f"<{ids[0]}>")]
 
 
 def write_archives(captures: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """The archives of (page_id, url, html, first, first_url) rows, as a table of segments in the shared folder."""
+    """The archives of the rows that ``mark_revisits`` gives, as a table of segments in the shared folder."""
+    names = ("page_id", "url", "html", "sha1", "length", "first", "first_url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
@@ -83,8 +90,8 @@ def write_archives(captures: DataFrame, segment: int = SEGMENT) -> DataFrame:
             )
 
         for batch in batches:
-            for page_id, url, html, first, first_url in zip(*(batch[c] for c in ("page_id", "url", "html", "first", "first_url")), strict=True):
-                for raw in capture(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), first.as_py(), first_url.as_py()):
+            for page_id, url, html, *facts in zip(*(batch[c] for c in names), strict=True):
+                for raw in capture(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), *(f.as_py() for f in facts)):
                     members.append(_member(raw))
                     size += len(members[-1])
                 if size >= segment:
@@ -93,26 +100,31 @@ def write_archives(captures: DataFrame, segment: int = SEGMENT) -> DataFrame:
         if members:
             yield out()
 
-    return save(captures.select("page_id", "url", "html", "first", "first_url").mapInArrow(write, ARCHIVES), "warc", "uncompressed")
+    return save(captures.select(*names).mapInArrow(write, ARCHIVES), "warc", "uncompressed")
 
 
 def members_of(content: bytes) -> Iterator[bytes]:
-    """The gzip members of a segment, or the whole of an uncompressed one."""
+    """The gzip members of a segment, or the whole of an uncompressed one.  A broken or cut member raises ValueError."""
     if content[:2] != b"\x1f\x8b":
         yield content
         return
     view, at = memoryview(content), 0
     while at < len(view):
-        z, parts = zlib.decompressobj(31), []
-        while not z.eof and at < len(view):
-            piece = view[at : at + 65_536]
-            parts.append(z.decompress(piece))
-            at += len(piece) - len(z.unused_data)
+        z, parts, start = zlib.decompressobj(31), [], at
+        try:
+            while not z.eof and at < len(view):
+                piece = view[at : at + 65_536]
+                parts.append(z.decompress(piece))
+                at += len(piece) - len(z.unused_data)
+        except zlib.error as e:
+            raise ValueError(f"broken gzip member at byte {start}") from e
+        if not z.eof:
+            raise ValueError(f"gzip member at byte {start} is cut short")
         yield b"".join(parts)
 
 
 def records_of(raw: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
-    """(headers by lower-case name, block) of each record.  A record that is cut short raises ValueError."""
+    """(headers by lower-case name, block) of each record.  A record that is cut short or has no length raises ValueError."""
     at = 0
     while at < len(raw):
         if raw[at : at + 5] != b"WARC/":
@@ -124,7 +136,10 @@ def records_of(raw: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
         for line in raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
             key, _, value = line.partition(":")
             headers.setdefault(key.strip().lower(), []).append(value.strip())
-        size = int(headers["content-length"][0])
+        length = headers.get("content-length", [""])[0]
+        if not length.isascii() or not length.isdigit():
+            raise ValueError(f"record at byte {at} without Content-Length")
+        size = int(length)
         block = raw[end + 4 : end + 4 + size]
         if len(block) < size:
             raise ValueError("block cut short")
@@ -148,12 +163,16 @@ def parse(headers: dict[str, list[str]], block: bytes) -> dict:
         "record_id": (one("warc-record-id") or "").strip("<>"), "record_type": kind, "target_uri": one("warc-target-uri"), "date": one("warc-date"),
         "concurrent_to": [v.strip("<>") for v in headers.get("warc-concurrent-to", [])], "refers_to_uri": one("warc-refers-to-target-uri"),
         "payload_digest": own or digest, "digest_ok": None if own is None or digest is None else own == digest,
-        "payload_bytes": None if own is None else len(payload), "fields": fields, "payload": payload,
+        "payload_bytes": None if own is None else len(payload), "fields": fields, "payload": payload, "error": None,
     }
 
 
 def read_records(archives: DataFrame) -> DataFrame:
-    """The records of (archive, segment, content) rows; a null content holds none."""
+    """The records of (archive, segment, content) rows; a null content holds none.
+
+    What can't be read gives one row with ``error`` and no record_id: the rest of a gzip member after a bad record, or the rest of a segment
+    after a broken member.  All that stands before, and other members after a bad record, are read.
+    """
     names = [x.split()[0] for x in RECORDS.replace("map<string,string>", "map").split(", ")]
     kinds = {"segment": pa.int32(), "ordinal": pa.int32(), "concurrent_to": pa.list_(pa.string()), "digest_ok": pa.bool_(), "payload_bytes": pa.int64(), "fields": pa.map_(pa.string(), pa.string()), "payload": pa.binary()}
     schema = pa.schema([(n, kinds.get(n, pa.string())) for n in names])
@@ -161,12 +180,20 @@ def read_records(archives: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, segment, content in zip(batch["archive"], batch["segment"], batch["content"], strict=True):
-                rows = []
-                for member in members_of(content.as_py() or b""):
-                    for headers, block in records_of(member):
-                        rows.append(parse(headers, block) | {"archive": archive.as_py(), "segment": segment.as_py(), "ordinal": len(rows)})
+                rows: list[dict] = []
+                place = lambda: {"archive": archive.as_py(), "segment": segment.as_py(), "ordinal": len(rows)}  # noqa: B023, E731
+                try:
+                    for member in members_of(content.as_py() or b""):
+                        try:
+                            for headers, block in records_of(member):
+                                rows.append(parse(headers, block) | place())
+                        except ValueError as e:
+                            rows.append({"error": str(e), "concurrent_to": []} | place())
+                except ValueError as e:
+                    rows.append({"error": str(e), "concurrent_to": []} | place())
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
+        _text.trim()
 
     return archives.select("archive", "segment", "content").mapInArrow(read, RECORDS)
 
@@ -181,6 +208,7 @@ def assemble(records: DataFrame) -> DataFrame:
     """
     columns = [c for c in records.columns if c != "record_id"]
     body = F.struct("record_id", *columns)
+    records = records.where("record_id is not null")  # a row of what can't be read is no record
     is_main = F.col("record_type").isin("response", "revisit", "resource")
     keyed = records.withColumn("_main", is_main)
     # most records name one other; a capture that names its request is turned round, and chains of two are followed
@@ -197,20 +225,34 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def mark_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """``pages`` (page_id, url, html) with first and first_url: of equal payloads of at least ``least`` bytes the
-    page of smallest id, null for that page itself and for smaller payloads."""
+    """(page_id, url, html, sha1, length, first, first_url) of every row of ``pages`` (page_id, url, html): of equal payloads of at least
+    ``least`` bytes ``first`` is the page of smallest id, null for that page itself and for smaller payloads; a row with ``first`` has no html.
+
+    Pages that share no payload aren't shuffled, a bit array of fixed size tells them; of the others html goes on only for the first ones.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
-    keyed = pages.select("page_id", "url", "html", F.when(F.octet_length(html) >= least, F.sha1(html.cast("binary"))).alias("_d"))
+    length = F.octet_length(html).cast("long")
+    keyed = pages.select("page_id", "url", "html", F.sha1(html.cast("binary")).alias("sha1"), length.alias("length"))
+    large = keyed.where(F.col("length") >= least)
     firsts = (
-        keyed.where(F.col("_d").isNotNull()).groupBy("_d")
+        large.groupBy(F.col("sha1").alias("_d"))
         .agg(F.min("page_id").alias("_first"), F.min_by("url", F.struct("page_id", "url")).alias("_url"), F.count("*").alias("_n"))
         .where("_n > 1 and _first is not null").drop("_n")
     )
     firsts = save(firsts, "first-payloads")
+    names = ("page_id", "url", "html", "sha1", "length")
+    none = (F.lit(None).cast(pages.schema["page_id"].dataType).alias("first"), F.lit(None).cast("string").alias("first_url"))
+    marked = with_member(keyed, members(firsts, "_d"), "_may", "sha1").withColumn("_may", F.col("_may") & (F.col("length") >= least))
+    alone = marked.where("not _may").select(*names, *none)
+    shared = marked.where("_may")
     own = F.col("page_id").eqNullSafe(F.col("_first"))
-    return keyed.join(firsts, "_d", "left").select(
-        "page_id", "url", "html", F.when(~own, F.col("_first")).alias("first"), F.when(~own, F.col("_url")).alias("first_url")
-    )
+    later = shared.select("page_id", "url", "sha1", "length").join(firsts, F.col("sha1") == F.col("_d")).where(~own)
+    later = later.select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha1", "length", F.col("_first").alias("first"), F.col("_url").alias("first_url"))
+    astray = shared.select("page_id", "sha1").join(firsts, F.col("sha1") == F.col("_d"), "left_anti")  # only share a slot of the bit array
+    whole = save(firsts.select(F.col("_first").alias("_p"), "_d").unionByName(astray.select(F.col("page_id").alias("_p"), F.col("sha1").alias("_d"))).distinct(), "whole-payloads")
+    first = only_members(shared, members(whole, "_p", "_d"), "page_id", "sha1")
+    first = first.join(whole, (F.col("sha1") == F.col("_d")) & F.col("page_id").eqNullSafe(F.col("_p")), "left_semi").select(*names, *none)
+    return alone.unionByName(later).unionByName(first)
 
 
 def page_captures(pages: DataFrame, least: int = 0) -> DataFrame:
