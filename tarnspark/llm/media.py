@@ -2,8 +2,8 @@
 
 ``mux`` stores a payload as uncompressed 8-bit grey frames of 24 x 24 samples in one
 video track.  ``probe`` walks the nested boxes of any container, decodes the sample tables
-(stsd, stts, stss, stsc, stsz, stco/co64) and gives codec, duration and the byte ranges of the samples and
-keyframes; it never touches the payload.  ``demux`` reads the samples' bytes back by those ranges.
+(stsd, stts, stss, stsc, stsz, stco/co64, and of fragments tfhd, trex and trun) and gives codec, duration and the byte ranges of the samples and
+keyframes of every track; it never touches the payload.  ``demux`` reads the samples' bytes back by those ranges.
 Column functions wrap each for Arrow batches.
 """
 
@@ -100,6 +100,7 @@ def boxes(data: memoryview, start: int, end: int, depth: int = 0) -> Iterator[tu
 
 @dataclass
 class Track:
+    number: int = 0
     kind: str = ""
     codec: str = ""
     width: int = 0
@@ -110,6 +111,12 @@ class Track:
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     keyframes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
+    def add(self, sizes: np.ndarray, offsets: np.ndarray, sync: np.ndarray, duration: int) -> None:
+        """More samples, of a fragment; ``sync``: which of them are keyframes."""
+        self.keyframes = np.concatenate([self.keyframes, len(self.sizes) + np.flatnonzero(sync)])
+        self.sizes, self.offsets = np.concatenate([self.sizes, sizes]), np.concatenate([self.offsets, offsets])
+        self.duration += duration
+
     def ranges(self) -> list[tuple[int, int]]:
         """(offset, length) of the keyframes' bytes, neighbours joined."""
         at, size = self.offsets[self.keyframes], self.sizes[self.keyframes]
@@ -135,11 +142,63 @@ def _ints(data: memoryview, at: int, n: int, kind: str, end: int) -> np.ndarray:
     return np.frombuffer(data, kind, n, at).astype(np.int64)
 
 
+@dataclass
+class Fragment:
+    """What a track fragment says before its runs: the track, the offset that runs count from, and (duration, size, flags) by default."""
+
+    track: Track
+    base: int
+    defaults: tuple[int, int, int]
+    end: int
+
+
+#: Bits of tfhd and trun flags (fixed values of the format) and of a sample's flags: not a keyframe.
+TF_BASE, TF_ENTRY, TF_DURATION, TF_SIZE, TF_FLAGS = 0x1, 0x2, 0x8, 0x10, 0x20
+TR_OFFSET, TR_FIRST, TR_DURATION, TR_SIZE, TR_FLAGS, TR_SHIFT = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+NOT_SYNC = 0x10000
+
+
+def _fields(data: memoryview, at: int, end: int, flags: int, bits: tuple[tuple[int, str], ...]) -> tuple[dict[int, int], int]:
+    """The optional fields that ``flags`` names, in order, and where they end."""
+    out = {}
+    for bit, kind in bits:
+        if flags & bit:
+            size = struct.calcsize(kind)
+            if at + size > end:
+                raise ValueError("a fragment's box is cut short")
+            (out[bit],) = struct.unpack_from(kind, data, at)
+            at += size
+    return out, at
+
+
+def _run(data: memoryview, at: int, end: int, of: Fragment, limit: int) -> None:
+    """The samples of one trun."""
+    flags, n = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF, struct.unpack_from(">I", data, at + 4)[0]
+    head, at = _fields(data, at + 8, end, flags, ((TR_OFFSET, ">i"), (TR_FIRST, ">I")))
+    columns = [bit for bit in (TR_DURATION, TR_SIZE, TR_FLAGS, TR_SHIFT) if flags & bit]
+    if not columns and n > limit:
+        raise ValueError("a run has more samples than the file holds")
+    table = _ints(data, at, n * len(columns), ">u4", end).reshape(n, len(columns))
+    own = {bit: table[:, i] for i, bit in enumerate(columns)}
+    duration, size, marks = (own.get(bit, np.full(n, d, np.int64)) for bit, d in zip((TR_DURATION, TR_SIZE, TR_FLAGS), of.defaults, strict=True))
+    if TR_FIRST in head and n and TR_FLAGS not in own:
+        marks = marks.copy()
+        marks[0] = head[TR_FIRST]
+    start = of.base + head[TR_OFFSET] if TR_OFFSET in head else of.end
+    offsets = start + np.cumsum(size) - size
+    of.end = start + int(size.sum())
+    if start < 0 or of.end > limit:
+        raise ValueError("samples lie outside the file")
+    of.track.add(size, offsets, marks & NOT_SYNC == 0, int(duration.sum()))
+
+
 def probe(media: bytes) -> Media:
     """What the boxes say.  Raises ValueError for what isn't an ISO media container."""
     data = memoryview(media)
     out = Media()
     tables: dict[bytes, np.ndarray] = {}
+    defaults: dict[int, tuple[int, int, int]] = {}
+    moof, fragment = 0, None
 
     def close() -> None:
         if not out.tracks or not tables:
@@ -175,9 +234,32 @@ def probe(media: bytes) -> Media:
                 out.tracks.append(Track())
             elif kind == b"nbyt":
                 (out.unpadded,) = struct.unpack_from(">Q", data, at)
+            elif kind == b"trex":
+                number, _, *by_default = struct.unpack_from(">5I", data, at + 4)
+                defaults[number] = tuple(by_default)
+            elif kind == b"moof":
+                close()
+                moof, fragment = at - 8, None
+            elif kind == b"traf":
+                fragment = None
+            elif kind == b"tfhd":
+                flags, number = struct.unpack_from(">II", data, at)
+                known = {t.number: t for t in out.tracks}
+                if number not in known:
+                    raise ValueError(f"a fragment names track {number}, which isn't there")
+                found, _ = _fields(data, at + 8, end, flags, ((TF_BASE, ">Q"), (TF_ENTRY, ">I"), (TF_DURATION, ">I"), (TF_SIZE, ">I"), (TF_FLAGS, ">I")))
+                base = found.get(TF_BASE, moof)
+                before = defaults.get(number, (0, 0, 0))
+                fragment = Fragment(known[number], base, tuple(found.get(b, d) for b, d in zip((TF_DURATION, TF_SIZE, TF_FLAGS), before, strict=True)), base)
+            elif kind == b"trun":
+                if fragment is None:
+                    raise ValueError("a run without a track fragment header")
+                _run(data, at, end, fragment, len(data))
             elif out.tracks and depth >= 2:
                 t = out.tracks[-1]
-                if kind == b"mdhd":
+                if kind == b"tkhd":
+                    (t.number,) = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))
+                elif kind == b"mdhd":
                     t.timescale, t.duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
                 elif kind == b"hdlr":
                     t.kind = bytes(data[at + 8 : at + 12]).decode("latin-1")
@@ -232,7 +314,8 @@ def mux_column(text: Column) -> Column:
 PROBED = (
     "brand string, codec string, track_kind string, width int, height int, timescale long, duration long, n_samples long,"
     " keyframes long, keyframe_ranges array<struct<offset:long,length:long>>, n_bytes long, payload_bytes long, payload_sha256 string,"
-    " tail_crc32 long, media_sha256 string, error string"
+    " tail_crc32 long, head_crc32 long, media_sha256 string, error string,"
+    " tracks array<struct<codec:string,track_kind:string,timescale:long,duration:long,n_samples:long,keyframes:long,keyframe_ranges:array<struct<offset:long,length:long>>,payload_bytes:long,payload_sha256:string>>"
 )
 
 
@@ -244,19 +327,24 @@ def _probe_row(media: bytes | None) -> dict | None:
         found = probe(media)
     except ValueError as e:
         return row | {"error": str(e)}
-    row |= {"brand": found.brand, "n_bytes": found.unpadded}
-    if found.tracks:
-        t = found.tracks[0]
+    row |= {"brand": found.brand, "n_bytes": found.unpadded, "tracks": []}
+    for k, t in enumerate(found.tracks):
         payload = demux(media, t)
-        row |= {"codec": t.codec, "track_kind": t.kind, "width": t.width, "height": t.height, "timescale": t.timescale, "duration": t.duration}
-        row |= {"n_samples": len(t.sizes), "keyframes": len(t.keyframes), "keyframe_ranges": [{"offset": a, "length": n} for a, n in t.ranges()]}
-        row |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:])}
+        one = {"codec": t.codec, "track_kind": t.kind, "timescale": t.timescale, "duration": t.duration, "n_samples": len(t.sizes), "keyframes": len(t.keyframes)}
+        one |= {"keyframe_ranges": [{"offset": a, "length": n} for a, n in t.ranges()], "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest()}
+        row["tracks"].append(one)
+        if not k:
+            first = payload[: int(t.sizes[0])] if len(t.sizes) else b""
+            row |= one | {"width": t.width, "height": t.height, "tail_crc32": zlib.crc32(payload[-32:]), "head_crc32": zlib.crc32(first)}
     return row
 
 
 _RANGE = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
+_TRACK = pa.struct(
+    [("codec", pa.string()), ("track_kind", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", pa.int64()), ("keyframe_ranges", _RANGE), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string())]
+)
 _PROBED = pa.struct(
-    [("brand", pa.string()), ("codec", pa.string()), ("track_kind", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", pa.int64()), ("keyframe_ranges", _RANGE), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_sha256", pa.string()), ("error", pa.string())]
+    [("brand", pa.string()), ("codec", pa.string()), ("track_kind", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", pa.int64()), ("keyframe_ranges", _RANGE), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("head_crc32", pa.int64()), ("media_sha256", pa.string()), ("error", pa.string()), ("tracks", pa.list_(_TRACK))]
 )
 
 
@@ -265,7 +353,7 @@ def _probe_batch(media: pa.Array) -> pa.Array:
 
 
 def probe_column(media: Column) -> Column:
-    """Codec, duration, keyframe ranges and digests of each container's first track.
+    """Codec, duration, keyframe ranges and digests of each container's first track, and of every track in ``tracks``.
 
     Null gives null.  What isn't a readable container has ``error`` and its own digest only.
     """
@@ -287,6 +375,7 @@ def document_media(docs: DataFrame) -> DataFrame:
         F.concat(F.lit("duration:"), F.col("p.duration"), F.lit("/"), F.col("p.timescale")),
         F.concat(F.lit("keyframes:"), F.col("p.keyframes")),
         F.concat(F.lit("ranges:"), F.size("p.keyframe_ranges"), F.lit("@"), first["offset"], F.lit("+"), first["length"]),
+        F.concat(F.lit("first:"), F.lpad(F.lower(F.hex("p.head_crc32")), 8, "0")),
     )
     return seen.select(
         "doc_id", "p.n_bytes", "p.payload_bytes", "p.payload_sha256", "p.tail_crc32", "media_bytes", "p.media_sha256", feature.alias("feature"),
