@@ -20,10 +20,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without repeated chunks of lines; n_chars follows the text.  A document of which nothing is left goes."""
-    done = line_dedup.deduplicated(docs)
+    spans = _scratch.free_name(docs, "_spans")
+    done = line_dedup.deduplicated(docs, spans)
     white = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
-    kept = done.where(~(white & (F.size("_spans") > 0)))
-    counted = F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    kept = done.where(~(white & (F.size(spans) > 0)))
+    counted = F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return (kept.withColumn("n_chars", counted) if "n_chars" in docs.columns else kept).select(*docs.columns)
 
 
