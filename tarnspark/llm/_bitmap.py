@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnspark.llm._scratch import free_names, save
+from tarnspark.llm._scratch import free_names
 
 #: Bits of an array, which makes 262,144 words of 64 bits at most: the rows of the broadcast table.
 BITS = 1 << 24
@@ -21,9 +21,9 @@ def _slot(keys: tuple[str | Column, ...]) -> Column:
 
 
 def members(df: DataFrame, *keys: str) -> DataFrame:
-    """(word, bits): the bits of the slots of all keys, ``BITS`` / 64 rows at most."""
+    """(word, bits): the bits of the slots of all keys, ``BITS`` / 64 rows at most.  Computed where it is broadcast, so ``df`` should be a saved table."""
     slots = df.select(_slot(keys).alias("s")).select(F.shiftright("s", 6).alias("word"), F.expr("shiftleft(1L, int(s & 63))").alias("b"))
-    return save(slots.groupBy("word").agg(F.bit_or("b").alias("bits")), "members")
+    return slots.groupBy("word").agg(F.bit_or("b").alias("bits"))
 
 
 def with_member(df: DataFrame, words: DataFrame, name: str, *keys: str | Column) -> DataFrame:

@@ -23,7 +23,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         hooked = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         # what a node learns is also true for the node that was its label
         told = hooked.where("old != label").groupBy(F.col("old").alias("told")).agg(F.min("label").alias("better"))
-        told = save(told, "told")
         hooked = hooked.join(told, F.col("node") == F.col("told"), "left").select("node", "old", F.least("label", F.coalesce("better", "label")).alias("label"))
         hooked = save(hooked, "hooked")
         jump = hooked.select(F.col("node").alias("at"), F.col("label").alias("next"))

@@ -183,7 +183,7 @@ def ranked_prefixes(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -
 def _made_of(docs: DataFrame, wanted: DataFrame, k: int, column: str, make) -> DataFrame:
     """(node, n, column): what ``make`` gives for the set of one document of each wanted (node, doc_id).
 
-    Texts are read where they lie; bit arrays of a fixed size tell which rows may be wanted, so a few more nodes may come along.
+    Texts are read where they lie; a bit array of a fixed size tells which rows may be wanted, so a few more nodes may come along.
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +194,7 @@ def _made_of(docs: DataFrame, wanted: DataFrame, k: int, column: str, make) -> D
         _text.trim()
 
     rows = only_members(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), members(wanted, "doc_id"), "doc_id").select("text")
-    made = only_members(rows.mapInArrow(compute, f"node binary, n long, {column} binary"), members(wanted, "node"), "node")
+    made = rows.mapInArrow(compute, f"node binary, n long, {column} binary")
     return made.groupBy("node").agg(F.first("n").alias("n"), F.first(column).alias(column))
 
 
@@ -206,7 +206,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 def passed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int, wide: int | None = None) -> DataFrame:
     """(a, b, close): the pairs of nodes whose sketches don't rule out an overlap of ``wide`` percent (``percent`` by default); close: nor a link."""
     named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = save(nodes.select("node", "doc_id").join(named, "node", "left_semi"), "sketched")
+    wanted = nodes.select("node", "doc_id").join(named, "node", "left_semi")
     sketches = save(_made_of(docs, wanted, k, "sketch", sketch), "sketches", "uncompressed")
     left, right = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
 
@@ -227,7 +227,7 @@ def passed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent:
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The rows (a, b) of pairs of nodes that link, from those whose sketches passed."""
     named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = save(nodes.select("node", "doc_id").join(named, "node", "left_semi"), "named-nodes")
+    wanted = nodes.select("node", "doc_id").join(named, "node", "left_semi")
     sets = save(sets_of(docs, wanted, k), "sets", "uncompressed")
     left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
 
@@ -265,10 +265,10 @@ def grouped(nodes: DataFrame, pairs: DataFrame, stars: DataFrame) -> DataFrame:
     own = nodes.select("node", "doc_id", "n").join(leaders(pairs).withColumnRenamed("label", "group"), "node")
     own = own.join(leaders(stars), "node", "left").select("node", "doc_id", "n", F.xxhash64("group").alias("g"), F.xxhash64(F.coalesce("label", "node")).alias("v"))
     own = save(own, "placed")
-    joined = save(own.groupBy("g", "v").agg(F.sum("n").alias("vn")), "joined")
+    joined = own.groupBy("g", "v").agg(F.sum("n").alias("vn"))
     rest = F.sum(F.when(F.col("vn") <= PART_TOKENS, F.col("vn")))
-    sizes = save(joined.groupBy("g").agg(F.coalesce(F.ceil(rest / PART_TOKENS), F.lit(1)).alias("p")), "sizes")
-    large = save(joined.where(F.col("vn") > PART_TOKENS).select("g", "v", F.ceil(F.col("vn") / PART_TOKENS).alias("vp")), "large")
+    sizes = joined.groupBy("g").agg(F.coalesce(F.ceil(rest / PART_TOKENS), F.lit(1)).alias("p"))
+    large = joined.where(F.col("vn") > PART_TOKENS).select("g", "v", F.ceil(F.col("vn") / PART_TOKENS).alias("vp"))
     both = own.join(sizes, "g").join(large, ["g", "v"], "left")
     part = F.when(F.col("vp").isNotNull(), F.xxhash64("v", F.pmod(F.xxhash64("node"), F.col("vp")))).otherwise(F.pmod(F.xxhash64("v"), F.col("p")))
     return save(both.select("node", "doc_id", "n", "g", part.alias("part"), "v"), "groups")
@@ -431,18 +431,18 @@ def cross_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, pairs: Dat
     Parts of one node each are compared as nodes; pairs with a larger part are opened from the matrix.
     """
     alone: Column = F.xxhash64("node")
-    named = save(pairs.select("g", "part").unionByName(pairs.select(F.col("g2").alias("g"), F.col("part2").alias("part"))).distinct(), "named")
+    named = pairs.select("g", "part").unionByName(pairs.select(F.col("g2").alias("g"), F.col("part2").alias("part"))).distinct()
     every = nodes.join(groups.select("node", "g", "part"), "node", "left").select("node", "doc_id", F.coalesce("g", alone).alias("g"), F.coalesce("part", F.lit(0)).alias("part"))
     wanted = save(every.join(named, ["g", "part"], "left_semi"), "wanted")
     single = wanted.groupBy("g", "part").agg(F.count("*").alias("m"), F.min("node").alias("node"))
-    single = save(single.select("g", "part", F.when(F.col("m") == 1, F.col("node")).alias("node")), "single")
+    single = single.select("g", "part", F.when(F.col("m") == 1, F.col("node")).alias("node"))
     second = single.select(F.col("g").alias("g2"), F.col("part").alias("part2"), F.col("node").alias("b"))
     placed = save(pairs.join(single.withColumnRenamed("node", "a"), ["g", "part"]).join(second, ["g2", "part2"]), "placed-pairs")
     one = placed.where("a is not null and b is not null and a != b").select("a", "b")
     plain = verified(docs, nodes, passed(docs, nodes, one, k, percent), k, percent)
     pairs = placed.where("a is null or b is null").select("g", "part", "g2", "part2")
     large = pairs.select("g", "part").unionByName(pairs.select(F.col("g2").alias("g"), F.col("part2").alias("part"))).distinct()
-    held = save(wanted.join(large, ["g", "part"], "left_semi"), "held")
+    held = wanted.join(large, ["g", "part"], "left_semi")
     sets = sets_of(docs, held, k).join(held.select("node", "g", "part"), "node")
     matrix = save(sets.groupBy("g", "part").applyInArrow(_matrix_rows, "g long, part long, union binary, members array<struct<node:binary,tokens:binary>>"), "matrix", "uncompressed", SETS)
     first = matrix.select("g", "part", F.col("union").alias("u1"), F.col("members").alias("m1"))
@@ -486,16 +486,14 @@ def joined(docs: DataFrame, k: int, percent: int, count: bool = False) -> DataFr
         counts = cross_links(docs, nodes, single, candidate_parts(ranked, single, percent), k, percent, count=True)
     drop(ranked)
     crossed = cross_links(docs, nodes, groups, parts, k, percent)
-    found = save(stars.unionByName(crossed), "all-links")
-    labels = components(found)
+    labels = components(stars.unionByName(crossed))
     rooted = save(nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("root")), "rooted")
-    least = save(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     placed = rooted.join(least, "root")
     names = ["doc_id", "x", "n", "root", "component_id"]
     if count:
         placed, names = placed.join(counts, "node", "left").withColumn("links", F.coalesce("links", F.lit(0))), [*names, "links"]
-    placed = save(placed.select("node", *names[3:]), "components")
-    return seen.join(placed, "node", "left").select(*names)
+    return seen.join(placed.select("node", *names[3:]), "node", "left").select(*names)
 
 
 def document_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
