@@ -1,7 +1,7 @@
 """The named queries of the engine over the driver's tables, and their SQL forms.
 
 Each query calls one operator on the adapter views; its SQL states the same result independently.
-Values are compared after half-up rounding by ``floor``, which both engines compute alike.
+Values are compared after rounding by ``floor`` (see ``OFFSET``), which both engines compute alike.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tarnspark.functions import physics as ph
 from tarnspark.operators import aggregate, checks, downscale, graph, grids, ingest, interp, redistribute, terrain, units
+from tarnspark.sources import store
 from tarnspark.sources.adapter import LAT0, LON0, N_LAT, N_LON, STEP, Views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,24 +114,31 @@ def sin_elevation(lat: str, lon: str) -> str:
     return clip(f"sin(radians({lat}))*sin({_DECL})+cos(radians({lat}))*cos({_DECL})*cos({angle})", "-1e0")
 
 
-def with_simple(body: str) -> str:
-    """The simple mode step by step as ``done``, then ``body``."""
+def _steps(first: str, rh: str, u: str = "u10", v: str = "v10", height: str = "ln(10e0/0.03e0)") -> str:
+    """Common steps of both modes from ``first`` (ta, p, q, se of each row of the forcing at units) to ``done``."""
     es_d = es("d2m")
-    return f""", s1 AS (SELECT *, t2m - 0.0065e0*(elevation-z_surf) AS ta FROM corners
-), s2 AS (SELECT *, sp*exp(-9.80665e0*(elevation-z_surf)/(287.05e0*((t2m+ta)/2e0))) AS p, 0.622e0*{es_d}/(sp-0.378e0*{es_d}) AS q,
-  degrees(asin({sin_elevation("lat", "lon")})) AS se FROM s1
+    return f"""s2 AS ({first}
 ), s3 AS (SELECT *, q*p/(0.622e0+0.378e0*q) AS e, 1361e0*greatest(sin(radians(se)),0e0) AS toa FROM s2
-), s4 AS (SELECT *, {clip("e/" + es("ta"))} AS rh, {clip("CASE WHEN toa > 1e0 THEN ssrd/toa ELSE 0e0 END")} AS kt FROM s3
+), s4 AS (SELECT *, {clip(rh + "/" + es("ta"))} AS rh, {clip("CASE WHEN toa > 1e0 THEN ssrd/toa ELSE 0e0 END")} AS kt FROM s3
 ), s5 AS (SELECT *, CASE WHEN se <= 0 THEN ssrd ELSE ssrd*(CASE WHEN kt<=0.22e0 THEN 1e0-0.09e0*kt WHEN kt<=0.8e0 THEN 0.9511e0-0.1604e0*kt+4.388e0*kt*kt-16.638e0*kt*kt*kt+12.336e0*kt*kt*kt*kt ELSE 0.165e0 END) END AS dif,
   CASE WHEN ta >= 275.65e0 THEN 1e0 WHEN ta <= 272.65e0 THEN 0e0 ELSE (ta-272.65e0)/(275.65e0-272.65e0) END AS fr,
   CASE surface_type WHEN 'glacier' THEN 0.001e0 WHEN 'open' THEN 0.03e0 WHEN 'rock' THEN 0.01e0 ELSE 1e0 END AS z0, CASE WHEN surface_type='forest' THEN 10e0 ELSE 0e0 END AS dd FROM s4
 ), s6 AS (SELECT *, CASE WHEN se <= 0 THEN 0e0 ELSE ssrd-dif END AS direct,
-  CASE WHEN 10e0-dd > z0 THEN sqrt(u10*u10+v10*v10)*ln((10e0-dd)/z0)/ln(10e0/0.03e0) ELSE 0e0 END AS ws,
+  CASE WHEN 10e0-dd > z0 THEN sqrt({u}*{u}+{v}*{v})*ln((10e0-dd)/z0)/{height} ELSE 0e0 END AS ws,
   CASE WHEN ta > 277.15e0 THEN tp ELSE tp*fr END AS rain, CASE WHEN ta > 277.15e0 THEN 0e0 ELSE tp-tp*fr END AS snow FROM s5
 ), s7 AS (SELECT *, least(direct*(CASE WHEN sin(radians(se))>0.01e0 THEN greatest(sin(radians(se))*cos(radians(slope))+cos(radians(se))*sin(radians(slope))*cos(-radians(aspect)),0e0)/greatest(sin(radians(se)),0.259e0) ELSE 0e0 END),1361e0) AS swd,
   0.23e0+0.43e0*pow(greatest({es_d}/t2m,0e0),1e0/5.7e0) AS cs, 0.23e0+0.43e0*pow(greatest(e/ta,0e0),1e0/5.7e0) AS ct FROM s6
 ), done AS (SELECT *, svf*least(ct+greatest(strd/(5.670374419e-8*t2m*t2m*t2m*t2m)-cs,0e0),1e0)*5.670374419e-8*ta*ta*ta*ta + (1e0-svf)*5.670374419e-8*ta*ta*ta*ta AS lw FROM s7
-) {body}"""
+)"""
+
+
+def with_simple(body: str) -> str:
+    """The simple mode step by step as ``done``, then ``body``."""
+    es_d = es("d2m")
+    first = f"""SELECT *, sp*exp(-9.80665e0*(elevation-z_surf)/(287.05e0*((t2m+ta)/2e0))) AS p, 0.622e0*{es_d}/(sp-0.378e0*{es_d}) AS q,
+  degrees(asin({sin_elevation("lat", "lon")})) AS se FROM s1"""
+    return f""", s1 AS (SELECT *, t2m - 0.0065e0*(elevation-z_surf) AS ta FROM corners
+), {_steps(first, "e")} {body}"""
 
 
 _WD = "degrees(atan2(-u10,-v10)) - 360e0*floor(degrees(atan2(-u10,-v10))/360e0)"
@@ -155,16 +163,18 @@ def with_full(body: str, values: tuple[str, ...] = ("t", "u", "v", "q")) -> str:
 ) {body}"""
 
 
-@query(with_full(f""", f1 AS (SELECT c.*, x.t AS ta, x.u, x.v, x.q, sp*exp(-9.80665e0*(elevation-z_surf)/(287.05e0*((t2m+x.t)/2e0))) AS p,
-  CASE surface_type WHEN 'glacier' THEN 0.001e0 WHEN 'open' THEN 0.03e0 WHEN 'rock' THEN 0.01e0 ELSE 1e0 END AS z0, CASE WHEN surface_type='forest' THEN 10e0 ELSE 0e0 END AS dd
-  FROM (SELECT * EXCLUDE (t, s) FROM corners) c JOIN vert x USING (unit_id, time))
-SELECT time, unit_id, {r("ta", 4)} AS temperature, {r("p", 2)} AS pressure, {r("q", 9)} AS humidity_specific,
-  {r(clip("(q/(1e0-q)*p/(0.62197e0+q/(1e0-q)))/" + es("ta")), 6)} AS humidity_relative,
-  {r("CASE WHEN 10e0-dd > z0 THEN sqrt(u*u+v*v)*ln((10e0-dd)/z0)/ln(50e0/0.01e0) ELSE 0e0 END", 4)} AS wind_speed FROM f1""".lstrip()))
+_FULL_STEPS = _steps(
+    f"""SELECT c.*, x.t AS ta, x.u, x.v, x.q, sp*exp(-9.80665e0*(elevation-z_surf)/(287.05e0*((t2m+x.t)/2e0))) AS p, degrees(asin({sin_elevation("lat", "lon")})) AS se
+  FROM (SELECT * EXCLUDE (t, s) FROM corners) c JOIN vert x USING (unit_id, time)""",
+    "(q/(1e0-q)*p/(0.62197e0+q/(1e0-q)))", "u", "v", "ln(50e0/0.01e0)",
+)
+_FULL_ALL = _ALL | {"wind_direction": (_WD.replace("u10", "u").replace("v10", "v"), 4)}
+
+
+@query(with_full(f", {_FULL_STEPS} SELECT time, unit_id, {', '.join(f'{r(e, n)} AS {k}' for k, (e, n) in _FULL_ALL.items())} FROM done"))
 def downscale_full(v: Views) -> DataFrame:
-    outputs = ["temperature", "pressure", "humidity_specific", "humidity_relative", "wind_speed"]
-    out = downscale.downscale(v.surface, v.units_w, outputs, downscale.Settings(mode="full"), v.plev)
-    return out.select("time", "unit_id", *(_r(k, _ALL[k][1]) for k in outputs))
+    out = downscale.downscale(v.surface, v.units_w, None, downscale.Settings(mode="full"), v.plev)
+    return out.select("time", "unit_id", *(_r(k, n) for k, (_, n) in _ALL.items()))
 
 
 # --- interpolation ------------------------------------------------------------------
@@ -182,9 +192,9 @@ def nearest_cell(v: Views) -> DataFrame:
 def _vertical(v: Views, *values: str) -> DataFrame:
     names = [f"{x}_levels" for x in ("z", *values)]
     nested = interp.level_arrays(v.plev, ["z", *values]).withColumnsRenamed({x: f"{x}_levels" for x in ("z", *values)})
-    blocks = interp.cell_blocks(nested, names).join(interp.small(v.units_w), ["j1", "i1"])
-    rows = blocks.select("time", "unit_id", "elevation", *(interp.bilinear_levels(n).alias(n) for n in names))
-    return rows.select("time", "unit_id", *(interp.at_height(F.col("z_levels"), F.col(f"{x}_levels"), F.col("elevation")).alias(x) for x in values))
+    blocks = interp.cell_blocks(nested, names, parts=interp.fan_out(v.surface, v.units_w, ["time"])).withColumnRenamed("corners", "level_corners")
+    rows = interp.with_bracket(blocks.join(interp.small(v.units_w), ["j1", "i1"]), F.col("elevation"))
+    return rows.select("time", "unit_id", *(interp.at_bracket(f"{x}_levels").alias(x) for x in values))
 
 
 @query(with_full(f"SELECT time, unit_id, {r('t', 5)} AS t FROM vert", ("t",)))
@@ -218,9 +228,17 @@ def humidity_simple(v: Views) -> DataFrame:
     return downscale.downscale(v.surface, v.units_w, ["humidity_specific", "humidity_relative"]).select("time", "unit_id", _r("humidity_specific", 9), _r("humidity_relative", 6))
 
 
-@query(f"SELECT time, cell, {r(clip('(0.005e0/(1e0-0.005e0)*sp/(0.62197e0+0.005e0/(1e0-0.005e0)))/' + es('t2m')), 6)} AS rh, {r(clip('(0.005e0/(1e0-0.005e0)*sp/(0.62197e0+0.005e0/(1e0-0.005e0)))/' + es('t2m') + '*100e0', '0e0', '100e0'), 4)} AS rh_percent FROM surface")
+#: A specific humidity that differs by row.
+_Q = "(0.001e0 + 0.0001e0*cell)"
+
+
+def _q() -> Column:
+    return F.col("cell") * 0.0001 + 0.001
+
+
+@query(f"SELECT time, cell, {r(clip(f'({_Q}/(1e0-{_Q})*sp/(0.62197e0+{_Q}/(1e0-{_Q})))/' + es('t2m')), 6)} AS rh, {r(clip(f'({_Q}/(1e0-{_Q})*sp/(0.62197e0+{_Q}/(1e0-{_Q})))/' + es('t2m') + '*100e0', '0e0', '100e0'), 4)} AS rh_percent FROM surface")
 def humidity_adjust(v: Views) -> DataFrame:
-    q = F.lit(0.005)
+    q = _q()
     _, rh = ph.adjust_humidity(q, F.col("t2m"), F.col("sp"))
     return v.surface.select("time", "cell", _r("rh", 6, rh), _r("rh_percent", 4, ph.rh_percent(q, F.col("t2m"), F.col("sp"))))
 
@@ -228,11 +246,11 @@ def humidity_adjust(v: Views) -> DataFrame:
 _STEP_SQL = f"w - ({es('w')} - g*(t-w) - e)/({es('w')}*(17.67e0*243.5e0)/((w-29.65e0)*(w-29.65e0)) + g)"
 
 
-@query(f""", base AS (SELECT time, cell, t2m AS t, 0.003e0*sp/(0.622e0+0.378e0*0.003e0) AS e, 1004e0*sp/(0.622e0*2.501e6) AS g FROM surface
+@query(f""", base AS (SELECT time, cell, t2m AS t, {_Q}*sp/(0.622e0+0.378e0*{_Q}) AS e, 1004e0*sp/(0.622e0*2.501e6) AS g FROM surface
 ), newton AS (SELECT time, cell, t, e, g, t AS w, 0 AS k FROM base UNION ALL SELECT time, cell, t, e, g, {_STEP_SQL}, k+1 FROM newton WHERE k < 20)
 SELECT time, cell, {r("least(w,t)", 4)} AS wet_bulb FROM newton WHERE k = 20""")
 def wet_bulb(v: Views) -> DataFrame:
-    return v.surface.select("time", "cell", _r("wet_bulb", 4, ph.wet_bulb(F.col("t2m"), F.col("sp"), F.lit(0.003))))
+    return v.surface.select("time", "cell", _r("wet_bulb", 4, ph.wet_bulb(F.col("t2m"), F.col("sp"), _q())))
 
 
 @query(with_simple(f"SELECT time, unit_id, {r('rain', 6)} AS rainfall, {r('snow', 6)} AS snowfall FROM done"))
@@ -448,28 +466,28 @@ def _pixels(v: Views) -> DataFrame:
 
 
 _HRU = f""", px AS (SELECT r, c, elevation, {r("slope", 4)} AS slope, {r("aspect", 3)} AS aspect, 1e0-{r("slope", 4)}/180e0 AS svf FROM terrain
-), cls AS (SELECT *, CAST(floor((elevation-floor((SELECT min(elevation) FROM dem)/1000e0)*1000e0)/1000e0) AS INT) AS band,
+), cls AS (SELECT *, CAST(floor((elevation-floor((SELECT min(elevation) FROM dem)/200e0)*200e0)/200e0) AS INT) AS band,
   CAST(floor(((aspect+45e0) - 360e0*floor((aspect+45e0)/360e0))/90e0) AS INT) AS aspect_class FROM px
 ), lab AS (SELECT *, CAST(dense_rank() OVER (ORDER BY band, aspect_class) - 1 AS INT) AS unit_idx FROM cls)"""
 
 
 @query(_HRU + "SELECT r, c, band, aspect_class, unit_idx FROM lab")
 def hru_labels(v: Views) -> DataFrame:
-    return units.hru_labels(_pixels(v), 1000.0, 4).select("r", "c", "band", "aspect_class", "unit_idx")
+    return units.hru_labels(_pixels(v), 200.0, 4).select("r", "c", "band", "aspect_class", "unit_idx")
 
 
 @query(_HRU + f"""SELECT unit_idx, {r("avg(r)", 6)} AS y, {r("avg(c)", 6)} AS x, {r("avg(elevation)", 4)} AS elevation, {r("avg(slope)", 5)} AS slope,
   {r("degrees(atan2(avg(sin(radians(aspect))),avg(cos(radians(aspect))))) - 360e0*floor(degrees(atan2(avg(sin(radians(aspect))),avg(cos(radians(aspect)))))/360e0)", 4)} AS aspect,
   {r("avg(svf)", 6)} AS svf, count(*) AS pixels, count(*)*900e0 AS area_m2 FROM lab GROUP BY 1""")
 def zonal_stats(v: Views) -> DataFrame:
-    z = units.zonal_stats(units.hru_labels(_pixels(v), 1000.0, 4), "unit_idx", RES * RES)
+    z = units.zonal_stats(units.hru_labels(_pixels(v), 200.0, 4), "unit_idx", RES * RES)
     return z.select("unit_idx", _r("y", 6), _r("x", 6), _r("elevation", 4), _r("slope", 5), _r("aspect", 4), _r("svf", 6), "pixels", "area_m2")
 
 
 @query(_HRU + """, e AS (SELECT a.unit_idx AS a, b.unit_idx AS b FROM lab a JOIN lab b ON (b.r=a.r AND b.c=a.c+1) OR (b.r=a.r+1 AND b.c=a.c) WHERE a.unit_idx <> b.unit_idx)
 SELECT a, b FROM e UNION SELECT b, a FROM e""")
 def adjacency(v: Views) -> DataFrame:
-    return units.adjacency(units.hru_labels(_pixels(v), 1000.0, 4), "unit_idx")
+    return units.adjacency(units.hru_labels(_pixels(v), 200.0, 4), "unit_idx")
 
 
 @query(f""", p AS (SELECT m.unit_idx, CAST(floor(m.r/7e0) AS INT) AS catchment FROM membership m)
@@ -544,7 +562,7 @@ def point_groups(v: Views) -> DataFrame:
 ), reach AS (SELECT node AS a, node AS b FROM n UNION SELECT x.a, e.b FROM reach x JOIN e ON x.b = e.a)
 SELECT n.r, n.c, n.unit_idx, m.part FROM n JOIN (SELECT a, min(b) AS part FROM reach GROUP BY 1) m ON m.a = n.node""")
 def label_parts(v: Views) -> DataFrame:
-    return graph.label_components(units.hru_labels(_pixels(v), 1000.0, 4), "unit_idx")
+    return graph.label_components(units.hru_labels(_pixels(v), 200.0, 4), "unit_idx")
 
 
 # --- snow ------------------------------------------------------------------------------------
@@ -593,10 +611,10 @@ def water_year(v: Views) -> DataFrame:
     return v.hours.select("time", ph.water_year(F.col("time")).cast("int").alias("wy"), ph.day_of_water_year(F.col("time")).cast("int").alias("dowy"))
 
 
-@query(f""", f AS (SELECT time, cell AS unit_idx, t2m FROM surface WHERE cell < 9 AND hour(time) = 0)
+@query(f""", f AS (SELECT time, cell AS unit_idx, t2m FROM surface)
 SELECT f.time, m.r, m.c, {r("f.t2m", 6)} AS t2m FROM membership m JOIN f USING (unit_idx) UNION ALL SELECT t.time, m.r, m.c, NULL FROM membership m CROSS JOIN (SELECT DISTINCT time FROM f) t WHERE m.unit_idx < 0""")
 def to_raster(v: Views) -> DataFrame:
-    forcing = v.surface.where("cell < 9 and hour(time) = 0").select("time", F.col("cell").alias("unit_idx"), "t2m")
+    forcing = v.surface.select("time", F.col("cell").alias("unit_idx"), "t2m")
     return aggregate.to_raster(forcing, v.membership, ["t2m"]).select("time", "r", "c", _r("t2m", 6))
 
 
@@ -610,52 +628,112 @@ _OUT = ["temperature", "pressure", "humidity_specific", "humidity_relative", "wi
 
 
 def _forcing(v: Views) -> DataFrame:
-    return downscale.downscale(v.surface, v.units_w, _OUT)
+    return store.with_metadata(downscale.downscale(v.surface, v.units_w, _OUT))
+
+
+def _rounded(df: DataFrame, digits: dict[str, int], *keys: str) -> DataFrame:
+    return df.select(*keys, *(_r(x, n) for x, n in digits.items()))
+
+
+_STEP_S = "(SELECT epoch(max(time)) - epoch(min(time)) FROM (SELECT time FROM hours ORDER BY time LIMIT 2))"
+_FSM = {"SW": ("swd+dif*svf", 3), "LW": ("lw", 3), "Sf": (f"snow/{_STEP_S}", 9), "Rf": (f"rain/{_STEP_S}", 9), "Ta": ("ta", 3), "RH": ("rh*100e0", 4), "Ua": ("ws", 3), "Ps": ("p", 2)}
+_FSM_SQL = ", ".join(f'{r(e, n)} AS "{k}"' for k, (e, n) in _FSM.items())
 
 
-@query(with_simple(f"""SELECT unit_id, year(time) AS year, month(time) AS month, day(time) AS day, hour(time)*1e0 AS hour, {r("swd", 3)} AS "Sdir", {r("dif*svf", 3)} AS "Sdif", {r("lw", 3)} AS "LW",
-  {r("snow/3600e0", 9)} AS "Sf", {r("rain/3600e0", 9)} AS "Rf", {r("ta", 4)} AS "Ta", {r("rh*100e0", 4)} AS "RH", {r("ws", 4)} AS "Ua", {r("p", 2)} AS "Ps" FROM done"""))
+def _fsm_inputs(v: Views) -> DataFrame:
+    return _rounded(aggregate.fsm_inputs(_forcing(v), aggregate.time_step(v.hours)), {k: n for k, (_, n) in _FSM.items()}, "unit_id", "time")
+
+
+@query(with_simple(f"SELECT time, unit_id, {_FSM_SQL} FROM done"))
 def export_fsm2(v: Views) -> DataFrame:
-    f = aggregate.fsm2_columns(_forcing(v))
-    return f.select("unit_id", *(F.col(x).cast("long").alias(x) for x in ("year", "month", "day")), "hour", *(_r(x, n) for x, n in (("Sdir", 3), ("Sdif", 3), ("LW", 3), ("Sf", 9), ("Rf", 9), ("Ta", 4), ("RH", 4), ("Ua", 4), ("Ps", 2))))
+    return _fsm_inputs(v)
 
 
-@query()
+@query(with_simple(f""", fsm AS (SELECT time, unit_id, {_FSM_SQL} FROM done)
+SELECT unit_id, time, printf('%4d %2d %2d %2d %10.4f %10.4f %12.6e %12.6e %8.3f %6.4f %8.3f %10.2f', year(time), month(time), day(time), hour(time), "SW", "LW", "Sf", "Rf", "Ta", "RH", "Ua", "Ps") AS line FROM fsm""".lstrip()))
 def export_fsm(v: Views) -> DataFrame:
-    return aggregate.fsm_lines(_forcing(v))
+    return aggregate.fsm_text(_fsm_inputs(v))
+
+
+_SMET = {"TA": ("ta", 2), "RH": ("rh*100e0", 2), "VW": ("ws", 2), "ISWR": ("swd+dif*svf", 2), "ILWR": ("lw", 2), "PSUM": ("tp", 4), "PSUM_PH": ("CASE WHEN rain+snow > 0 THEN rain/(rain+snow) ELSE 0.5e0 END", 4)}
 
 
-@query(with_simple(f"""SELECT unit_id, strftime(time, '%Y-%m-%dT%H:%M:%S') AS timestamp, {r("ta", 4)} AS "TA", {r("rh", 6)} AS "RH", {r("ws", 4)} AS "VW", {r("swd+dif*svf", 3)} AS "ISWR", {r("lw", 3)} AS "ILWR",
-  {r("tp", 6)} AS "PSUM", {r("CASE WHEN rain+snow > 0 THEN rain/(rain+snow) ELSE 0.5e0 END", 6)} AS "PSUM_PH", {r("p", 2)} AS "P" FROM done"""))
+@query(with_simple(f""", smet AS (SELECT time, unit_id, {', '.join(f'{r(e, n)} AS "{k}"' for k, (e, n) in _SMET.items())} FROM done)
+SELECT unit_id, time, printf('%s %.2f %.2f %.2f %.2f %.2f %.4f %.4f', strftime(time, '%Y-%m-%dT%H:%M:%S'), "TA", "RH", "VW", "ISWR", "ILWR", "PSUM", "PSUM_PH") AS line FROM smet""".lstrip()))
 def export_smet(v: Views) -> DataFrame:
-    f = aggregate.smet_columns(_forcing(v))
-    return f.select("unit_id", "timestamp", *(_r(x, n) for x, n in (("TA", 4), ("RH", 6), ("VW", 4), ("ISWR", 3), ("ILWR", 3), ("PSUM", 6), ("PSUM_PH", 6), ("P", 2))))
+    return aggregate.smet_text(_rounded(aggregate.smet_columns(_forcing(v)), {k: n for k, (_, n) in _SMET.items()}, "unit_id", "time"))
 
 
-@query(with_simple(f"""SELECT unit_id, time, {r("ta", 4)} AS "Tair", {r("q", 9)} AS "Qair", {r("ws", 4)} AS "Wind", CAST(NULL AS DOUBLE) AS "Wind_DIR", {r("swd", 3)} AS "DIR_SWdown", {r("dif*svf", 3)} AS "SCA_SWdown",
-  {r("lw", 3)} AS "LWdown", {r("rain/3600e0", 9)} AS "Rainf", {r("snow/3600e0", 9)} AS "Snowf", {r("p", 2)} AS "PSurf", 0.00062e0 AS "CO2air" FROM done"""))
+_CREATED = "2024-01-01T00:00:00"
+
+
+@query(f""", u AS (SELECT unit_id, lat, lon, {r("elevation", 1)} AS z FROM units
+), h AS (SELECT unit_id, ['SMET 1.1 ASCII', '[HEADER]', 'station_id       = ' || unit_id, 'station_name     = unit_' || unit_id, printf('latitude         = %.6f', lat), printf('longitude        = %.6f', lon),
+  printf('altitude         = %.1f', z), 'nodata           = -999.0', 'tz               = 0', 'source           = tarnspark', 'creation_date    = {_CREATED}', 'fields           = timestamp TA RH VW ISWR ILWR PSUM PSUM_PH', '[DATA]'] AS l FROM u)
+SELECT unit_id, CAST(k AS INT) AS number, l[k+1] AS line FROM h CROSS JOIN range(13) t(k)""")
+def smet_header(v: Views) -> DataFrame:
+    return aggregate.smet_header(v.units.withColumn("elevation", _r("elevation", 1)), _CREATED)
+
+
+@query(with_simple(f"""SELECT unit_id, time, {r("ta", 4)} AS "Tair", {r("q", 9)} AS "Qair", {r("ws", 4)} AS "Wind", {r("swd", 3)} AS "DIR_SWdown", {r("dif*svf", 3)} AS "SCA_SWdown",
+  {r("lw", 3)} AS "LWdown", {r(f"rain/{_STEP_S}", 9)} AS "Rainf", {r(f"snow/{_STEP_S}", 9)} AS "Snowf", {r("p", 2)} AS "PSurf", CAST(NULL AS DOUBLE) AS "Wind_DIR", {r("420e0*44.01e0/(28.97e0*1e6)", 12)} AS "CO2air" FROM done"""))
 def export_crocus(v: Views) -> DataFrame:
-    f = aggregate.crocus_columns(_forcing(v))
-    return f.select("unit_id", "time", _r("Tair", 4), _r("Qair", 9), _r("Wind", 4), "Wind_DIR", _r("DIR_SWdown", 3), _r("SCA_SWdown", 3), _r("LWdown", 3), _r("Rainf", 9), _r("Snowf", 9), _r("PSurf", 2), "CO2air")
+    f = aggregate.crocus_columns(_forcing(v), aggregate.time_step(v.hours), wind_direction=True)
+    return _rounded(f, {"Tair": 4, "Qair": 9, "Wind": 4, "DIR_SWdown": 3, "SCA_SWdown": 3, "LWdown": 3, "Rainf": 9, "Snowf": 9, "PSurf": 2, "CO2air": 12}, "unit_id", "time", "Wind_DIR")
 
 
-@query(with_simple(f"""SELECT unit_id, time, {r("ta-273.15e0", 4)} AS "Tair", {r("q", 9)} AS q, {r("ws", 4)} AS wind, {r("swd+dif*svf", 3)} AS "Sin", {r("lw", 3)} AS "Lin", {r("p", 2)} AS p,
-  {r("rain/3600e0/1000e0", 12)} AS rainfall, {r("snow/3600e0/1000e0", 12)} AS snowfall FROM done"""))
+@query(with_simple(f"""SELECT unit_id, time, {r("ta", 4)} AS "Tair", {r("q", 9)} AS q, {r("ws", 4)} AS wind, {r("swd+dif*svf", 3)} AS "Sin", {r("lw", 3)} AS "Lin", {r("p", 2)} AS p,
+  {r(f"rain/{_STEP_S}/1000e0", 12)} AS rainfall, {r(f"snow/{_STEP_S}/1000e0", 12)} AS snowfall FROM done"""))
 def export_cryogrid(v: Views) -> DataFrame:
-    f = aggregate.cryogrid_columns(_forcing(v))
-    return f.select("unit_id", "time", _r("Tair", 4), _r("q", 9), _r("wind", 4), _r("Sin", 3), _r("Lin", 3), _r("p", 2), _r("rainfall", 12), _r("snowfall", 12))
+    return _rounded(aggregate.cryogrid_columns(_forcing(v), aggregate.time_step(v.hours)), {"Tair": 4, "q": 9, "wind": 4, "Sin": 3, "Lin": 3, "p": 2, "rainfall": 12, "snowfall": 12}, "unit_id", "time")
 
 
-@query(with_simple(f"SELECT time, {', '.join(f'max(CASE WHEN unit_id = {k} THEN {r('ta', 4)} END) AS u{k}' for k in (1, 2, 3))} FROM done GROUP BY 1"))
+@query()
 def export_csv_wide(v: Views) -> DataFrame:
-    out = aggregate.wide(downscale.downscale(v.surface, v.units_w, ["temperature"]).withColumn("temperature", _r("temperature", 4)), "temperature", [1, 2, 3])
-    return out.select("time", *(F.col(str(k)).alias(f"u{k}") for k in (1, 2, 3)))
+    """All units as columns; they differ by table, so there is no SQL of fixed columns."""
+    ids = sorted(x["unit_id"] for x in v.units.select("unit_id").collect())  # the columns of the result
+    out = aggregate.wide(downscale.downscale(v.surface, v.units_w, ["temperature"]).withColumn("temperature", _r("temperature", 4)), "temperature", ids)
+    return out.select("time", *(F.col(str(k)).alias(f"u{k}") for k in ids))
 
 
-@query(with_simple(", ck AS (" + " UNION ALL ".join(f"SELECT '{k}' AS variable, min({e}) AS a, max({e}) AS b, count({e}) AS n, {checks.BOUNDS[k][0]}e0 AS lo, {checks.BOUNDS[k][1]}e0 AS hi, '{checks.BOUNDS[k][2]}' AS txt FROM done" for k, e in (("temperature", "ta"), ("pressure", "p"), ("humidity_relative", "rh"), ("precipitation", "tp"))).lstrip() + f") SELECT variable, {r('a', 2)} AS least, {r('b', 2)} AS most, n, CASE WHEN a < lo OR b > hi THEN 'fail' ELSE 'pass' END AS status, CASE WHEN a < lo OR b > hi THEN txt END AS hint FROM ck"))
+_BOUND_SQL = {k: tuple(f"{x:.17e}" for x in (a, b)) for k, (a, b) in (checks.BOUNDS | checks.FSM_BOUNDS).items()} | {k: ("-1e-6", f"300e0*greatest({_STEP_S}/3600e0, 1e0)") for k in checks.AMOUNTS}
+
+
+def checked(values: dict[str, str], table: str) -> str:
+    """SQL of the range checks of columns by name."""
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS variable, min({e}) AS a, max({e}) AS b, count({e}) AS n, {_BOUND_SQL[k][0]} AS lo, {_BOUND_SQL[k][1]} AS hi FROM {table}" for k, e in values.items())
+    return f"""ck AS ({rows}
+), st AS (SELECT *, CASE WHEN n = 0 THEN 'skipped' WHEN (variable = 'RH' AND b <= 1.05e0 AND n >= 24) OR a < lo OR b > hi THEN 'fail' ELSE 'pass' END AS status FROM ck)
+SELECT variable, a AS least, b AS most, n, status, CASE WHEN status = 'fail' THEN CASE
+  WHEN variable = 'humidity_relative' AND b > 1.5e0 THEN 'percent instead of a fraction' WHEN variable = 'RH' AND b > 0 AND b <= 1.05e0 THEN 'a fraction instead of percent'
+  WHEN variable = 'RH' AND b > 105 THEN 'percent times 100' WHEN variable IN ('temperature', 'Ta') AND b < 80 THEN 'degrees Celsius instead of kelvin'
+  WHEN variable IN ('pressure', 'Ps') AND b < 2000 THEN 'hectopascal instead of pascal'
+  WHEN variable IN ('precipitation', 'rainfall', 'snowfall', 'Sf', 'Rf') AND b > hi THEN 'metres instead of millimetres, or an amount instead of a rate'
+  WHEN b > hi*100 THEN 'a factor of 100 or 1000 too large' ELSE 'outside the physical range' END END AS hint FROM st"""
+
+
+_CHECKED = [k for k in _ALL if k != "wind_direction"]
+#: Wrong units of each variable, and nothing at all in one.
+_WRONG = {"temperature": "{} - 273.15e0", "humidity_relative": "{} * 100e0", "pressure": "{} / 100e0", "precipitation": "{} * 1000e0 + 1000e0", "longwave": "{} * 1000e0", "wind_speed": "CAST(NULL AS DOUBLE)"}
+
+
+@query(with_simple(f", o AS (SELECT {', '.join(f'{r(*_ALL[k])} AS {k}' for k in _CHECKED)} FROM done), ".lstrip() + checked({k: k for k in _CHECKED}, "o")))
 def forcing_checks(v: Views) -> DataFrame:
-    out = checks.check_forcing(downscale.downscale(v.surface, v.units_w, ["temperature", "pressure", "humidity_relative", "precipitation"]))
-    return out.select("variable", _r("least", 2), _r("most", 2), "n", "status", "hint")
+    return checks.check_forcing(_rounded(_forcing(v), {k: _ALL[k][1] for k in _CHECKED}), aggregate.time_step(v.hours))
+
+
+@query(with_simple(f", o AS (SELECT {', '.join(f'{r(*_ALL[k])} AS {k}' for k in _CHECKED)} FROM done), w AS (SELECT {', '.join(f'{_WRONG.get(k, "{}").format(k)} AS {k}' for k in _CHECKED)} FROM o), ".lstrip() + checked({k: k for k in _CHECKED}, "w")))
+def forcing_hints(v: Views) -> DataFrame:
+    """The same outputs in wrong units."""
+    right = _rounded(_forcing(v), {k: _ALL[k][1] for k in _CHECKED})
+    wrong = right.select(*(F.expr(_WRONG.get(k, "{}").format(f"`{k}`").replace("e0", "D")).alias(k) for k in _CHECKED))
+    return checks.check_forcing(wrong, aggregate.time_step(v.hours))
+
+
+@query(with_simple(f", fsm AS (SELECT {_FSM_SQL} FROM done), f1 AS (SELECT * REPLACE (\"RH\"/100e0 AS \"RH\") FROM fsm), ".lstrip() + checked({k: f'"{k}"' for k in _FSM}, "f1")))
+def fsm_checks(v: Views) -> DataFrame:
+    """The inputs of a snow model, humidity being a fraction by mistake."""
+    return checks.check_fsm_inputs(_fsm_inputs(v).withColumn("RH", F.col("RH") / 100.0))
 
 
 @query(with_simple(f"SELECT m.member, time, unit_id, {r('ta+m.member', 4)} AS temperature FROM done CROSS JOIN (VALUES (0),(1),(2)) AS m(member)"))
@@ -664,8 +742,8 @@ def ensemble_downscale(v: Views) -> DataFrame:
     return downscale.downscale(members, v.units_w, ["temperature"]).select("member", "time", "unit_id", _r("temperature", 4))
 
 
-@query(f"""SELECT s_suppkey AS source, {r("CASE WHEN x <= 1 THEN 0e0 ELSE 1e0-1e0/x END", 8)} AS linear, {r("CASE WHEN x <= 1 THEN 0e0 ELSE 1e0-1e0/sqrt(x) END", 8)} AS sqrt,
-  {r("CASE WHEN x <= 1 THEN 0e0 ELSE least(log10(x)/3e0,1e0) END", 8)} AS log FROM (SELECT s_suppkey, (s_suppkey*317 % 31000 + 50)/100e0 AS x FROM supplier)""")
+@query(f"""SELECT s_suppkey AS source, {r("CASE WHEN x <= 1 THEN 0.1e0 ELSE (1e0-1e0/x)*0.9e0+0.1e0 END", 8)} AS linear, {r("CASE WHEN x <= 1 THEN 0.1e0 ELSE (1e0-1e0/sqrt(x))*0.9e0+0.1e0 END", 8)} AS sqrt,
+  {r("CASE WHEN x <= 1 THEN 0.1e0 ELSE least(log10(x)/3e0,1e0)*0.9e0+0.1e0 END", 8)} AS log FROM (SELECT s_suppkey, (s_suppkey*317 % 31000 + 50)/100e0 AS x FROM supplier)""")
 def resolution_weights(v: Views) -> DataFrame:
     k = F.col("s_suppkey")
     src, target = (k * 317 % 31000 + 50) * 1.0, F.lit(100.0)
@@ -718,12 +796,12 @@ def patch_boxes(v: Views) -> DataFrame:
     return grids.group_boxes(v.units, "surface_type", 1000.0).select("surface_type", _r("west", 8), _r("south", 8), _r("east", 8), _r("north", 8))
 
 
-@query(f""", p AS (SELECT r, c, elevation AS x, c*100e0 AS y, unit_idx AS k FROM (SELECT * FROM dem WHERE r < 12) JOIN membership USING (r, c) WHERE unit_idx >= 0
+@query(f""", p AS (SELECT r, c, elevation AS x, c*100e0 AS y, unit_idx AS k FROM dem JOIN membership USING (r, c) WHERE unit_idx >= 0
 ), d AS (SELECT a.r, a.c, a.k, b.k AS o, sum(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) AS s, count(*) AS n FROM p a CROSS JOIN p b GROUP BY 1, 2, 3, 4
 ), m AS (SELECT r, c, max(CASE WHEN o = k THEN s/(n-1) END) AS a, min(CASE WHEN o <> k THEN s/n END) AS b FROM d GROUP BY 1, 2)
 SELECT {r("avg((b-a)/greatest(a,b))", 6)} AS silhouette FROM m""")
 def silhouette(v: Views) -> DataFrame:
-    px = v.dem.where("r < 12").join(v.membership, ["r", "c"]).where("unit_idx >= 0").select("unit_idx", F.col("elevation").alias("x"), (F.col("c") * 100.0).alias("y"))
+    px = v.dem.join(v.membership, ["r", "c"]).where("unit_idx >= 0").select("unit_idx", F.col("elevation").alias("x"), (F.col("c") * 100.0).alias("y"))
     return grids.silhouette(px, ["x", "y"], "unit_idx").select(_r("silhouette", 6))
 
 

@@ -314,7 +314,7 @@ def day_of_water_year(time: Column, start_month: int = 9) -> Column:
     return F.least(F.greatest(F.datediff(F.to_date(time), water_year_start(time, start_month)), F.lit(0)), F.lit(365))
 
 
-def resolution_factor(source_m: Column, target_m: Column, kind: str = "linear", low: float = 0.0, high: float = 1.0) -> Column:
+def resolution_factor(source_m: Column, target_m: Column, kind: str = "linear", low: float = 0.1, high: float = 1.0) -> Column:
     """How much of a correction applies to data of one resolution brought to another."""
     ratio = source_m / target_m
     part = {"linear": 1.0 - 1.0 / ratio, "sqrt": 1.0 - 1.0 / F.sqrt(ratio), "log": F.least(F.log10(ratio) / 3.0, F.lit(1.0))}[kind]

@@ -60,51 +60,97 @@ def _stamp(fmt: str) -> Column:
     return F.date_format(F.col("time"), fmt)
 
 
-def fsm_lines(forcing: DataFrame, step_seconds: float = 3600.0) -> DataFrame:
-    """(unit_id, time, line): year, month, day, hour, short and long waves, rates of snow and rain, temperature, humidity, wind, pressure."""
-    c = F.col
-    line = F.format_string(
-        "%4d %2d %2d %6.3f %9.2f %9.2f %12.4e %12.4e %8.2f %7.2f %7.2f %10.2f",
-        F.year("time"), F.month("time"), F.dayofmonth("time"), F.hour("time") + F.minute("time") / 60.0,
-        c("shortwave_direct") + c("shortwave_diffuse"), c("longwave"), rate(c("snowfall"), step_seconds), rate(c("rainfall"), step_seconds),
-        c("temperature"), c("humidity_relative") * 100.0, c("wind_speed"), c("pressure"),
-    )
-    return forcing.select("unit_id", "time", line.alias("line"))
+def time_step(forcing: DataFrame) -> float:
+    """Seconds from the first time to the second; an hour if there are fewer."""
+    first = [r["time"] for r in forcing.select("time").distinct().orderBy("time").limit(2).collect()]
+    return (first[1] - first[0]).total_seconds() if len(first) > 1 else 3600.0
 
 
-def fsm2_columns(forcing: DataFrame, step_seconds: float = 3600.0) -> DataFrame:
-    c = F.col
+def humidity_percent(forcing: DataFrame, column: str = "humidity_relative") -> Column:
+    """Relative humidity in percent, by the column's metadata ("%" or "1"), else as a fraction if nothing exceeds 1.5."""
+    units = str(forcing.schema[column].metadata.get("units", "")).strip()
+    if units in ("%", "percent"):
+        return F.col(column)
+    if units != "1" and (forcing.agg(F.max(column)).first()[0] or 0.0) > 1.5:
+        return F.col(column)
+    return F.col(column) * 100.0
+
+
+def fsm_inputs(forcing: DataFrame, step_seconds: float | None = None) -> DataFrame:
+    """(unit_id, time, SW, LW, Sf, Rf, Ta, RH, Ua, Ps): what the snow models FSM and FSM2 read, in their units; rates by ``time_step`` if no step is given."""
+    c, step = F.col, step_seconds or time_step(forcing)
     return forcing.select(
-        "unit_id", F.year("time").alias("year"), F.month("time").alias("month"), F.dayofmonth("time").alias("day"), F.hour("time").cast("double").alias("hour"),
-        c("shortwave_direct").alias("Sdir"), c("shortwave_diffuse").alias("Sdif"), c("longwave").alias("LW"), rate(c("snowfall"), step_seconds).alias("Sf"), rate(c("rainfall"), step_seconds).alias("Rf"),
-        c("temperature").alias("Ta"), (c("humidity_relative") * 100.0).alias("RH"), c("wind_speed").alias("Ua"), c("pressure").alias("Ps"),
+        "unit_id", "time", (c("shortwave_direct") + c("shortwave_diffuse")).alias("SW"), c("longwave").alias("LW"), rate(c("snowfall"), step).alias("Sf"), rate(c("rainfall"), step).alias("Rf"),
+        c("temperature").alias("Ta"), humidity_percent(forcing).alias("RH"), c("wind_speed").alias("Ua"), c("pressure").alias("Ps"),
     )
 
 
+def fsm_text(inputs: DataFrame) -> DataFrame:
+    """(unit_id, time, line) of ``fsm_inputs``."""
+    line = F.format_string(
+        "%4d %2d %2d %2d %10.4f %10.4f %12.6e %12.6e %8.3f %6.4f %8.3f %10.2f",
+        F.year("time"), F.month("time"), F.dayofmonth("time"), F.hour("time"), *(F.col(x) for x in ("SW", "LW", "Sf", "Rf", "Ta", "RH", "Ua", "Ps")),
+    )
+    return inputs.select("unit_id", "time", line.alias("line"))
+
+
+def fsm_lines(forcing: DataFrame, step_seconds: float | None = None) -> DataFrame:
+    """The lines of FSM and FSM2.  FSM has a file for each unit, FSM2 one file by time and unit (``store.export``)."""
+    return fsm_text(fsm_inputs(forcing, step_seconds))
+
+
 def smet_columns(forcing: DataFrame) -> DataFrame:
+    """(unit_id, time, TA, RH, VW, ISWR, ILWR, PSUM, PSUM_PH); humidity in percent."""
     c = F.col
     return forcing.select(
-        "unit_id", _stamp("yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), c("temperature").alias("TA"), c("humidity_relative").alias("RH"), c("wind_speed").alias("VW"),
-        (c("shortwave_direct") + c("shortwave_diffuse")).alias("ISWR"), c("longwave").alias("ILWR"), c("precipitation").alias("PSUM"),
-        ph.phase_fraction(c("rainfall"), c("snowfall")).alias("PSUM_PH"), c("pressure").alias("P"),
+        "unit_id", "time", c("temperature").alias("TA"), humidity_percent(forcing).alias("RH"), c("wind_speed").alias("VW"),
+        (c("shortwave_direct") + c("shortwave_diffuse")).alias("ISWR"), c("longwave").alias("ILWR"), c("precipitation").alias("PSUM"), ph.phase_fraction(c("rainfall"), c("snowfall")).alias("PSUM_PH"),
     )
 
 
-def crocus_columns(forcing: DataFrame, step_seconds: float = 3600.0, co2: float = 0.00062) -> DataFrame:
+SMET_FIELDS = ("timestamp", "TA", "RH", "VW", "ISWR", "ILWR", "PSUM", "PSUM_PH")
+
+
+def smet_text(columns: DataFrame, phase: bool = True) -> DataFrame:
+    """(unit_id, time, line) of ``smet_columns``; without ``phase`` the last field is left out."""
+    line = F.format_string("%s %.2f %.2f %.2f %.2f %.2f %.4f" + " %.4f" * phase, _stamp("yyyy-MM-dd'T'HH:mm:ss"), *(F.col(x) for x in SMET_FIELDS[1 : 8 if phase else 7]))
+    return columns.select("unit_id", "time", line.alias("line"))
+
+
+def smet_lines(forcing: DataFrame) -> DataFrame:
+    return smet_text(smet_columns(forcing))
+
+
+def smet_header(units: DataFrame, created: str, nodata: float = -999.0, phase: bool = True) -> DataFrame:
+    """(unit_id, number, line): the lines before the data of each unit (unit_id, lat, lon, elevation)."""
     c = F.col
+    lines = (
+        F.lit("SMET 1.1 ASCII"), F.lit("[HEADER]"), F.concat(F.lit("station_id       = "), c("unit_id").cast("string")), F.concat(F.lit("station_name     = unit_"), c("unit_id").cast("string")),
+        F.format_string("latitude         = %.6f", c("lat")), F.format_string("longitude        = %.6f", c("lon")), F.format_string("altitude         = %.1f", c("elevation")),
+        F.lit(f"nodata           = {nodata}"), F.lit("tz               = 0"), F.lit("source           = tarnspark"), F.lit(f"creation_date    = {created}"),
+        F.lit(f"fields           = {' '.join(SMET_FIELDS[: 8 if phase else 7])}"), F.lit("[DATA]"),
+    )
+    return units.select("unit_id", F.posexplode(F.array(*lines)).alias("number", "line"))
+
+
+def crocus_columns(forcing: DataFrame, step_seconds: float | None = None, co2_ppm: float | None = 420.0, wind_direction: bool = False) -> DataFrame:
+    """One row a unit and time; carbon dioxide in kg/kg from ppm, and a wind direction that the model fills in, if asked for."""
+    c, step = F.col, step_seconds or time_step(forcing)
+    more = [F.lit(None).cast("double").alias("Wind_DIR")] * wind_direction
+    more += [] if co2_ppm is None else [F.lit(co2_ppm * 44.01 / (28.97 * 1e6)).alias("CO2air")]
     return forcing.select(
-        "unit_id", "time", c("temperature").alias("Tair"), c("humidity_specific").alias("Qair"), c("wind_speed").alias("Wind"), F.lit(None).cast("double").alias("Wind_DIR"),
-        c("shortwave_direct").alias("DIR_SWdown"), c("shortwave_diffuse").alias("SCA_SWdown"), c("longwave").alias("LWdown"),
-        rate(c("rainfall"), step_seconds).alias("Rainf"), rate(c("snowfall"), step_seconds).alias("Snowf"), c("pressure").alias("PSurf"), F.lit(co2).alias("CO2air"),
+        "unit_id", "time", c("temperature").alias("Tair"), c("humidity_specific").alias("Qair"), c("wind_speed").alias("Wind"), c("pressure").alias("PSurf"),
+        c("shortwave_direct").alias("DIR_SWdown"), c("shortwave_diffuse").alias("SCA_SWdown"), c("longwave").alias("LWdown"), rate(c("rainfall"), step).alias("Rainf"), rate(c("snowfall"), step).alias("Snowf"), *more,
     )
 
 
-def cryogrid_columns(forcing: DataFrame, step_seconds: float = 3600.0) -> DataFrame:
-    c = F.col
+def cryogrid_columns(forcing: DataFrame, step_seconds: float | None = None) -> DataFrame:
+    """One row a unit and time: temperature in kelvin, rain and snow in m/s of water."""
+    c, step = F.col, step_seconds or time_step(forcing)
     return forcing.select(
-        "unit_id", "time", (c("temperature") - 273.15).alias("Tair"), c("humidity_specific").alias("q"), c("wind_speed").alias("wind"),
+        "unit_id", "time", c("temperature").alias("Tair"), c("humidity_specific").alias("q"), c("wind_speed").alias("wind"),
         (c("shortwave_direct") + c("shortwave_diffuse")).alias("Sin"), c("longwave").alias("Lin"), c("pressure").alias("p"),
-        (rate(c("rainfall"), step_seconds) / 1000.0).alias("rainfall"), (rate(c("snowfall"), step_seconds) / 1000.0).alias("snowfall"),
+        (rate(c("rainfall"), step) / 1000.0).alias("rainfall"), (rate(c("snowfall"), step) / 1000.0).alias("snowfall"),
     )
 
 

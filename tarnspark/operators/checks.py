@@ -2,57 +2,116 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Bounds of each output, and what to suspect beyond them.
-BOUNDS: dict[str, tuple[float, float, str]] = {
-    "temperature": (180.0, 340.0, "temperature is not in kelvin"),
-    "pressure": (20_000.0, 110_000.0, "pressure is not in pascal"),
-    "humidity_specific": (0.0, 0.1, "specific humidity is not in kg/kg"),
-    "humidity_relative": (0.0, 1.0, "relative humidity is not a fraction"),
-    "wind_speed": (0.0, 120.0, "wind speed is out of range"),
-    "shortwave_direct": (0.0, 1400.0, "radiation is accumulated rather than in W/m2"),
-    "shortwave_diffuse": (0.0, 1400.0, "radiation is accumulated rather than in W/m2"),
-    "longwave": (30.0, 700.0, "radiation is accumulated rather than in W/m2"),
-    "precipitation": (0.0, 200.0, "precipitation is not in mm a step"),
+# Bounds of each output in the units that the engine writes.
+BOUNDS: dict[str, tuple[float, float]] = {
+    "temperature": (173.15, 333.15),
+    "humidity_relative": (0.0, 1.05),
+    "humidity_specific": (0.0, 0.05),
+    "shortwave_direct": (-1.0, 2000.0),
+    "shortwave_diffuse": (-1.0, 1000.0),
+    "longwave": (40.0, 700.0),
+    "wind_speed": (0.0, 75.0),
+    "pressure": (25000.0, 110000.0),
+}
+# Amounts of a step, in mm an hour at most.
+AMOUNTS, MOST_AN_HOUR = ("precipitation", "rainfall", "snowfall"), 300.0
+# Bounds of a snow model's inputs in its units.
+FSM_BOUNDS: dict[str, tuple[float, float]] = {
+    "SW": (-1.0, 3000.0),
+    "LW": (40.0, 700.0),
+    "Sf": (-1e-9, 300.0 / 3600.0),
+    "Rf": (-1e-9, 300.0 / 3600.0),
+    "Ta": (173.15, 333.15),
+    "RH": (0.0, 105.0),
+    "Ua": (0.0, 75.0),
+    "Ps": (25000.0, 110000.0),
 }
 
 
-def check_forcing(forcing: DataFrame, bounds: Mapping[str, tuple[float, float, str]] = BOUNDS) -> DataFrame:
-    """(variable, least, most, n, status, hint): one pass over the data, then a row for each variable."""
-    known = [v for v in bounds if v in forcing.columns]
-    stats = forcing.agg(*(f(v).alias(f"{v}_{n}") for v in known for f, n in ((F.min, "a"), (F.max, "b"), (F.count, "n"))))
-    rows = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(f"{v}_a").cast("double").alias("least"), F.col(f"{v}_b").cast("double").alias("most"), F.col(f"{v}_n").alias("n"), F.lit(bounds[v][0]).alias("low"), F.lit(bounds[v][1]).alias("high"), F.lit(bounds[v][2]).alias("text")) for v in known)))
+def bounds_of(step_seconds: float = 3600.0) -> dict[str, tuple[float, float]]:
+    """``BOUNDS``, and those of amounts for steps of this length; a step shorter than an hour counts as one."""
+    return BOUNDS | {v: (-1e-6, MOST_AN_HOUR * max(step_seconds / 3600.0, 1.0)) for v in AMOUNTS}
+
+
+def _hint() -> Column:
+    """What is probably wrong with a variable out of its bounds."""
+    v, high, most = F.col("variable"), F.col("high"), F.col("most")
+    return (
+        F.when((v == "humidity_relative") & (most > 1.5), "percent instead of a fraction")
+        .when((v == "RH") & (most > 0) & (most <= 1.05), "a fraction instead of percent")
+        .when((v == "RH") & (most > 105), "percent times 100")
+        .when(v.isin("temperature", "Ta") & (most < 80), "degrees Celsius instead of kelvin")
+        .when(v.isin("pressure", "Ps") & (most < 2000), "hectopascal instead of pascal")
+        .when(v.isin(*AMOUNTS, "Sf", "Rf") & (most > high), "metres instead of millimetres, or an amount instead of a rate")
+        .when(most > high * 100, "a factor of 100 or 1000 too large")
+        .otherwise("outside the physical range")
+    )
+
+
+def check_ranges(df: DataFrame, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """(variable, least, most, n, status, hint): one pass over the data, then a row for each variable that is there.
+
+    A variable without any finite value is skipped.  Relative humidity in percent that never exceeds 1.05 in 24 values or more fails too.
+    """
+    known = [v for v in bounds if v in df.columns]
+    finite = lambda v: F.when(~F.isnan(F.col(v).cast("double")) & (F.abs(F.col(v).cast("double")) != float("inf")), F.col(v).cast("double"))
+    any_ = lambda v: F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double"))
+    stats = df.agg(*(c for v in known for c in (F.min(any_(v)).alias(f"{v}_a"), F.max(any_(v)).alias(f"{v}_b"), F.count(finite(v)).alias(f"{v}_n"))))
+    rows = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(f"{v}_a").alias("least"), F.col(f"{v}_b").alias("most"), F.col(f"{v}_n").alias("n"), F.lit(float(bounds[v][0])).alias("low"), F.lit(float(bounds[v][1])).alias("high")) for v in known)))
     r = stats.select(rows.alias("r")).select("r.*")
-    status = F.when(F.col("n") == 0, "empty").when((F.col("least") < F.col("low")) | (F.col("most") > F.col("high")), "fail").otherwise("pass")
-    return r.withColumn("status", status).select("variable", "least", "most", "n", "status", F.when(F.col("status") == "fail", F.col("text")).alias("hint"))
+    fraction = (F.col("variable") == "RH") & (F.col("most") <= 1.05) & (F.col("n") >= 24)
+    status = F.when(F.col("n") == 0, "skipped").when(fraction | (F.col("least") < F.col("low")) | (F.col("most") > F.col("high")), "fail").otherwise("pass")
+    return r.withColumn("status", status).select("variable", "least", "most", "n", "status", F.when(F.col("status") == "fail", _hint()).alias("hint"))
+
+
+def check_forcing(forcing: DataFrame, step_seconds: float = 3600.0) -> DataFrame:
+    """``check_ranges`` of the engine's outputs."""
+    return check_ranges(forcing, bounds_of(step_seconds))
+
+
+def check_fsm_inputs(inputs: DataFrame) -> DataFrame:
+    """``check_ranges`` of a snow model's inputs, already in its units."""
+    return check_ranges(inputs, FSM_BOUNDS)
 
 
-def require_valid(forcing: DataFrame) -> DataFrame:
-    """``forcing``, or ValueError naming what is out of range."""
-    bad = [r["variable"] for r in check_forcing(forcing).where("status != 'pass'").collect()]
+def require_valid(df: DataFrame, step_seconds: float = 3600.0, bounds: Mapping[str, tuple[float, float]] | None = None, warn: bool = False) -> DataFrame:
+    """``df``, or ValueError naming what is out of range and why; with ``warn`` a warning instead."""
+    bad = check_ranges(df, bounds or bounds_of(step_seconds)).where("status = 'fail'").collect()
     if bad:
-        raise ValueError(f"out of range: {', '.join(bad)}")
-    return forcing
+        text = "out of range: " + "; ".join(f"{r['variable']} {r['least']:.4g} to {r['most']:.4g}, {r['hint']}" for r in bad)
+        if not warn:
+            raise ValueError(text)
+        warnings.warn(text, stacklevel=2)
+    return df
 
 
-# Heights of pressure levels in m.
-LEVEL_HEIGHTS = {1000: 110, 975: 320, 950: 540, 925: 760, 900: 990, 850: 1460, 800: 1950, 750: 2470, 700: 3010, 650: 3590, 600: 4210, 550: 4870, 500: 5570, 450: 6340, 400: 7180, 350: 8120, 300: 9160, 250: 10360, 200: 11770}
+# Pressure levels in hPa and their heights in m.
+LEVEL_HEIGHTS = {
+    1000: 100, 975: 300, 950: 500, 925: 750, 900: 1000,
+    875: 1250, 850: 1500, 825: 1750, 800: 2000, 775: 2250,
+    750: 2500, 700: 3000, 650: 3600, 600: 4200, 550: 4900,
+    500: 5500, 450: 6200, 400: 7200, 350: 8100, 300: 9200,
+    250: 10400, 200: 11800, 150: 13600, 100: 16200,
+}
 
 
 def pressure_height(level: float) -> float:
-    """The height of a pressure level, linear between the known ones and held at the ends."""
+    """The height of a pressure level, linear between the known ones; 0 below them, the highest above."""
     known = sorted(LEVEL_HEIGHTS.items())
+    if level > known[-1][0]:
+        return 0.0
     if level <= known[0][0]:
         return float(known[0][1])
-    for (p0, z0), (p1, z1) in zip(known, known[1:], strict=False):
-        if p0 <= level <= p1:
-            return z0 + (z1 - z0) * (level - p0) / (p1 - p0)
-    return float(known[-1][1])
+    above = next(k for k, (p, _) in enumerate(known) if p >= level)
+    (p0, z0), (p1, z1) = known[above - 1], known[above]
+    return z1 + (z0 - z1) * (p1 - level) / (p1 - p0)
 
 
 @dataclass(frozen=True)

@@ -60,18 +60,22 @@ def at_units(surface: DataFrame, units_w: DataFrame, outputs: Iterable[str] | No
     """The inputs of the groups interpolated to the units, and the groups."""
     groups = resolve_groups(outputs, set(surface.columns), settings.mode)
     wanted = sorted({v for g in groups for v in SURFACE[g] if v in surface.columns})
-    rows, values, keys = surface, list(wanted), ("time", "member") if "member" in surface.columns else ("time",)
-    blocks = interp.cell_blocks(rows, values, keys)
+    values, keys = list(wanted), ("time", "member") if "member" in surface.columns else ("time",)
+    parts = interp.fan_out(surface, units_w, keys)
+    blocks = interp.cell_blocks(surface, values, keys, parts)
+    names: list[str] = []
     if settings.mode == "full":
         if plev is None:
             raise ValueError("full mode needs pressure levels")
         names = sorted({v for g in groups for v in LEVELS.get(g, ())})
         nested = interp.level_arrays(plev, names, (*keys, "lat_idx", "lon_idx"))
-        levels = interp.cell_blocks(nested.withColumnsRenamed({v: f"{v}_levels" for v in names}), [f"{v}_levels" for v in names], keys).withColumnRenamed("corners", "level_corners")
-        blocks = blocks.join(levels, [*keys, "j1", "i1"])  # coarse rows only
+        levels = interp.cell_blocks(nested.withColumnsRenamed({v: f"{v}_levels" for v in names}), [f"{v}_levels" for v in names], keys, parts).withColumnRenamed("corners", "level_corners")
+        blocks = blocks.join(levels, [*keys, "j1", "i1"])  # coarse rows only, dealt alike on both sides
     joined = blocks.join(interp.small(units_w), ["j1", "i1"])
-    out = joined.select(*keys, *units_w.columns, *(interp.bilinear(v).alias(v) for v in values), *((interp.bilinear_levels(f"{v}_levels", "level_corners").alias(f"{v}_levels") for v in names) if settings.mode == "full" else ()))
-    return out, groups
+    if names:
+        joined = interp.with_bracket(joined, F.col("elevation"))
+    at_level = [interp.at_bracket(f"{v}_levels").alias(f"{v}_level") for v in names if v != "z"]
+    return joined.select(*keys, *units_w.columns, *(interp.bilinear(v).alias(v) for v in values), *at_level), groups
 
 
 def with_sun(rows: DataFrame, azimuth: bool) -> DataFrame:
@@ -92,7 +96,7 @@ def physics_columns(rows: DataFrame, groups: Iterable[str], settings: Settings)
     """``rows`` with the outputs of the groups, step by step."""
     full = settings.mode == "full"
     c, groups = F.col, list(groups)
-    level: dict[str, Column] = {v: interp.at_height(c("z_levels"), c(f"{v}_levels"), c("elevation")) for v in ("t", "u", "v", "q")}
+    level: dict[str, Column] = {v: c(f"{v}_level") for v in ("t", "u", "v", "q")}
     if "temperature" in groups:
         rows = rows.withColumn("temperature", level["t"] if full else ph.lapse_rate_correction(c("t2m"), -settings.lapse_rate, c("elevation"), c("z_surf")))
         rows = rows.withColumn("pressure", ph.hypsometric_pressure(c("sp"), c("z_surf"), c("elevation"), c("t2m"), c("temperature")))

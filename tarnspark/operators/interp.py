@@ -12,15 +12,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side of at most so many rows is broadcast; its size is counted first.
-BROADCAST_ROWS = 200_000
+#: A side of at most so many bytes is broadcast, by the count of its rows and their width; rows that a task makes, about.
+BROADCAST_BYTES, TASK_ROWS = 32 << 20, 250_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count that stops early finds few rows."""
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if a count that stops early finds that it is within ``limit`` bytes."""
+    rows = limit // max(1, df._jdf.schema().defaultSize())
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fan_out(grid: DataFrame, units: DataFrame, keys: Sequence[str]) -> int:
+    """Partitions for blocks of the grid by what they make: one row for each key and unit.  The blocks themselves are so
+    small that partitions by their size would make all of it in a few tasks."""
+    rows = grid.select(*keys).distinct().count() * units.count()
+    return max(grid.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
 def bracket(value: Column, first: float, step: float, n: int) -> tuple[Column, Column]:
     """(upper index, fraction) of a coordinate on a regular ascending axis.
 
@@ -38,14 +46,16 @@ def with_weights(units: DataFrame, lat0: float, lon0: float, step: float, n_lat:
     return units.withColumns({"j1": j1, "i1": i1, "t": t, "s": s})
 
 
-def cell_blocks(grid: DataFrame, values: Sequence[str], keys: Sequence[str] = ("time",)) -> DataFrame:
+def cell_blocks(grid: DataFrame, values: Sequence[str], keys: Sequence[str] = ("time",), parts: int | None = None) -> DataFrame:
     """Rows (keys, j1, i1, corners): each value of a block's four cells, in an array of structs:
-    south-west, south-east, north-west, north-east.  Incomplete blocks at the border are left out."""
+    south-west, south-east, north-west, north-east.  Incomplete blocks at the border are left out.  ``parts``: see ``fan_out``."""
     corners = F.explode(F.array(*(F.struct(F.lit(dj).alias("dj"), F.lit(di).alias("di")) for dj in (0, 1) for di in (0, 1))))
     spread = grid.select(*keys, "lat_idx", "lon_idx", *values, corners.alias("k"))
     at = [(F.col("lat_idx") + 1 - F.col("k.dj")).cast("int").alias("j1"), (F.col("lon_idx") + 1 - F.col("k.di")).cast("int").alias("i1")]
     own = F.struct((F.col("k.dj") * 2 + F.col("k.di")).alias("q"), *values)
-    blocks = spread.select(*keys, *at, own.alias("v")).groupBy(*keys, "j1", "i1").agg(F.sort_array(F.collect_list("v")).alias("corners"))  # four entries
+    spread = spread.select(*keys, *at, own.alias("v"))
+    spread = spread.repartition(parts, *keys, "j1", "i1") if parts else spread  # the grouping below keeps this partitioning
+    blocks = spread.groupBy(*keys, "j1", "i1").agg(F.sort_array(F.collect_list("v")).alias("corners"))  # four entries
     return blocks.where(F.size("corners") == 4)
 
 
@@ -60,21 +70,42 @@ def bilinear(value: str, corners: str = "corners") -> Column:
     return a + b + c + d
 
 
-def bilinear_levels(value: str, corners: str = "corners") -> Column:
-    """The same for arrays over levels, element by element."""
+def with_bracket(rows: DataFrame, target: Column, z: str = "z_levels", corners: str = "level_corners") -> DataFrame:
+    """``rows`` with _above and _below: (height, index) of the levels next to ``target`` at the unit, once for all variables.
+
+    Levels strictly above and below count; a level exactly at the target doesn't when others bracket it.  Levels without height are passed by.
+    """
+    weights = corner_weights()
+
+    def height(k: Column) -> Column:
+        a, b, c, d = (w * F.col(corners)[q][z][k] for q, w in enumerate(weights))
+        return a + b + c + d
 
-    def scaled(q: int, w: Column) -> Column:
-        return F.transform(F.col(corners)[q][value], lambda x: x * w)
+    count = F.size(F.col(corners)[0][z])
+    heights = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(height(k).alias("z"), k.alias("k")))
+    rows = rows.withColumn("_heights", F.when(count > 0, heights)).withColumn("_target", target)
+    above = F.array_min(F.filter("_heights", lambda p: p["z"] > F.col("_target")))
+    below = F.array_max(F.filter("_heights", lambda p: p["z"] < F.col("_target")))
+    return rows.withColumns({"_above": above, "_below": below}).drop("_heights")
 
-    out, *rest = (scaled(q, w) for q, w in enumerate(corner_weights()))
-    for x in rest:
-        out = F.zip_with(out, x, lambda a, b: a + b)
-    return out
+
+def at_bracket(value: str, corners: str = "level_corners") -> Column:
+    """``value`` at the target of ``with_bracket``: between its two levels, the nearest one where all lie on one side, else the first."""
+    weights = corner_weights()
+
+    def at(k: Column) -> Column:
+        a, b, c, d = (w * F.col(corners)[q][value][k] for q, w in enumerate(weights))
+        return a + b + c + d
+
+    above, below, target = F.col("_above"), F.col("_below"), F.col("_target")
+    span = above["z"] - below["z"]
+    between = at(below["k"]) * ((above["z"] - target) / span) + at(above["k"]) * ((target - below["z"]) / span)
+    return F.when(above.isNotNull() & below.isNotNull(), between).when(above.isNotNull(), at(above["k"])).when(below.isNotNull(), at(below["k"])).otherwise(at(F.lit(0)))
 
 
 def interpolate(grid: DataFrame, units_w: DataFrame, values: Sequence[str], keys: Sequence[str] = ("time",)) -> DataFrame:
     """One row per key and unit: the units' columns and each value at the unit."""
-    joined = cell_blocks(grid, values, keys).join(small(units_w), ["j1", "i1"])
+    joined = cell_blocks(grid, values, keys, fan_out(grid, units_w, keys)).join(small(units_w), ["j1", "i1"])
     return joined.select(*keys, *units_w.columns, *(bilinear(v).alias(v) for v in values))
 
 

@@ -21,7 +21,7 @@ RENAMES = {
 SURFACE = ("t2m", "d2m", "sp", "ssrd", "strd", "tp", "z_surf", "u10", "v10", "tisr")
 LEVELS = ("z", "t", "u", "v", "q", "r")
 #: Native resolution in m.
-RESOLUTIONS = {"era5": 31_000.0, "era5land": 9_000.0, "ifs": 9_000.0, "icon": 13_000.0, "cosmo": 1_000.0, "custom": 10_000.0}
+RESOLUTIONS = {"era5": 31000.0, "hres": 9000.0, "icon": 6500.0, "cosmo": 1000.0, "gfs": 28000.0, "custom": 10000.0}
 
 
 @dataclass(frozen=True)

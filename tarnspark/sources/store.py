@@ -81,7 +81,7 @@ def end_day(available: DataFrame, requested: str, slack: int = 10) -> str:
 
 
 WRITERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "fsm": aggregate.fsm_lines, "fsm2": aggregate.fsm2_columns, "smet": aggregate.smet_columns, "crocus": aggregate.crocus_columns, "cryogrid": aggregate.cryogrid_columns, "csv": lambda df: df,
+    "fsm": aggregate.fsm_lines, "fsm2": aggregate.fsm_lines, "smet": aggregate.smet_lines, "crocus": aggregate.crocus_columns, "cryogrid": aggregate.cryogrid_columns, "csv": lambda df: df,
 }
 ALIASES = {"snowpack": "smet", "safran": "crocus"}
 
@@ -93,11 +93,31 @@ def writer(name: str) -> Callable[[DataFrame], DataFrame]:
     return WRITERS[name]
 
 
-def export(forcing: DataFrame, name: str, path: str) -> None:
-    """Checked, laid out and written, one folder for each unit."""
-    laid = writer(name)(checks.require_valid(forcing))
+def export(forcing: DataFrame, name: str, path: str, units: DataFrame | None = None, warn: bool = False) -> None:
+    """Checked, laid out and written: one folder for each unit, but FSM2 as lines by time and unit in files that follow each other.
+
+    Snow models' inputs are checked once more in their own units.  SMET needs ``units`` (unit_id, lat, lon, elevation) for its headers.
+    """
+    name = ALIASES.get(name, name)
+    step = aggregate.time_step(forcing)
+    checks.require_valid(forcing, step, warn=warn)
+    if name in ("fsm", "fsm2"):
+        laid = aggregate.fsm_text(checks.require_valid(aggregate.fsm_inputs(forcing, step), bounds=checks.FSM_BOUNDS, warn=warn))
+        if name == "fsm2":
+            laid.orderBy("time", "unit_id").select(F.col("line").alias("value")).write.text(path)
+            return
+    else:
+        laid = writer(name)(forcing)
+    if name == "smet":
+        if units is None:
+            raise ValueError("SMET headers need the units")
+        from datetime import datetime, timezone
+
+        heads = aggregate.smet_header(units, datetime.now(timezone.utc).isoformat()).join(forcing.select("unit_id").distinct(), "unit_id", "left_semi")
+        body = laid.select("unit_id", F.lit(99).alias("number"), "time", "line")
+        laid = heads.select("unit_id", "number", F.lit(None).cast(laid.schema["time"].dataType).alias("time"), "line").unionByName(body)
     if "line" in laid.columns:
-        laid.repartition("unit_id").sortWithinPartitions("unit_id", "time").select("unit_id", F.col("line").alias("value")).write.partitionBy("unit_id").text(path)
+        order = [c for c in ("unit_id", "number", "time") if c in laid.columns]
+        laid.repartition("unit_id").sortWithinPartitions(*order).select("unit_id", F.col("line").alias("value")).write.partitionBy("unit_id").text(path)
     else:
-        order = [c for c in ("unit_id", "time", "timestamp", "year", "month", "day", "hour") if c in laid.columns]
-        laid.repartition("unit_id").sortWithinPartitions(*order).write.partitionBy("unit_id").option("header", True).csv(path)
+        laid.repartition("unit_id").sortWithinPartitions("unit_id", "time").write.partitionBy("unit_id").option("header", True).csv(path)
