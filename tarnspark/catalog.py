@@ -424,19 +424,19 @@ def _march_sql(n: int, steps: int, north: int, angle: str) -> str:
 ), every AS (SELECT r, c, d FROM dem CROSS JOIN dirs)"""
 
 
-@query(_march_sql(8, 6, -1, "degrees(atan2(z-elevation,dist))") + f"SELECT e.r, e.c, CAST(e.d AS INT) AS direction, {r('greatest(coalesce(h,0e0),0e0)', 4)} AS horizon FROM every e LEFT JOIN best USING (r, c, d)")
+@query(_march_sql(8, 100, -1, "degrees(atan2(z-elevation,dist))") + f"SELECT e.r, e.c, CAST(e.d AS INT) AS direction, {r('greatest(coalesce(h,0e0),0e0)', 4)} AS horizon FROM every e LEFT JOIN best USING (r, c, d)")
 def horizon(v: Views) -> DataFrame:
-    return terrain.horizon(v.dem, 8, 6 * RES, RES).select("r", "c", "direction", _r("horizon", 4))
+    return terrain.horizon(v.dem, 8, 3000.0, RES).select("r", "c", "direction", _r("horizon", 4))
 
 
-@query(_march_sql(8, 6, -1, "degrees(atan2(z-elevation,dist))") + f"SELECT e.r, e.c, {r('avg(cos(radians(greatest(coalesce(h,0e0),0e0)))*cos(radians(greatest(coalesce(h,0e0),0e0))))', 6)} AS svf FROM every e LEFT JOIN best USING (r, c, d) GROUP BY 1, 2")
+@query(_march_sql(8, 100, -1, "degrees(atan2(z-elevation,dist))") + f"SELECT e.r, e.c, {r('avg(cos(radians(greatest(coalesce(h,0e0),0e0)))*cos(radians(greatest(coalesce(h,0e0),0e0))))', 6)} AS svf FROM every e LEFT JOIN best USING (r, c, d) GROUP BY 1, 2")
 def svf(v: Views) -> DataFrame:
-    return terrain.sky_view_factor(terrain.horizon(v.dem, 8, 6 * RES, RES)).select("r", "c", _r("svf", 6))
+    return terrain.sky_view_factor(terrain.horizon(v.dem, 8, 3000.0, RES)).select("r", "c", _r("svf", 6))
 
 
-@query(_march_sql(8, 6, 1, "degrees(atan2(elevation-z,dist))") + f"SELECT e.r, e.c, CAST(e.d AS INT) AS direction, {r('coalesce(h,0e0)', 4)} AS sx FROM every e LEFT JOIN best USING (r, c, d)")
+@query(_march_sql(36, 10, 1, "degrees(atan2(elevation-z,dist))") + f"SELECT e.r, e.c, CAST(e.d AS INT) AS direction, {r('coalesce(h,0e0)', 4)} AS sx FROM every e LEFT JOIN best USING (r, c, d)")
 def winstral_sx(v: Views) -> DataFrame:
-    return terrain.winstral_sx(v.dem, 8, 6 * RES, RES).select("r", "c", "direction", _r("sx", 4))
+    return terrain.winstral_sx(v.dem, 36, 300.0, RES).select("r", "c", "direction", _r("sx", 4))
 
 
 @query(f"SELECT r, c, {r(clip('cos(radians(45e0))*cos(atan(sqrt(dx*dx+dy*dy)))+sin(radians(45e0))*sin(atan(sqrt(dx*dx+dy*dy)))*cos(radians(315e0)-atan2(-dy,dx))'), 6)} AS shade FROM gradients")

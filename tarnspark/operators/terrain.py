@@ -1,21 +1,25 @@
 """Terrain attributes of a raster held as rows (r, c, elevation).
 
-Gradients are windows along rows and columns.  Ray marches (horizon, wind shelter) explode directions and steps; the
-sampled heights come from equi-joins on the integer cell, whose four corners are folded into
-one row first, so a step costs one join and one partial maximum.
+Gradients are windows along rows and columns.  Ray marches (horizon, wind shelter) cut the raster into tiles with a halo as
+wide as the longest ray and march inside each tile, vectorised over its pixels: only the pixels are shuffled, each to the tiles
+around it, and no rows are made for directions and steps.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnspark.functions import physics as ph
-from tarnspark.operators.interp import small
 from tarnspark.session import cut
 
+#: Side of a tile in pixels.
+TILE = 128
+
 
 def gradient(dem: DataFrame, res: float, value: str = "elevation") -> DataFrame:
     """``dem`` with dx (along columns) and dy (along rows): central inside, one-sided at the edges."""
@@ -36,36 +40,65 @@ def slope_aspect(dem: DataFrame, res: float) -> DataFrame:
     return g.withColumns({"slope": slope, "aspect": aspect})
 
 
-def _quads(dem: DataFrame) -> DataFrame:
-    """(r0, c0, a, b, c, d): the heights of a cell and its neighbours to the right, above and both; edges repeat."""
-    east = F.lead("elevation").over(Window.partitionBy("r").orderBy("c"))
-    wide = dem.select("r", "c", F.col("elevation").alias("a"), F.coalesce(east, F.col("elevation")).alias("b"))
-    up = Window.partitionBy("c").orderBy("r")
-    return wide.select(F.col("r").alias("r0"), F.col("c").alias("c0"), "a", "b", F.coalesce(F.lead("a").over(up), F.col("a")).alias("qc"), F.coalesce(F.lead("b").over(up), F.col("b")).alias("qd"))
+def _steepest(own: pa.Table, r: int, c: int, ny: int, nx: int, n_directions: int, steps: int, res: float, north: int) -> np.ndarray:
+    """(pixel, direction): the largest of (height on the ray - ``sign`` * own height) / distance for the pixels of a tile whose halo begins at
+    (r, c); NaN where no point of the ray lies inside the raster.  Heights between cells are bilinear, edges repeat."""
+    side = TILE + 2 * (steps + 1) + 1
+    at_r, at_c = own["r"].to_numpy() - r, own["c"].to_numpy() - c
+    z = np.full((side + 1, side + 1), np.nan)
+    z[at_r, at_c] = own["elevation"].to_numpy()
+    east = np.where(np.isnan(z[:-1, 1:]), z[:-1, :-1], z[:-1, 1:])
+    up = np.where(np.isnan(z[1:, :-1]), z[:-1, :-1], z[1:, :-1])
+    both = np.where(np.isnan(z[1:, 1:]), np.where(np.isnan(z[:-1, 1:]), up, east), z[1:, 1:])
+    inner = own["inner"].to_numpy()
+    pr, pc, here = at_r[inner], at_c[inner], own["elevation"].to_numpy()[inner]
+    sign = 1.0 if north < 0 else -1.0
+    out = np.full((len(pr), n_directions), np.nan)
+    for i in range(n_directions):
+        dr, dc = north * math.cos(2 * math.pi * i / n_directions), math.sin(2 * math.pi * i / n_directions)
+        for k in range(1, steps + 1):
+            tr, tc = (pr + r) + dr * k, (pc + c) + dc * k
+            inside = (tr >= 0) & (tc >= 0) & ((tr < ny - 1) & (tc < nx - 1) if north < 0 else (tr <= ny - 1) & (tc <= nx - 1))
+            if not inside.any():
+                continue
+            r0, c0 = np.floor(tr), np.floor(tc)
+            fr, fc = tr - r0, tc - c0
+            a, b = np.where(inside, r0 - r, 0).astype(np.int64), np.where(inside, c0 - c, 0).astype(np.int64)
+            h = z[a, b] * (1.0 - fr) * (1.0 - fc) + east[a, b] * (1.0 - fr) * fc + up[a, b] * fr * (1.0 - fc) + both[a, b] * fr * fc
+            out[:, i] = np.fmax(out[:, i], np.where(inside, sign * (h - here) / (k * res), np.nan))
+    return out
 
 
 def _march(dem: DataFrame, n_directions: int, steps: int, res: float, north: int) -> DataFrame:
-    """(r, c, direction, dist, elevation, z): heights along each ray, inside the raster."""
-    size = dem.agg((F.max("r") + 1).alias("ny"), (F.max("c") + 1).alias("nx"))
-    rays = F.explode(F.array(*(F.struct(F.lit(i).alias("direction"), F.lit(north * math.cos(2 * math.pi * i / n_directions)).alias("dr"), F.lit(math.sin(2 * math.pi * i / n_directions)).alias("dc")) for i in range(n_directions))))
-    points = dem.select("r", "c", "elevation").crossJoin(F.broadcast(size)).select("*", rays.alias("d")).select("*", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("k"))
-    points = points.select("r", "c", "elevation", "ny", "nx", "d.direction", (F.col("k") * res).alias("dist"), (F.col("r") + F.col("d.dr") * F.col("k")).alias("tr"), (F.col("c") + F.col("d.dc") * F.col("k")).alias("tc"))
-    last = 1 if north < 0 else 0
-    most_r, most_c = F.col("ny") - 1, F.col("nx") - 1
-    inside = (F.col("tr") >= 0) & (F.col("tc") >= 0) & ((F.col("tr") < most_r) & (F.col("tc") < most_c) if last else (F.col("tr") <= most_r) & (F.col("tc") <= most_c))
-    points = points.where(inside).withColumns({"r0": F.floor("tr").cast("int"), "c0": F.floor("tc").cast("int")})
-    met = points.join(small(_quads(dem)), ["r0", "c0"])
-    fr, fc = F.col("tr") - F.col("r0"), F.col("tc") - F.col("c0")
-    z = F.col("a") * (1.0 - fr) * (1.0 - fc) + F.col("b") * (1.0 - fr) * fc + F.col("qc") * fr * (1.0 - fc) + F.col("qd") * fr * fc
-    return met.select("r", "c", "direction", "dist", "elevation", z.alias("z"))
+    """(r, c, direction, angle): the largest angle in degrees along each ray, upwards for ``north`` < 0 (towards smaller rows), else downwards;
+    null where the ray leaves the raster at once."""
+    ny, nx = (int(x or 0) for x in dem.agg(F.max("r") + 1, F.max("c") + 1).first())
+    halo = steps + 1
+
+    def tiles(at: str, size: int) -> Column:
+        lowest, highest = F.floor((F.col(at) - halo) / TILE), F.floor((F.col(at) + halo) / TILE)
+        return F.explode(F.sequence(F.greatest(lowest, F.lit(0)), F.least(highest, F.lit(max(0, (size - 1) // TILE)))))
+
+    spread = dem.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("elevation").cast("double").alias("elevation"), tiles("r", ny).alias("tr"))
+    spread = spread.select("*", tiles("c", nx).alias("tc"))
+    inner = (F.floor(F.col("r") / TILE) == F.col("tr")) & (F.floor(F.col("c") / TILE) == F.col("tc"))
+
+    def march(key: tuple, own: pa.Table) -> pa.Table:
+        tr, tc = (k.as_py() for k in key)
+        ratio = _steepest(own, tr * TILE - halo, tc * TILE - halo, ny, nx, n_directions, steps, res, north)
+        kept = own.filter(own["inner"])
+        angle = np.degrees(np.arctan(ratio)).ravel()
+        columns = [pa.array(np.repeat(kept[x].to_numpy(), n_directions).astype(np.int32)) for x in ("r", "c")]
+        directions = pa.array(np.tile(np.arange(n_directions, dtype=np.int32), kept.num_rows))
+        return pa.table([*columns, directions, pa.array(angle, mask=np.isnan(angle))], names=["r", "c", "direction", "angle"])
+
+    return spread.withColumn("inner", inner).groupBy("tr", "tc").applyInArrow(march, "r int, c int, direction int, angle double")
 
 
 def horizon(dem: DataFrame, n_directions: int, max_distance: float, res: float) -> DataFrame:
     """(r, c, direction, horizon): the highest elevation angle along each ray, 0 at least; north is towards smaller rows."""
-    angle = F.degrees(F.atan2(F.col("z") - F.col("elevation"), F.col("dist")))
-    seen = _march(dem, n_directions, int(max_distance / res), res, -1).groupBy("r", "c", "direction").agg(F.max(angle).alias("h"))
-    every = dem.select("r", "c", F.explode(F.sequence(F.lit(0), F.lit(n_directions - 1))).alias("direction"))
-    return every.join(seen, ["r", "c", "direction"], "left").select("r", "c", "direction", F.greatest(F.coalesce("h", F.lit(0.0)), F.lit(0.0)).alias("horizon"))
+    seen = _march(dem, n_directions, int(max_distance / res), res, -1)
+    return seen.select("r", "c", "direction", F.greatest(F.coalesce("angle", F.lit(0.0)), F.lit(0.0)).alias("horizon"))
 
 
 def sky_view_factor(horizons: DataFrame) -> DataFrame:
@@ -76,10 +109,8 @@ def sky_view_factor(horizons: DataFrame) -> DataFrame:
 
 def winstral_sx(dem: DataFrame, n_directions: int, max_distance: float, res: float) -> DataFrame:
     """(r, c, direction, sx): the highest angle down to upwind cells, 0 where there is none; north is towards larger rows."""
-    angle = F.degrees(F.atan2(F.col("elevation") - F.col("z"), F.col("dist")))
-    seen = _march(dem, n_directions, int(max_distance / res), res, 1).groupBy("r", "c", "direction").agg(F.max(angle).alias("h"))
-    every = dem.select("r", "c", F.explode(F.sequence(F.lit(0), F.lit(n_directions - 1))).alias("direction"))
-    return every.join(seen, ["r", "c", "direction"], "left").select("r", "c", "direction", F.coalesce("h", F.lit(0.0)).alias("sx"))
+    seen = _march(dem, n_directions, int(max_distance / res), res, 1)
+    return seen.select("r", "c", "direction", F.coalesce("angle", F.lit(0.0)).alias("sx"))
 
 
 #: Neighbours of D8 in the order that breaks ties.
