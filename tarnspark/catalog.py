@@ -381,13 +381,48 @@ def expver_merge(v: Views) -> DataFrame:
     return ingest.merge_versions(versions, ["cell", "day"], "expver", ["value"])
 
 
-@query(""", d AS (SELECT cell, epoch(date_trunc('second', time)) - epoch(date_trunc('second', lag(time) OVER (PARTITION BY cell ORDER BY time, tiebreak))) AS s FROM series
-), n AS (SELECT cell, s, count(*) AS k FROM d WHERE s IS NOT NULL GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY k DESC, s) AS p FROM n)
+@query(""", d AS (SELECT cell, epoch(date_trunc('second', time)) - epoch(date_trunc('second', lag(time) OVER (PARTITION BY cell ORDER BY time, tiebreak))) AS s, row_number() OVER (PARTITION BY cell ORDER BY time, tiebreak) AS n FROM series
+), n AS (SELECT cell, s, count(*) AS k FROM d WHERE s IS NOT NULL AND n <= 48 GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY k DESC, s) AS p FROM n)
 SELECT cell, CAST(s AS BIGINT) AS step_s FROM o WHERE p = 1""")
 def time_step_mode(v: Views) -> DataFrame:
     return ingest.modal_step(v.series, ["cell"], ["time", "tiebreak"])
 
 
+@query(""", d AS (SELECT cell, epoch(date_trunc('second', time)) - epoch(date_trunc('second', lag(time) OVER (PARTITION BY cell ORDER BY time, tiebreak))) AS s FROM series)
+SELECT cell, median(s) AS step_s FROM d WHERE s IS NOT NULL GROUP BY 1""")
+def time_step_median(v: Views) -> DataFrame:
+    return ingest.median_step(v.series, ["cell"], ["time", "tiebreak"])
+
+
+@query(f"SELECT time, cell, {r('tp', 6)} AS a, {r('tp/3600e0*3600e0*3e0', 6)} AS b, {r('tp*3e0', 6)} AS c FROM surface")
+def precip_amounts(v: Views) -> DataFrame:
+    kinds = {"a": ingest.amounts(F.col("tp"), "kg m-2", 3.0), "b": ingest.amounts(F.col("tp") / 3600.0, "mm/s", 3.0), "c": ingest.amounts(F.col("tp"), "mm h-1", 3.0)}
+    return v.surface.select("time", "cell", *(_r(k, 6, x) for k, x in kinds.items()))
+
+
+@query(f""", w AS (SELECT * FROM surface WHERE hour(time) % 3 = 0), t AS (SELECT time FROM w GROUP BY 1 ORDER BY 1 LIMIT 8
+), d AS (SELECT median(epoch(time) - epoch(b)) / 3600e0 AS h FROM (SELECT time, lag(time) OVER (ORDER BY time) AS b FROM t) WHERE b IS NOT NULL)
+SELECT time, cell, {r('CASE WHEN h > 1 THEN tp*h ELSE tp END', 6)} AS tp FROM w, d""")
+def precip_by_step(v: Views) -> DataFrame:
+    """Hourly amounts at three-hourly stamps stand for the step."""
+    coarse = v.surface.where(ingest.every_hours(F.col("time"), 3))
+    first = coarse.select("time").distinct().orderBy("time").limit(8).withColumn("one", F.lit(1))
+    step = ingest.median_step(first, ["one"], ["time"]).first()["step_s"]
+    return ingest.scale_precipitation(coarse, step).select("time", "cell", _r("tp", 6))
+
+
+@query(f"SELECT time, lat_idx, lon_idx, level, {r('t', 6)} AS t FROM plev WHERE level IN (500, 850)")
+def level_intersection(v: Views) -> DataFrame:
+    return ingest.kept_levels(v.plev, [500, 850, 925]).select("time", "lat_idx", "lon_idx", "level", _r("t", 6))
+
+
+@query(f""", k AS (SELECT DISTINCT time, lat_idx, lon_idx FROM plev), w AS (SELECT * FROM k CROSS JOIN (VALUES (500), (850), (925)) AS l(level))
+SELECT w.time, w.lat_idx, w.lon_idx, w.level, {r('p.t', 6)} AS t FROM w LEFT JOIN plev p ON p.time = w.time AND p.lat_idx = w.lat_idx AND p.lon_idx = w.lon_idx AND p.level = w.level""")
+def level_reindex(v: Views) -> DataFrame:
+    plev = v.plev.select("time", "lat_idx", "lon_idx", "level", "t")
+    return ingest.reindex_levels(plev, [500, 850, 925], ["time", "lat_idx", "lon_idx"]).select("time", "lat_idx", "lon_idx", "level", _r("t", 6))
+
+
 @query("SELECT time, cell FROM surface WHERE hour(time) % 6 = 0 AND latitude BETWEEN 42.25e0 AND 42.75e0 AND longitude BETWEEN 76.2e0 AND 76.8e0 AND time >= (SELECT min(time) FROM hours) + INTERVAL 1 DAY")
 def bbox_time_slice(v: Views) -> DataFrame:
     first = v.hours.agg(F.min("time").alias("m"))
@@ -447,14 +482,19 @@ def hillshade(v: Views) -> DataFrame:
 _D8 = ", ".join(f"({k},{a},{b},{'30e0' if a == 0 or b == 0 else '30e0*sqrt(2e0)'})" for k, (a, b) in enumerate(terrain.D8))
 
 
-@query(f""", n AS (SELECT a.r, a.c, b.r AS to_r, b.c AS to_c, row_number() OVER (PARTITION BY a.r, a.c ORDER BY floor((a.elevation-b.elevation)/d.dist*1e9) DESC, d.k) AS p
-  FROM dem a CROSS JOIN (VALUES {_D8}) AS d(k,dr,dc,dist) JOIN dem b ON b.r = a.r+d.dr AND b.c = a.c+d.dc WHERE a.elevation > b.elevation)
-SELECT e.r, e.c, n.to_r, n.to_c FROM dem e LEFT JOIN n ON n.r = e.r AND n.c = e.c AND n.p = 1""")
+_FLOW = f"""n AS (SELECT a.r, a.c, b.r AS to_r, b.c AS to_c, row_number() OVER (PARTITION BY a.r, a.c ORDER BY floor((a.elevation-b.elevation)/d.dist*1e9) DESC, d.k) AS p
+  FROM dem a CROSS JOIN (VALUES {_D8}) AS d(k,dr,dc,dist) JOIN dem b ON b.r = a.r+d.dr AND b.c = a.c+d.dc WHERE a.elevation > b.elevation
+), flow AS (SELECT e.r, e.c, n.to_r, n.to_c FROM dem e LEFT JOIN n ON n.r = e.r AND n.c = e.c AND n.p = 1)"""
+
+
+@query(f", {_FLOW} SELECT r, c, to_r, to_c FROM flow")
 def flow_direction(v: Views) -> DataFrame:
     return terrain.flow_direction(v.dem, RES)
 
 
-@query()
+@query(f""", {_FLOW}, path AS (SELECT r AS sr, c AS sc, r, c, to_r, to_c FROM flow UNION ALL SELECT p.sr, p.sc, f.r, f.c, f.to_r, f.to_c FROM path p JOIN flow f ON f.r = p.to_r AND f.c = p.to_c
+), through AS (SELECT r, c, count(*) AS cells FROM path GROUP BY 1, 2)
+SELECT p.sr AS r, p.sc AS c, p.r AS basin_r, p.c AS basin_c, t.cells FROM path p JOIN through t ON t.r = p.sr AND t.c = p.sc WHERE p.to_r IS NULL""")
 def flow_accumulation(v: Views) -> DataFrame:
     return terrain.flow_accumulation(terrain.flow_direction(v.dem, RES))
 
@@ -537,6 +577,36 @@ def polygon_mask(v: Views) -> DataFrame:
     return units.points_in_polygons(v.units.select("unit_id", F.col("lon").alias("x"), F.col("lat").alias("y")), polygons, 0.25).select("unit_id", "polygon_id")
 
 
+@query("""SELECT u.unit_id, d.r, d.c, d.elevation FROM (SELECT unit_id, least(greatest(CAST(floor((lat-42e0)/0.02e0+0.5e0) AS INT), 0), (SELECT max(r) FROM dem)) AS r,
+  least(greatest(CAST(floor((lon-76e0)/0.02e0+0.5e0) AS INT), 0), 49) AS c FROM units) u LEFT JOIN dem d USING (r, c)""")
+def nearest_pixel(v: Views) -> DataFrame:
+    points = v.units.select("unit_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    n_rows = v.dem.agg(F.max("r")).first()[0] + 1
+    got = units.nearest_pixel(points, v.dem, 76.0, 42.0, 0.02, n_rows, 50)
+    return got.select("unit_id", F.when(F.col("elevation").isNotNull(), F.col("r")).alias("r"), F.when(F.col("elevation").isNotNull(), F.col("c")).alias("c"), "elevation")
+
+
+@query("SELECT unit_id, surface_type FROM units WHERE surface_type IN ('open', 'rock')")
+def surface_filter(v: Views) -> DataFrame:
+    return units.of_types(v.units, ["open", "rock"]).select("unit_id", "surface_type")
+
+
+@query(_HRU + "SELECT unit_idx, count(*)*900e0 AS area_m2 FROM lab GROUP BY 1 HAVING count(*)*900e0 >= 45000e0")
+def min_area(v: Views) -> DataFrame:
+    z = units.zonal_stats(units.hru_labels(_pixels(v), 200.0, 4), "unit_idx", RES * RES)
+    return units.at_least(z, 45_000.0).select("unit_idx", "area_m2")
+
+
+@query("SELECT m.r, m.c, CASE WHEN m.unit_idx >= 0 THEN d.elevation END AS elevation FROM membership m JOIN dem d USING (r, c)")
+def domain_mask(v: Views) -> DataFrame:
+    return units.masked(v.dem, v.membership.where("unit_idx >= 0"), ["elevation"]).select("r", "c", "elevation")
+
+
+@query(f"""SELECT k AS unit_idx, {r("avg(elevation)", 4)} AS elevation, count(elevation) AS pixels FROM range(12) t(k) LEFT JOIN (SELECT unit_idx, elevation FROM membership JOIN dem USING (r, c)) m ON m.unit_idx = k GROUP BY 1""")
+def unit_elevation(v: Views) -> DataFrame:
+    return units.unit_elevation(v.dem, v.membership, 12).select(F.col("unit_idx").cast("long").alias("unit_idx"), _r("elevation", 4), "pixels")
+
+
 @query("""SELECT unit_id, CASE WHEN slope > 40e0 THEN 1 ELSE CASE unit_id % 5 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END END AS code FROM units""")
 def surface_reclass(v: Views) -> DataFrame:
     code = units.reclassify(F.col("unit_id") % 5, {1: 2, 2: 3})
@@ -574,12 +644,26 @@ def wind_transport(v: Views) -> DataFrame:
     return redistribute.wind_transport(v.cells, v.edges).select("i", _r("swe", 6))
 
 
-@query()
+@query(f""", cc AS (SELECT i, swe, slope, area, row_number() OVER (ORDER BY i) AS p FROM cells
+), ee AS (SELECT a.p AS p, b.p AS q, e.slot, e.weight*a.area/b.area AS w FROM edges e JOIN cc a ON a.i = e.i JOIN cc b ON b.i = e.j WHERE e.weight > 0
+), tl AS (SELECT cc.p, list({{'q': q, 'w': w}} ORDER BY slot) FILTER (q IS NOT NULL) AS t FROM cc LEFT JOIN ee ON ee.p = cc.p GROUP BY 1
+), start AS (SELECT list(swe ORDER BY p) AS s, list(CASE WHEN slope > 30e0 THEN least(1e0, (slope-30e0)/30e0) ELSE 0e0 END ORDER BY p) AS f, list(coalesce(t, []) ORDER BY p) AS t FROM cc JOIN tl USING (p)
+), run AS (SELECT 0 AS k, s FROM start UNION ALL SELECT k+1, CASE WHEN m > 0 AND len(g) > 0 THEN
+    list_transform(s, lambda x, p: x - (CASE WHEN p = k+1 THEN m ELSE 0e0 END) + coalesce(list_sum(list_transform(list_filter(g, lambda z: z.q = p), lambda z: z.w*m)), 0e0)) ELSE s END
+  FROM (SELECT run.k, run.s, run.s[run.k+1]*start.f[run.k+1] AS m, start.t[run.k+1] AS g FROM run, start WHERE run.k < len(run.s)))
+SELECT cc.i, {r("run.s[cc.p]", 6)} AS swe FROM cc, run WHERE run.k = len(run.s)""")
 def avalanche(v: Views) -> DataFrame:
-    domain = lambda c: F.floor(F.col(c) / 50)
-    cells = v.cells.withColumn("domain", domain("i"))
-    edges = v.edges.withColumn("domain", domain("i")).withColumnRenamed("weight", "flow").where(domain("i") == domain("j"))
-    return redistribute.avalanche(cells, edges, "domain").select("i", _r("swe", 6))
+    """Whole domains: cells that edges connect."""
+    nodes, edges = v.cells.select(F.col("i").alias("node")), v.edges.select(F.col("i").alias("a"), F.col("j").alias("b"))
+    domain = graph.components(nodes, edges.join(nodes, F.col("b") == F.col("node"), "left_semi")).select(F.col("node").alias("i"), F.col("component").alias("domain"))
+    cells = v.cells.join(domain, "i")
+    flows = v.edges.withColumnRenamed("weight", "flow").join(domain, "i")
+    return redistribute.avalanche(cells, flows, "domain").select("i", _r("swe", 6))
+
+
+@query(f"SELECT {r('sum(least(0.001e0*greatest(sx,0e0)*wind*swe, swe)*area)', 2)} AS mass FROM cells")
+def eroded_mass(v: Views) -> DataFrame:
+    return redistribute.eroded_mass(v.cells).select(_r("mass", 2))
 
 
 @query(f"SELECT i, {r('least(0.01e0*greatest(wind-5e0,0e0)*greatest(sx,0e0)/15e0,0.1e0)', 8)} AS rate FROM cells")
@@ -759,6 +843,40 @@ def lru_evict(v: Views) -> DataFrame:
     return aggregate.evict_lru(entries, 3000)
 
 
+@query(f""", x AS (SELECT CASE s_suppkey % 3 WHEN 0 THEN 'era5' WHEN 1 THEN 'hres' ELSE 'icon' END AS source, (s_suppkey*7919 % 1000 + 1)*1048576 AS size FROM supplier)
+SELECT CAST(count(*) AS BIGINT) AS entries, {r("sum(size)/1073741824e0", 6)} AS total_gb, {r("sum(size)/5368709120e0", 6)} AS utilization, CAST(count(*) FILTER (source = 'era5') AS BIGINT) AS era5 FROM x""")
+def cache_stats(v: Views) -> DataFrame:
+    k = F.col("s_suppkey")
+    entries = v.table("supplier").select(F.when(k % 3 == 0, "era5").when(k % 3 == 1, "hres").otherwise("icon").alias("source"), ((k * 7919 % 1000 + 1) * 1_048_576).alias("size"))
+    return aggregate.cache_stats(entries, 5 * 1024**3).select("entries", _r("total_gb", 6), _r("utilization", 6), F.col("by_source")["era5"].alias("era5"))
+
+
+@query("""SELECT count(*) FILTER (s = 'pass') AS n_pass, count(*) FILTER (s = 'warn') AS n_warn, count(*) FILTER (s = 'fail') AS n_fail, count(*) FILTER (s = 'fail') = 0 AS ok
+  FROM (SELECT CASE WHEN s_suppkey % 7 = 0 THEN 'fail' WHEN s_suppkey % 3 = 0 THEN 'warn' ELSE 'pass' END AS s FROM supplier)""")
+def preflight_counts(v: Views) -> DataFrame:
+    k = F.col("s_suppkey")
+    return checks.status_counts(v.table("supplier").select(F.when(k % 7 == 0, "fail").when(k % 3 == 0, "warn").otherwise("pass").alias("status")))
+
+
+_RUNS = """SELECT s_suppkey AS run, s_suppkey*700000 AS n_pixels, s_suppkey % 2 = 0 AS full_svf, s_suppkey % 40 + 1 AS n_grid, s_suppkey % 300 + 1 AS n_days, 24 AS steps_a_day, s_suppkey % 8 AS n_levels,
+  CASE s_suppkey % 5 WHEN 0 THEN 'google' WHEN 1 THEN 's3zarr' WHEN 2 THEN 'cds' WHEN 3 THEN 'hybrid' ELSE 'local' END AS backend, s_suppkey*3 AS n_units,
+  CASE s_suppkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'rust' ELSE 'jax' END AS kernel, s_suppkey % 6 AS n_workers, 11 AS n_variables, CASE s_suppkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'fsm' WHEN 2 THEN 'fsm2' ELSE 'snowpack' END AS model FROM supplier"""
+
+
+@query(f""", runs AS ({_RUNS}), x AS (SELECT *, n_days*steps_a_day AS st, n_units*n_days*steps_a_day*n_variables*4e0/1e9 AS o FROM runs
+), y AS (SELECT *, CASE backend WHEN 'google' THEN 0.3e0 WHEN 's3zarr' THEN 0.2e0 WHEN 'cds' THEN 1.5e0 WHEN 'hybrid' THEN 0.3e0 ELSE 0.5e0 END AS bl, CASE backend WHEN 'google' THEN 0.7e0 WHEN 's3zarr' THEN 0.5e0 WHEN 'cds' THEN 3e0 WHEN 'hybrid' THEN 1e0 ELSE 1.5e0 END AS bh,
+  n_units*st*(CASE kernel WHEN 'python' THEN 0.05e0 WHEN 'rust' THEN 0.005e0 ELSE 0.02e0 END)/1000e0/greatest(n_workers, 1)/60e0 AS ds, n_units*st*(CASE model WHEN 'fsm' THEN 1e0 WHEN 'fsm2' THEN 0.1e0 ELSE 0.5e0 END)/1000e0/60e0 AS ms,
+  CASE WHEN n_pixels < 1000000 THEN 0.5e0 WHEN n_pixels < 10000000 THEN 2e0 WHEN n_pixels < 50000000 THEN 5e0 ELSE 10e0 END AS tl, CASE WHEN n_pixels < 1000000 THEN 2e0 WHEN n_pixels < 10000000 THEN 8e0 WHEN n_pixels < 50000000 THEN 15e0 ELSE 30e0 END AS th,
+  full_svf AND n_pixels > 1000000 AS slow FROM x
+), z AS (SELECT run, 'terrain' AS stage, n_pixels*20e0/1e9 AS gb, tl*CASE WHEN slow THEN 2 ELSE 1 END AS a, th*CASE WHEN slow THEN 3 ELSE 1 END AS b FROM y
+  UNION ALL SELECT run, 'fetch', st*n_grid*4e0*(n_levels*5+10)/1e9/2.5e0, n_days*bl, n_days*bh FROM y UNION ALL SELECT run, 'downscale', o, ds*0.8e0, ds*1.5e0 FROM y UNION ALL SELECT run, 'model', o*0.3e0, ms*0.8e0, ms*1.5e0 FROM y WHERE model <> 'none')
+SELECT run, stage, {r("gb", 9)} AS gb, {r("a", 6)} AS minutes_low, {r("b", 6)} AS minutes_high FROM z""")
+def stage_estimates(v: Views) -> DataFrame:
+    v.table("supplier").createOrReplaceTempView("_tarnspark_supplier")
+    runs = v.spark.sql(_RUNS.replace("FROM supplier", "FROM _tarnspark_supplier"))
+    return checks.estimate_stages(runs).select("run", "stage", _r("gb", 9), _r("minutes_low", 6), _r("minutes_high", 6))
+
+
 @query("SELECT count(*) AS units, min(elevation) AS lowest, max(elevation) AS highest, " + ", ".join(f"count(*) FILTER (surface_type = '{k}') AS n_{k}" for k in ("open", "glacier", "forest", "rock", "water")) + " FROM units")
 def domain_summary(v: Views) -> DataFrame:
     return aggregate.domain_summary(v.units)

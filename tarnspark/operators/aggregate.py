@@ -174,6 +174,15 @@ def evict_lru(entries: DataFrame, limit_bytes: int) -> DataFrame:
     return entries.crossJoin(F.broadcast(total)).withColumn("_b", before).where(F.col("_t") - F.col("_b") > limit_bytes).drop("_t", "_b")
 
 
+def cache_stats(entries: DataFrame, limit_bytes: int) -> DataFrame:
+    """One row: entries, total_gb, max_gb, utilization; and (source, entries) as a map."""
+    by = entries.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    total = F.sum("s")
+    sources = F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "n"))))  # a row for each source
+    use = (total / limit_bytes) if limit_bytes > 0 else F.lit(0.0)
+    return by.agg(F.sum("n").alias("entries"), (total / 1024.0**3).alias("total_gb"), F.lit(limit_bytes / 1024.0**3).alias("max_gb"), use.alias("utilization"), sources.alias("by_source"))
+
+
 def overlapping_entry(entries: DataFrame, source: str, west: float, south: float, east: float, north: float, start: str, end: str) -> DataFrame:
     """The most recently used cache entry of a source that overlaps box and period, if any."""
     c = F.col

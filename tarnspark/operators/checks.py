@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -9,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnspark.operators import interp
+
 # Bounds of each output in the units that the engine writes.
 BOUNDS: dict[str, tuple[float, float]] = {
     "temperature": (173.15, 333.15),
@@ -146,12 +149,51 @@ def preflight_table(spark, checks: Sequence[Check]) -> DataFrame:
     return spark.createDataFrame([(c.category, c.status, c.message) for c in checks], "category string, status string, message string")
 
 
-def estimate_rows(n_units: int, n_steps: int, n_variables: int) -> dict[str, float]:
-    """Planning figures: output bytes and kernel seconds of a run."""
-    return {"unit_steps": float(n_units * n_steps), "output_bytes": 4.0 * n_units * n_steps * n_variables}
+def status_counts(checks: DataFrame) -> DataFrame:
+    """One row of a table of checks: how many passed, warn and fail, and whether none fails."""
+    count = lambda k: F.count(F.when(F.col("status") == k, 1))
+    return checks.agg(count("pass").alias("n_pass"), count("warn").alias("n_warn"), count("fail").alias("n_fail"), (count("fail") == 0).alias("ok"))
+
+
+# Minutes at best and worst for so many pixels, minutes for a day of data by backend, milliseconds for a unit and step.
+SETUP_MINUTES = ((1_000_000, 0.5, 2.0), (10_000_000, 2.0, 8.0), (50_000_000, 5.0, 15.0), (None, 10.0, 30.0))
+FETCH_MINUTES = {"google": (0.3, 0.7), "s3zarr": (0.2, 0.5), "cds": (1.5, 3.0), "hybrid": (0.3, 1.0), "other": (0.5, 1.5)}
+KERNEL_MS = {"python": 0.05, "rust": 0.005, "jax": 0.02}
+MODEL_MS = {"fsm": 1.0, "fsm2": 0.1, "other": 0.5}
+
+
+def estimate_stages(runs: DataFrame) -> DataFrame:
+    """(run columns, stage, gb, minutes_low, minutes_high) of each planned run: n_pixels, full_svf, n_grid, n_days, steps_a_day, n_levels,
+    backend, n_units, kernel, n_workers, n_variables, model ('none' for no model)."""
+    c = F.col
+    steps = c("n_days") * c("steps_a_day")
+    pick = lambda at: F.coalesce(*(F.when(c("n_pixels") < n, row) if n else F.lit(row) for n, row in ((m, v[at]) for m, *v in SETUP_MINUTES)))
+    slow = c("full_svf") & (c("n_pixels") > 1_000_000)
+    by = lambda column, table, default: F.coalesce(*(F.when(c(column) == k, v) for k, v in table.items()), F.lit(default))
+    days = lambda at: c("n_days") * by("backend", {k: v[at] for k, v in FETCH_MINUTES.items()}, FETCH_MINUTES["other"][at])
+    kernel = c("n_units") * steps * by("kernel", KERNEL_MS, 0.05) / 1000.0 / F.greatest(c("n_workers"), F.lit(1)) / 60.0
+    model = c("n_units") * steps * by("model", MODEL_MS, MODEL_MS["other"]) / 1000.0 / 60.0
+    out_gb = c("n_units") * steps * c("n_variables") * 4.0 / 1e9
+    stage = lambda name, gb, low, high: F.struct(F.lit(name).alias("stage"), gb.alias("gb"), low.alias("minutes_low"), high.alias("minutes_high"))
+    stages = F.array(
+        stage("terrain", c("n_pixels") * 20.0 / 1e9, pick(0) * F.when(slow, 2.0).otherwise(1.0), pick(1) * F.when(slow, 3.0).otherwise(1.0)),
+        stage("fetch", steps * c("n_grid") * 4.0 * (c("n_levels") * 5 + 10) / 1e9 / 2.5, days(0), days(1)),
+        stage("downscale", out_gb, kernel * 0.8, kernel * 1.5),
+        stage("model", out_gb * 0.3, model * 0.8, model * 1.5),
+    )
+    return runs.select(*runs.columns, F.explode(stages).alias("s")).select(*runs.columns, "s.*").where((c("stage") != "model") | (c("model") != "none"))
+
+
+def chunk_sizes(shape: Sequence[int], item_bytes: int, target_mb: float = 100.0) -> list[int]:
+    """Sizes of chunks of about ``target_mb``: the largest dimension is halved, the first of equals, until a chunk fits."""
+    chunk = list(shape)
+    while math.prod(chunk) * item_bytes > target_mb * 1024 * 1024 and max(chunk) > 1:
+        at = chunk.index(max(chunk))
+        chunk[at] //= 2
+    return chunk
 
 
 def check_patches(units: DataFrame, patches: DataFrame, margin: float) -> DataFrame:
-    """The units that no patch (west, south, east, north) covers with the margin."""
+    """The units that no patch (west, south, east, north) covers with the margin; patches are broadcast if they are within ``interp.small``'s limit."""
     inside = (F.col("lon") >= F.col("west") + margin) & (F.col("lon") <= F.col("east") - margin) & (F.col("lat") >= F.col("south") + margin) & (F.col("lat") <= F.col("north") - margin)
-    return units.join(F.broadcast(patches), inside, "left_anti")
+    return units.join(interp.small(patches), inside, "left_anti")

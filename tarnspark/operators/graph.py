@@ -22,7 +22,7 @@ def upstream_closure(links: DataFrame, rounds: int = 64) -> DataFrame:
         if new.count() == reach.count():
             return new
         reach = new
-    return reach
+    raise RuntimeError("the closure didn't settle")
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -36,8 +36,8 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFram
         new = cut(hooked.join(jump, "component", "left").select("node", "old", F.coalesce("next", "component").alias("component")))
         labels = new.select("node", "component")
         if not new.where("old != component").limit(1).count():
-            break
-    return labels
+            return labels
+    raise RuntimeError("components didn't settle")
 
 
 def point_groups(points: DataFrame, distance: float) -> DataFrame:

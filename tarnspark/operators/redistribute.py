@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def eroded_mass(cells: DataFrame, coefficient: float = 0.001) -> DataFrame:
+    """One row: the mass that wind takes from all exposed cells; nothing is dealt out if it is 0."""
+    lost = F.least(F.greatest("sx", F.lit(0.0)) * F.col("wind") * F.col("swe") * coefficient, "swe")
+    return cells.agg(F.sum(lost * F.col("area")).alias("mass"))
+
+
 def wind_transport(cells: DataFrame, edges: DataFrame, coefficient: float = 0.001) -> DataFrame:
     """(i, swe): exposed cells lose snow, sheltered neighbours gain it.
 
@@ -27,8 +33,8 @@ def wind_transport(cells: DataFrame, edges: DataFrame, coefficient: float = 0.00
 def avalanche(cells: DataFrame, edges: DataFrame, domain: str, threshold: float = 30.0) -> DataFrame:
     """(i, swe) after one pass in the order of i: a steep cell passes a part of its snow on, and later cells pass on what they got.
 
-    The pass is sequential within a domain (cells that no edge connects to others are domains of their own), so
-    each domain is one group; ``cells``: domain, i, swe, slope, area; ``edges``: domain, i, j, flow.
+    The pass is sequential by definition: a cell moves what all cells before it passed on.  Cells that no edge connects to others are domains of
+    their own, and each domain is one group, as large as its cells are many; ``cells``: domain, i, swe, slope, area; ``edges``: domain, i, j, flow.
     """
 
     def run(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
@@ -47,4 +53,5 @@ def avalanche(cells: DataFrame, edges: DataFrame, domain: str, threshold: float
                     swe[j] += moved * area[k] * f / area[j]
         return pd.DataFrame({"i": own["i"], "swe": swe})
 
+    edges = edges.toDF(*edges.columns)  # both sides may come from one table
     return cells.groupBy(domain).cogroup(edges.groupBy(domain)).applyInPandas(run, "i long, swe double")

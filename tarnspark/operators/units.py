@@ -117,6 +117,47 @@ def cluster_metrics(df: DataFrame, features: Sequence[str], cluster: str) -> Dat
     return between.crossJoin(F.broadcast(db)).select("n", "k", "inertia", ch.alias("calinski_harabasz"), "davies_bouldin")
 
 
+def nearest_pixel(points: DataFrame, dem: DataFrame, x0: float, y0: float, res: float, n_rows: int, n_cols: int, values: Sequence[str] = ("elevation",)) -> DataFrame:
+    """``points`` (x, y) with r, c and the values of the nearest pixel of a regular raster with its first pixel at (x0, y0); half-way goes up, outside to the edge."""
+    index = lambda at, first, n: F.least(F.greatest(F.floor((F.col(at) - first) / res + 0.5).cast("int"), F.lit(0)), F.lit(n - 1))
+    placed = points.withColumns({"r": index("y", y0, n_rows), "c": index("x", x0, n_cols)})
+    return placed.join(dem.select("r", "c", *values), ["r", "c"], "left")
+
+
+def of_types(units: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """The units of some surface types."""
+    return units.where(F.col("surface_type").isin(list(kinds)))
+
+
+def at_least(areas: DataFrame, least_m2: float, column: str = "area_m2") -> DataFrame:
+    """The polygons or units of an area of ``least_m2`` or more."""
+    return areas.where(F.col(column) >= least_m2)
+
+
+def finite(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The rows whose features are all there and finite."""
+    for f in features:
+        x = F.col(f).cast("double")
+        df = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return df
+
+
+def masked(pixels: DataFrame, mask: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``pixels`` with the features of those outside of ``mask`` (r, c) set to null."""
+    inside = mask.select("r", "c").distinct().withColumn("_in", F.lit(True))
+    joined = pixels.join(inside, ["r", "c"], "left")
+    return joined.withColumns({f: F.when(F.col("_in"), F.col(f)) for f in features}).drop("_in").select(*pixels.columns)
+
+
+def unit_elevation(dem: DataFrame, membership: DataFrame, n_units: int, nodata: int = -1) -> DataFrame:
+    """(unit_idx, elevation, pixels) of units 0 to n_units - 1: the mean elevation, missing heights counting as 0; null for a unit without pixels."""
+    spark = dem.sparkSession
+    of = membership.where(F.col("unit_idx") != nodata).join(dem.select("r", "c", "elevation"), ["r", "c"], "left")
+    means = of.groupBy("unit_idx").agg((F.sum(F.coalesce(F.nanvl("elevation", F.lit(0.0)), F.lit(0.0))) / F.count("*")).alias("elevation"), F.count("*").alias("pixels"))
+    every = spark.range(n_units).select(F.col("id").cast("int").alias("unit_idx"))
+    return every.join(means, "unit_idx", "left").select("unit_idx", "elevation", F.coalesce("pixels", F.lit(0)).alias("pixels"))
+
+
 def point_in_ring(x: Column, y: Column, ring: Sequence[tuple[float, float]]) -> Column:
     """Even-odd ray casting against one closed ring of literals."""
     crossings = F.lit(0)

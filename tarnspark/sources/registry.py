@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +96,8 @@ def narrow(df: DataFrame, request: Request, kept: Sequence[str]) -> DataFrame:
     wanted = [v for v in kept if v in df.columns and (request.variables is None or v in request.variables)]
     if request.days is not None:
         df = df.where(ingest.in_days(F.col("time"), *request.days))
+        if "day" in df.columns:  # a store partitioned by day: whole folders are left out
+            df = df.where(F.col("day").between(*(F.lit(d).cast("date") for d in request.days)))
     if request.bbox is not None:
         df = df.where(ingest.in_bbox(F.col("latitude"), F.col("longitude"), *request.bbox))
     if request.levels is not None and "level" in df.columns:
@@ -118,12 +120,34 @@ def tables(spark: SparkSession, spec: Spec, request: Request) -> tuple[DataFrame
     return narrow(surface, request, SURFACE), None if levels is None else narrow(levels, request, LEVELS)
 
 
+def _wrapped(request: Request) -> Request:
+    """The request with its box in longitudes from 0 to 360, so that its predicate is one on the stored column."""
+    if request.bbox is None:
+        return request
+    west, south, east, north = request.bbox
+    if east - west >= 360:
+        return replace(request, bbox=(0.0, south, 360.0, north))
+    return replace(request, bbox=(west % 360, south, east % 360, north))
+
+
 @register("archive")
 def archive(spark: SparkSession, spec: Spec, request: Request) -> tuple[DataFrame, DataFrame | None]:
-    """Global archives with longitudes from 0 to 360 and precipitation as a rate: wrapped, and times the modal step."""
-    surface = _read(spark, spec, spec.surface).withColumn("longitude", ingest.wrap_longitude(F.col("longitude")))
-    levels = _read(spark, spec, spec.levels).withColumn("longitude", ingest.wrap_longitude(F.col("longitude"))) if spec.levels else None
-    return narrow(surface, request, SURFACE), None if levels is None else narrow(levels, request, LEVELS)
+    """Global archives with longitudes from 0 to 360 and hourly precipitation at any step.
+
+    The box is wrapped, not the column, so that it reaches the scan; longitudes are wrapped in what is read.  Precipitation is multiplied by the median
+    step's hours, and of the wanted levels those that are stored are read.
+    """
+    inside = _wrapped(request)
+    own = lambda df: df.withColumn("longitude", ingest.wrap_longitude(F.col("longitude")))
+    surface = own(narrow(_read(spark, spec, spec.surface), inside, SURFACE))
+    if "tp" in surface.columns:
+        step = ingest.median_step(surface.select("time").distinct().orderBy("time").limit(8).withColumn("one", F.lit(1)), ["one"], ["time"]).first()
+        surface = surface if step is None else ingest.scale_precipitation(surface, step["step_s"])
+    if not spec.levels:
+        return surface, None
+    stored = _read(spark, spec, spec.levels)
+    levels = own(narrow(ingest.kept_levels(stored, request.levels) if request.levels is not None else stored, replace(inside, levels=None), LEVELS))
+    return surface, levels
 
 
 def select_backend(start: str, end: str, levels: bool, present: Sequence[str]) -> str:
