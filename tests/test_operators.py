@@ -132,6 +132,87 @@ def test_checks_name_the_culprit(spark):
         checks.require_valid(f)
 
 
+def test_checks_tell_units(spark):
+    f = spark.createDataFrame([(85.0, float("nan"), 5.0, None)] * 30, "RH double, Ua double, Ta double, Ps double")
+    got = {r["variable"]: (r["status"], r["hint"]) for r in checks.check_fsm_inputs(f).collect()}
+    assert got == {"RH": ("pass", None), "Ua": ("skipped", None), "Ta": ("fail", "degrees Celsius instead of kelvin"), "Ps": ("skipped", None)}
+    few, day = (spark.createDataFrame([(0.7,)] * n, "RH double") for n in (23, 24))
+    assert [checks.check_fsm_inputs(x).first()["status"] for x in (few, day)] == ["pass", "fail"]
+    rain = spark.createDataFrame([(800.0,)], "rainfall double")
+    assert [checks.check_forcing(rain, s).first()["status"] for s in (600.0, 3600.0, 3 * 3600.0)] == ["fail", "fail", "pass"]
+    with pytest.warns(UserWarning, match="kelvin"):
+        checks.require_valid(f, bounds=checks.FSM_BOUNDS, warn=True)
+
+
+def forcing(spark):
+    names = "temperature pressure humidity_specific humidity_relative wind_speed shortwave_direct shortwave_diffuse longwave precipitation rainfall snowfall".split()
+    data = [(T0 + dt.timedelta(hours=3 * h), u, 270.123 + h, 71234.567, 0.004, 0.81234 - 0.1 * u, 3.4567, 400.05 + h, 33.3, 250.75, 1.5 + h, 0.5 + h, 1.0) for h in range(3) for u in (1, 2)]
+    return spark.createDataFrame(data, "time timestamp_ntz, unit_id int, " + ", ".join(f"{n} double" for n in names)), data
+
+
+def test_snow_model_files(spark, tmp_path):
+    """Files as the models read them, written here by hand."""
+    df, data = forcing(spark)
+    line = lambda r: f"{r[0].year:4d} {r[0].month:2d} {r[0].day:2d} {r[0].hour:2d} {r[7] + r[8]:10.4f} {r[9]:10.4f} {r[12] / 10800:12.6e} {r[11] / 10800:12.6e} {r[2]:8.3f} {r[5] * 100:6.4f} {r[6]:8.3f} {r[3]:10.2f}"
+    store.export(df, "fsm", str(tmp_path / "fsm"))
+    store.export(df, "fsm2", str(tmp_path / "fsm2"))
+    read = lambda p: [x for f in sorted(p.rglob("part-*")) for x in f.read_text().splitlines()]
+    for u in (1, 2):
+        assert read(tmp_path / "fsm" / f"unit_id={u}") == [line(r) for r in data if r[1] == u]
+    assert read(tmp_path / "fsm2") == [line(r) for r in data]
+    sites = spark.createDataFrame([(1, 42.5, 76.25, 3000.04), (2, 42.0, 76.0, 2500.0)], "unit_id int, lat double, lon double, elevation double")
+    store.export(df, "snowpack", str(tmp_path / "smet"), sites)
+    got = read(tmp_path / "smet" / "unit_id=1")
+    assert got[:2] == ["SMET 1.1 ASCII", "[HEADER]"] and got[12] == "[DATA]" and "latitude         = 42.500000" in got and "altitude         = 3000.0" in got
+    assert got[11] == "fields           = timestamp TA RH VW ISWR ILWR PSUM PSUM_PH"
+    assert got[13] == f"{T0:%Y-%m-%dT%H:%M:%S} 270.12 71.23 3.46 433.35 250.75 1.5000 0.3333" and len(got) == 16
+    with pytest.raises(ValueError, match="units"):
+        store.export(df, "smet", str(tmp_path / "none"))
+
+
+def test_netcdf_layouts(spark):
+    df, data = forcing(spark)
+    crocus, cryogrid = aggregate.crocus_columns(df).first(), aggregate.cryogrid_columns(df).first()
+    assert crocus["CO2air"] == pytest.approx(420 * 44.01 / 28.97e6) and "Wind_DIR" not in crocus.asDict() and crocus["Rainf"] == pytest.approx(data[0][11] / 10800)
+    assert aggregate.crocus_columns(df, co2_ppm=None, wind_direction=True).columns[-1] == "Wind_DIR"
+    assert cryogrid["Tair"] == data[0][2] and cryogrid["snowfall"] == pytest.approx(1.0 / 10800 / 1000)
+
+
+def test_humidity_in_percent_by_units_or_size(spark):
+    part, whole = (spark.createDataFrame([(x,)], "humidity_relative double") for x in (0.5, 50.0))
+    one = lambda df: df.select(aggregate.humidity_percent(df)).first()[0]
+    assert (one(part), one(whole)) == (50.0, 50.0)
+    assert one(part.withMetadata("humidity_relative", {"units": "%"})) == 0.5 and one(whole.withMetadata("humidity_relative", {"units": "1"})) == 5000.0
+
+
+def test_wide_has_every_unit(spark):
+    df, data = forcing(spark)
+    got = aggregate.wide(df, "temperature", [1, 2]).orderBy("time").collect()
+    assert [(r["1"], r["2"]) for r in got] == [(a[2], b[2]) for a, b in zip(data[::2], data[1::2], strict=True)]
+
+
+def test_chunk_sizes_and_amounts():
+    assert checks.chunk_sizes((10, 10), 8) == [10, 10] and checks.chunk_sizes((8760, 100, 200), 4, 50) == [547, 100, 200]
+    with pytest.raises(ValueError, match="units"):
+        ingest.amounts(F.lit(1.0), "inch", 1.0)
+
+
+def test_archives_wrap_the_box_and_scale_precipitation(spark, tmp_path):
+    """The box, the days and the hours reach the scan as they are; longitudes are wrapped in what is read."""
+    data = [(T0 + dt.timedelta(hours=6 * h), lat, lon, 270.0, 0.5) for h in range(8) for lat in (40.0, 42.0) for lon in (0.0, 10.0, 350.0)]
+    spark.createDataFrame(data, "time timestamp_ntz, latitude double, longitude double, t2m double, tp double").write.parquet(str(tmp_path / "s"))
+    levels = [(r[0], k, *r[1:4]) for r in data for k in (500, 850)]
+    spark.createDataFrame(levels, "time timestamp_ntz, level int, latitude double, longitude double, t double").write.parquet(str(tmp_path / "l"))
+    request = registry.Request(bbox=(-15.0, 41.0, 5.0, 43.0), days=(f"{T0:%Y-%m-%d}", f"{T0:%Y-%m-%d}"), levels=[850, 925])
+    surface, plev = registry.load(spark, "archive", registry.Spec(str(tmp_path / "s"), str(tmp_path / "l")), request)
+    got = surface.collect()
+    assert {(r["latitude"], r["longitude"], r["tp"]) for r in got} == {(42.0, 0.0, 3.0), (42.0, -10.0, 3.0)} and len(got) == 8
+    assert {(r["level"], r["longitude"]) for r in plev.collect()} == {(850, 0.0), (850, -10.0)}
+    plan = surface._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "latitude" in pushed and "time" in pushed
+
+
 def test_planner():
     assert planner.groups_of(["rainfall"]) == {"temperature", "precipitation"}
     assert planner.resolve_groups(None, {"t2m", "sp", "z_surf", "u10", "v10"}) == ["temperature", "wind"]
@@ -162,7 +243,8 @@ def test_config():
 def test_preflight():
     got = checks.preflight((1, 2, 3, 1), "2024-01-01", "2024-01-02", [500], "full", 3, 10)
     assert {(c.category, c.status) for c in got} >= {("bbox", "fail"), ("levels", "fail"), ("clusters", "warn")}
-    assert checks.pressure_height(500) == 5570 and checks.pressure_height(1100) == checks.pressure_height(1000)
+    assert checks.pressure_height(500) == 5500 and checks.pressure_height(1100) == 0 and checks.pressure_height(50) == 16200
+    assert checks.pressure_height(525) == pytest.approx(5200)
 
 
 def test_antimeridian_box(spark):
@@ -214,10 +296,44 @@ def test_full_mode_needs_levels(spark):
 
 
 def test_output_isnt_shuffled(spark):
-    """After the coarse blocks are made, only a join and projections follow."""
+    """After the coarse blocks are made, only a broadcast join and projections follow, in as many tasks as there are cores at least."""
     v = Views(spark, SF)
-    plan = downscale.downscale(v.surface, v.units_w)._jdf.queryExecution().executedPlan().toString()
-    assert "ArrowEvalPython" not in plan and "CartesianProduct" not in plan
+    out = downscale.downscale(v.surface, v.units_w)
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("== Final Plan ==") : plan.index("== Initial Plan ==")] if "== Final Plan ==" in plan else plan
+    top = plan[: plan.index("BroadcastHashJoin")]
+    assert "Exchange" not in top and "ArrowEvalPython" not in plan and "CartesianProduct" not in plan and "SortMergeJoin" not in plan
+
+
+def test_a_side_is_broadcast_by_its_bytes(spark):
+    df = spark.range(1000)
+    assert "broadcast" in interp.small(df)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in interp.small(df, 1000)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_a_bracket_is_that_of_each_height(spark):
+    """The two levels of a block interpolated at the unit give what interpolating every level and then the height gives."""
+    import itertools
+
+    def cell(k):
+        return [1000.0 + 5 * k, None if k == 9 else 2000.0 - k, 3500.0 + k], [280.0 + k, 270.0 - k, 255.0 + 2 * k]
+
+    corners = [{"z_levels": cell(k)[0], "t_levels": cell(k)[1]} for k in range(4)]
+    rows = [(corners, a, b, z) for a, b, z in itertools.product((0.0, 0.3), (0.2, 1.0), (500.0, 1000.0, 1700.0, 2600.0, 9000.0))]
+    df = spark.createDataFrame(rows, "level_corners array<struct<z_levels:array<double>,t_levels:array<double>>>, t double, s double, elevation double")
+    got = interp.with_bracket(df, F.col("elevation")).select("t", "s", "elevation", interp.at_bracket("t_levels").alias("v")).collect()
+    for r in got:
+        w = [(1 - r.t) * (1 - r.s), (1 - r.t) * r.s, r.t * (1 - r.s), r.t * r.s]
+        zs, ts = ([sum(x * cell(q)[j][k] for q, x in enumerate(w)) for k in range(3)] for j in (0, 1))
+        above, below = [z for z in zs if z > r.elevation], [z for z in zs if z < r.elevation]
+        at = lambda z: ts[zs.index(z)]  # noqa: B023, E731
+        if above and below:
+            hi, lo = min(above), max(below)
+            want = at(lo) * (hi - r.elevation) / (hi - lo) + at(hi) * (r.elevation - lo) / (hi - lo)
+        else:
+            want = at(min(above)) if above else at(max(below))
+        assert r.v == pytest.approx(want)
 
 
 def test_stream_appends_once(spark, tmp_path):

@@ -84,5 +84,5 @@ def test_int16_rounds_half_to_even(spark):
 
 
 def test_resolution_factor(spark):
-    assert value(spark, ph.resolution_factor(L(50.0), L(100.0))) == 0.0
-    assert value(spark, ph.resolution_factor(L(31000.0), L(100.0), "log")) == pytest.approx(math.log10(310) / 3)
+    assert value(spark, ph.resolution_factor(L(50.0), L(100.0))) == 0.1
+    assert value(spark, ph.resolution_factor(L(31000.0), L(100.0), "log")) == pytest.approx(0.1 + 0.9 * math.log10(310) / 3)
