@@ -124,6 +124,7 @@ def fit_topics(docs: DataFrame, topics: int = TOPICS) -> np.ndarray:
         if np.abs(centers - last).max() < SETTLED:
             break
     drop(vectors)
+    _text.trim()
     return centers
 
 
@@ -246,19 +247,19 @@ def tempered(power: float) -> Target:
 def rake(cells: DataFrame, targets: Mapping[str, Target], share: float = SHARE, rounds: int = ROUNDS) -> Raked:
     """``cells``: the dimensions, strings without null, and ``mass``, one row per cell; ``CELLS`` at most, else ValueError."""
     dims = list(targets)
-    got = cells.orderBy(*dims).limit(CELLS + 1).toPandas()
-    if len(got) > CELLS:
+    got = cells.orderBy(*dims).limit(CELLS + 1).toArrow()
+    if got.num_rows > CELLS:
         raise ValueError(f"more than {CELLS} cells; map {', '.join(dims)} to coarser values")
-    mass = got["mass"].to_numpy(float)
+    mass = np.array(got["mass"].to_numpy(), float)
     codes, shares = [], []
     for d in dims:
-        values, code = np.unique(got[d].to_numpy(str), return_inverse=True)
+        values, code = np.unique(np.array(got[d].to_pylist(), str), return_inverse=True)
         seen = np.bincount(code, mass, len(values)) / max(mass.sum(), 1e-300)
         goal = _complete(targets[d](dict(zip(values, seen, strict=True))), list(values))
         codes.append(code)
         shares.append(np.array([goal[v] for v in values]))
-    p, reached, error = rake_cells(codes, mass, shares, share, rounds) if len(got) else (np.zeros(0), 1.0, 0.0)
-    rows = [(*r, float(x)) for r, x in zip(got[[*dims, "mass"]].itertuples(index=False), p, strict=True)]
+    p, reached, error = rake_cells(codes, mass, shares, share, rounds) if got.num_rows else (np.zeros(0), 1.0, 0.0)
+    rows = list(zip(*(got[c].to_pylist() for c in (*dims, "mass")), p.tolist(), strict=True))
     return Raked(cells.sparkSession.createDataFrame(rows, ", ".join(f"{d} string" for d in dims) + ", mass double, probability double"), reached, error)
 
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from tarnspark.llm._scratch import save
 
 CAPACITY = 2048
-#: Pieces that a task packs at once, about.
-ITEMS = 32_768
+#: Pieces that a task packs at once, about; so many times as many in an exchange, where fewer are left.
+ITEMS, EXCHANGE = 32_768, 16
 END_ID = 0
 SPECIAL = "<|endoftext|>"
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -96,8 +96,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, items: int = ITEMS,
     """
     names = pieces.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, certified boolean, open boolean"
-    lengths = pieces.groupBy("length").count().toPandas()  # as many rows as there are lengths
-    histogram = np.bincount(lengths["length"].astype(int), lengths["count"], capacity + 1).astype(np.int64)
+    histogram = np.zeros(capacity + 1, np.int64)
+    for length, n in pieces.groupBy("length").count().collect():  # as many rows as there are lengths
+        histogram[length] = n
     bound, parts, done, k = lower_bound(histogram), max(1, -(-int(histogram.sum()) // items)), [], 0
     packed = save(pieces.repartition(parts).mapInArrow(_packer(0, capacity), schema), "pack-0")
     bins = packed.where("offset = 0").count()
@@ -105,7 +106,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, items: int = ITEMS,
         pool, pool_bins = packed.agg(F.count(F.when(F.col("open"), 1)), F.count(F.when(F.col("open") & (F.col("offset") == 0), 1))).first()
         if parts == 1 or pool_bins <= 1:
             break
-        k, parts = k + 1, max(1, -(-pool // items))
+        k, parts = k + 1, max(1, -(-pool // (items * EXCHANGE)))
         again = save(packed.where("open").select(*names).repartition(parts).mapInArrow(_packer(k, capacity), schema), f"pack-{k}")
         now = again.where("offset = 0").count()
         if now >= pool_bins:

@@ -128,9 +128,11 @@ def _presence(counts: np.ndarray) -> np.ndarray:
     return np.minimum(1 + np.log(np.maximum(counts, 1)), 3.0)
 
 
-def _matrix(rows: Sequence[tuple[np.ndarray, np.ndarray]], kept: np.ndarray, kind: type) -> np.ndarray:
-    """A row for each text and a column for each of the sorted feature numbers ``kept``."""
-    x = np.zeros((len(rows), len(kept)), kind)
+def _matrix(rows: Sequence[tuple[np.ndarray, np.ndarray]], kept: np.ndarray, kind: type, more: np.ndarray | None = None) -> np.ndarray:
+    """A row for each text and a column for each of the sorted feature numbers ``kept``, and then the columns ``more``."""
+    x = np.zeros((len(rows), len(kept) + (0 if more is None else more.shape[1])), kind)
+    if more is not None:
+        x[:, len(kept) :] = more
     if len(kept):
         for r, (bins, counts) in enumerate(rows):
             at = np.minimum(np.searchsorted(kept, bins), len(kept) - 1)
@@ -155,20 +157,18 @@ class Chain:
         """``y``: a column of 0 and 1 for each name.  A fold's probabilities come from models whose features were chosen without it."""
         last = y[:, -1] if len(y) else np.zeros(0)
         chain = cls(_strongest(rows, last), tuple(names), [])
-        x = chain.matrix(rows)
         part = np.random.default_rng(seed).permutation(len(rows)) % FOLDS
-        own = []
+        folds = []
         for f in range(FOLDS if len(names) > 1 else 0):
-            others = np.flatnonzero(part != f)
-            own.append(_matrix(rows, _strongest([rows[i] for i in others], last[others]), np.float16))
+            inside, others = np.flatnonzero(part == f), np.flatnonzero(part != f)
+            folds.append((inside, others, _strongest([rows[i] for i in others], last[others])))
         out_of_fold = np.zeros((len(rows), 0), np.float32)
-        for k in range(len(chain.names)):
-            target = y[:, k].astype(float)
-            p = np.zeros(len(rows))
-            for f, of in enumerate(own if k + 1 < len(chain.names) else []):
-                z = np.hstack([of.astype(np.float32), out_of_fold])
-                p[part == f] = Linear.fit(z[part != f], target[part != f]).predict(z[part == f])
-            chain.links.append(Linear.fit(np.hstack([x, out_of_fold]), target))
+        for k in range(len(chain.names)):  # one matrix at a time, made anew for each link, so that the driver holds no more
+            target, p = y[:, k].astype(float), np.zeros(len(rows))
+            for inside, others, kept in folds if k + 1 < len(chain.names) else []:
+                link = Linear.fit(_matrix([rows[i] for i in others], kept, np.float32, out_of_fold[others]), target[others])
+                p[inside] = link.predict(_matrix([rows[i] for i in inside], kept, np.float32, out_of_fold[inside]))
+            chain.links.append(Linear.fit(_matrix(rows, chain.kept, np.float32, out_of_fold), target))
             out_of_fold = np.hstack([out_of_fold, p[:, None].astype(np.float32)])
         return chain
 
@@ -234,7 +234,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
     made = labelled_sample(docs, labels, label, bound).mapInArrow(extract, f"doc_id {kind}, h long, y int, bins binary, counts binary")
     found = one_row_an_id(made).orderBy("doc_id").toArrow()
     rows = [(np.frombuffer(b.as_py(), np.int32), np.frombuffer(c.as_py(), np.int32)) for b, c in zip(found["bins"], found["counts"], strict=True)]
-    return Chain.fit(rows, category_labels(rows, np.asarray(found["y"].to_numpy(), np.int8)), LINKS)
+    toxic = np.array(found["y"].to_numpy(), np.int8)
+    del found
+    chain = Chain.fit(rows, category_labels(rows, toxic), LINKS)
+    del rows
+    _text.trim()
+    return chain
 
 
 def chain_column(chain: Chain):
