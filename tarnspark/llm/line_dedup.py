@@ -149,7 +149,10 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(k1, k2, s, e, o1, o2, os, oe, lead, tail): runs of chunks, the first occurrence of the same hashes, and its bytes of context."""
-    occurs = save(chunks(docs), "chunks")
+    every = save(chunks(docs), "chunks")
+    repeated = save(every.groupBy("h").count().where("count > 1").select("h"), "repeated-hashes")  # most hashes occur once; only the others go on
+    occurs = save(only_members(every, members(repeated, "h"), "h"), "repeated-chunks")
+    drop(every)
     owner = F.min(F.struct("k1", "k2", "s", "e", "n", "lead", "tail"))
     firsts = occurs.groupBy("h").agg(owner.alias("o"), F.count("*").alias("c")).where("c > 1").drop("c")
     firsts = save(firsts, "first-chunks")
