@@ -834,6 +834,34 @@ def resolution_weights(v: Views) -> DataFrame:
     return v.table("supplier").select(k.alias("source"), *(_r(m, 8, ph.resolution_factor(src, target, m)) for m in ("linear", "sqrt", "log")))
 
 
+_SRC = "(s_suppkey*317 % 31000 + 50)/100e0"
+
+
+@query(f""", x AS (SELECT s_suppkey AS source, {_SRC} AS x, CASE WHEN s_suppkey % 3 > 0 THEN (s_suppkey % 11)/10e0 END AS tc FROM supplier
+), f AS (SELECT *, CASE WHEN x <= 1 THEN 0.1e0 ELSE (1e0-1e0/x)*0.9e0+0.1e0 END AS l, CASE WHEN x <= 1 THEN 0.1e0 ELSE (1e0-1e0/sqrt(x))*0.9e0+0.1e0 END AS q FROM x)
+SELECT source, {r("CASE WHEN tc IS NULL THEN q ELSE least(1e0, q*(tc*0.5e0+1e0)) END", 8)} AS lapse_rate, {r("l", 8)} AS radiation, {r("q", 8)} AS wind, {r("l", 8)} AS precipitation FROM f""")
+def correction_weights(v: Views) -> DataFrame:
+    k = F.col("s_suppkey")
+    src, target, rough = (k * 317 % 31000 + 50) * 1.0, F.lit(100.0), F.when(k % 3 > 0, (k % 11) / 10.0)
+    kinds = {x: ph.correction_weight(x, src, target, rough) for x in ("lapse_rate", "radiation", "wind", "precipitation")}
+    return v.table("supplier").select(k.alias("source"), *(_r(x, 8, w) for x, w in kinds.items()))
+
+
+@query(""", d AS (SELECT unit_id, DATE '2019-01-15' + CAST(unit_id*13 % 400 AS INT) AS a, DATE '2020-08-20' + CAST(unit_id*29 % 900 AS INT) AS b FROM units
+), y AS (SELECT *, unnest(range(CAST(year(a) + CASE WHEN month(a) >= 9 THEN 1 ELSE 0 END AS BIGINT), CAST(year(b) + CASE WHEN month(b) >= 9 THEN 1 ELSE 0 END AS BIGINT) + 1)) AS wy FROM d)
+SELECT unit_id, CAST(wy AS INT) AS wy, greatest(make_date(wy-1, 9, 1), a) AS first, least(make_date(wy, 8, 31), b) AS last FROM y""")
+def water_year_windows(v: Views) -> DataFrame:
+    k = F.col("unit_id")
+    a, b = F.date_add(F.lit("2019-01-15").cast("date"), (k * 13 % 400).cast("int")), F.date_add(F.lit("2020-08-20").cast("date"), (k * 29 % 900).cast("int"))
+    return v.units.select("unit_id", F.explode(ph.water_year_windows(a, b)).alias("w")).select("unit_id", F.col("w.wy").cast("int").alias("wy"), "w.first", "w.last")
+
+
+@query("SELECT unit_id, make_date(2019 + unit_id % 5, 9, 1) + CAST(unit_id*7 % 365 AS INT) AS day FROM units")
+def water_year_labels(v: Views) -> DataFrame:
+    k = F.col("unit_id")
+    return v.units.select("unit_id", ph.date_of_label((k % 5 + 2020).cast("int"), k * 7 % 365 + 1, 1).alias("day"))
+
+
 @query(""", x AS (SELECT s_suppkey AS entry_id, (s_suppkey*7919 % 1000 + 1) AS size, (s_suppkey*104729 % 100003) AS last_accessed FROM supplier
 ), w AS (SELECT *, coalesce(sum(size) OVER (ORDER BY last_accessed, entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(size) OVER () AS t FROM x)
 SELECT entry_id, size, last_accessed FROM w WHERE t - b > 3000""")

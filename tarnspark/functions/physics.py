@@ -319,3 +319,35 @@ def resolution_factor(source_m: Column, target_m: Column, kind: str = "linear",
     ratio = source_m / target_m
     part = {"linear": 1.0 - 1.0 / ratio, "sqrt": 1.0 - 1.0 / F.sqrt(ratio), "log": F.least(F.log10(ratio) / 3.0, F.lit(1.0))}[kind]
     return clip(F.when(ratio <= 1, low).otherwise(part * (high - low) + low), low, high)
+
+
+def correction_weight(kind: str, source_m: Column, target_m: Column, complexity: Column | None = None) -> Column:
+    """The weight of a local correction ('lapse_rate', 'radiation', 'wind' or 'precipitation') for a source of one resolution brought to another;
+    rough terrain (``complexity`` from 0 to 1) raises that of the lapse rate."""
+    shape = {"lapse_rate": "sqrt", "wind": "sqrt", "radiation": "linear", "precipitation": "linear"}[kind]
+    weight = resolution_factor(source_m, target_m, shape)
+    if kind != "lapse_rate" or complexity is None:
+        return weight
+    return F.when(complexity.isNull(), weight).otherwise(F.least(F.lit(1.0), weight * (complexity * 0.5 + 1.0)))
+
+
+def water_year_dates(wy: Column, start_month: int = 9) -> tuple[Column, Column]:
+    """First and last day of a water year."""
+    first = F.make_date(wy - (0 if start_month == 1 else 1), F.lit(start_month), F.lit(1))
+    return first, F.date_sub(F.add_months(first, 12), 1)
+
+
+def water_year_windows(start: Column, end: Column, start_month: int = 9) -> Column:
+    """An array of (wy, first, last): the water years between two days, cut to them."""
+    years = F.sequence(water_year(start, start_month), water_year(end, start_month))
+
+    def window(wy: Column) -> Column:
+        first, last = water_year_dates(wy, start_month)
+        return F.struct(wy.alias("wy"), F.greatest(first, F.to_date(start)).alias("first"), F.least(last, F.to_date(end)).alias("last"))
+
+    return F.when(F.to_date(start) <= F.to_date(end), F.transform(years, window))
+
+
+def date_of_label(wy: Column, label: Column, base: int, start_month: int = 9) -> Column:
+    """The day that a label of a day of a water year stands for, labels beginning at ``base`` (0 or 1)."""
+    return F.date_add(water_year_dates(wy, start_month)[0], (label - base).cast("int"))

@@ -155,9 +155,10 @@ def cryogrid_columns(forcing: DataFrame, step_seconds: float | None = None) -> D
 
 
 def domain_summary(units: DataFrame) -> DataFrame:
-    """One row: units, lowest and highest elevation, total area; and a count for each surface type."""
+    """One row: units, lowest and highest elevation, a count for each surface type, and the total area if units have one."""
     kinds = ("open", "glacier", "forest", "rock", "water")
-    return units.agg(F.count("*").alias("units"), F.min("elevation").alias("lowest"), F.max("elevation").alias("highest"), *(F.count(F.when(F.col("surface_type") == k, 1)).alias(f"n_{k}") for k in kinds))
+    area = [F.sum("area_m2").alias("area_m2")] if "area_m2" in units.columns else []
+    return units.agg(F.count("*").alias("units"), F.min("elevation").alias("lowest"), F.max("elevation").alias("highest"), *area, *(F.count(F.when(F.col("surface_type") == k, 1)).alias(f"n_{k}") for k in kinds))
 
 
 def blended_resolution(sources: DataFrame) -> DataFrame:
