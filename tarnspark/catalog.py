@@ -546,6 +546,11 @@ def cluster_features(v: Views) -> DataFrame:
     return units.standardise(units.terrain_features(_pixels(v)), _FEATURES).select("r", "c", *(_r(f, 5) for f in _FEATURES))
 
 
+@query(_HRU + f"SELECT r, c, {r('sin(radians(slope))*cos(radians(aspect))', 7)} AS sx, {r('sin(radians(slope))*sin(radians(aspect))', 7)} AS sy, {r('sin(radians(slope))*cos(radians(aspect))', 7)} AS northness FROM px")
+def terrain_parts(v: Views) -> DataFrame:
+    return units.terrain_features(_pixels(v)).select("r", "c", _r("sx", 7), _r("sy", 7), _r("northness", 7))
+
+
 @query()
 def kmeans_units(v: Views) -> DataFrame:
     return units.kmeans(units.standardise(units.terrain_features(_pixels(v)), _FEATURES), _FEATURES, 8).select("r", "c", "cluster")

@@ -62,9 +62,17 @@ def renumber_large(pixels: DataFrame, label: str, least: int) -> DataFrame:
 
 
 def terrain_features(pixels: DataFrame) -> DataFrame:
-    """``pixels`` with the features of clustering: cosine and sine of aspect, northness."""
-    a = F.radians("aspect")
-    return pixels.withColumns({"cos_aspect": F.cos(a), "sin_aspect": F.sin(a), "northness": F.cos(a) * F.sin(F.radians("slope"))})
+    """``pixels`` with the features of clustering: cosine and sine of aspect, and the slope's parts to the north (sx, also northness) and to the east (sy)."""
+    a, steep = F.radians("aspect"), F.sin(F.radians("slope"))
+    north = steep * F.cos(a)
+    return pixels.withColumns({"cos_aspect": F.cos(a), "sin_aspect": F.sin(a), "northness": north, "sx": north, "sy": steep * F.sin(a)})
+
+
+def feature_columns(pixels: DataFrame, features: Sequence[str]) -> list[str]:
+    """The wanted features that clustering can use: svf is left out where it isn't there yet, any other one that is missing raises ValueError."""
+    if missing := [f for f in features if f not in pixels.columns and f != "svf"]:
+        raise ValueError(f"no features {', '.join(missing)}")
+    return [f for f in features if f in pixels.columns]
 
 
 def standardise(df: DataFrame, features: Sequence[str], weights: Sequence[float] | None = None) -> DataFrame:

@@ -379,3 +379,10 @@ def test_page_arrays(spark):
     f = spark.createDataFrame([(1, T0 + dt.timedelta(hours=h), float(h // 24)) for h in range(48)], "unit_id int, time timestamp_ntz, temperature double")
     got = grids.hourly_to_page(f, {"temperature": 10.0}).first()
     assert got["temperature"] == [0, 10] and len(got["days"]) == 2
+
+
+def test_features_that_are_missing(spark):
+    px = units.terrain_features(spark.createDataFrame([(0, 0, 10.0, 90.0)], "r int, c int, slope double, aspect double"))
+    assert units.feature_columns(px, ["sx", "sy", "svf"]) == ["sx", "sy"]
+    with pytest.raises(ValueError, match="elevation"):
+        units.feature_columns(px, ["elevation"])
