@@ -694,6 +694,14 @@ def hamon_pet(v: Views) -> DataFrame:
     return out.select("unit_id", "day", _r("temperature", 4), _r("precipitation", 4), _r("pet", 5))
 
 
+@query(with_simple(f""", dd AS (SELECT unit_id, any_value(lat) AS lat, CAST(time AS DATE) AS day, avg(ta)-273.15e0 AS t, sum(tp) AS pr FROM done GROUP BY unit_id, CAST(time AS DATE)
+), h AS (SELECT unit_id, day, {r("t", 2)} AS t, {r("pr", 3)} AS pr, {r(f"CASE WHEN t > 0 THEN 0.165e0*216.7e0*(24e0/pi()*acos(-tan(radians(lat))*tan({_DELTA}))/12e0)*(0.6108e0*exp(17.27e0*t/(t+237.3e0)))/(t+273.3e0) ELSE 0e0 END", 3)} AS pet FROM dd)
+SELECT unit_id, day, printf('%s %.2f %.3f %.3f', strftime(day, '%Y%m%d'), t, pr, pet) AS line FROM h""".lstrip()))
+def export_hbv(v: Views) -> DataFrame:
+    out = aggregate.hbv_daily(downscale.downscale(v.surface, v.units_w, ["temperature", "precipitation"]), v.units)
+    return aggregate.hbv_text(out.select("unit_id", "day", _r("temperature", 2), _r("precipitation", 3), _r("pet", 3)))
+
+
 @query("""SELECT time, CAST(year(time) + CASE WHEN month(time) >= 9 THEN 1 ELSE 0 END AS INT) AS wy,
   CAST(least(date_diff('day', make_date(year(time) + CASE WHEN month(time) >= 9 THEN 0 ELSE -1 END, 9, 1), CAST(time AS DATE)), 365) AS INT) AS dowy FROM hours""")
 def water_year(v: Views) -> DataFrame:

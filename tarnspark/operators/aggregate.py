@@ -31,6 +31,15 @@ def hbv_daily(forcing: DataFrame, units: DataFrame) -> DataFrame:
     return d.join(units.select("unit_id", "lat"), "unit_id").select("unit_id", "day", "temperature", "precipitation", pet.alias("pet"))
 
 
+HBV_HEADER = ("# HBV forcing file generated by tarnspark", "# Date T[C] P[mm] PET[mm]")
+
+
+def hbv_text(daily_: DataFrame, date_format: str = "yyyyMMdd") -> DataFrame:
+    """(unit_id, day, line) of ``hbv_daily``."""
+    line = F.format_string("%s %.2f %.3f %.3f", F.date_format("day", date_format), F.col("temperature"), F.col("precipitation"), F.col("pet"))
+    return daily_.select("unit_id", "day", line.alias("line"))
+
+
 def to_raster(forcing: DataFrame, membership: DataFrame, values: Sequence[str]) -> DataFrame:
     """(time, r, c, values): every pixel at every time, null where its unit is missing or -1.
 

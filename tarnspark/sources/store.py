@@ -96,21 +96,25 @@ def writer(name: str) -> Callable[[DataFrame], DataFrame]:
 def export(forcing: DataFrame, name: str, path: str, units: DataFrame | None = None, warn: bool = False) -> None:
     """Checked, laid out and written: one folder for each unit, but FSM2 as lines by time and unit in files that follow each other.
 
-    Snow models' inputs are checked once more in their own units.  SMET needs ``units`` (unit_id, lat, lon, elevation) for its headers.
+    Snow models' inputs are checked once more in their own units.  SMET needs ``units`` (unit_id, lat, lon, elevation) for its headers, HBV for its evaporation.
     """
     name = ALIASES.get(name, name)
     step = aggregate.time_step(forcing)
     checks.require_valid(forcing, step, warn=warn)
+    if name in ("smet", "hbv") and units is None:
+        raise ValueError(f"{name} needs the units")
     if name in ("fsm", "fsm2"):
         laid = aggregate.fsm_text(checks.require_valid(aggregate.fsm_inputs(forcing, step), bounds=checks.FSM_BOUNDS, warn=warn))
         if name == "fsm2":
             laid.orderBy("time", "unit_id").select(F.col("line").alias("value")).write.text(path)
             return
+    elif name == "hbv":
+        days = aggregate.hbv_text(aggregate.hbv_daily(forcing, units)).select("unit_id", F.lit(99).alias("number"), F.col("day").alias("time"), "line")
+        heads = F.posexplode(F.array(*(F.lit(x) for x in aggregate.HBV_HEADER))).alias("number", "line")
+        laid = days.unionByName(days.select("unit_id").distinct().select("unit_id", heads).withColumn("time", F.lit(None).cast("date")))
     else:
         laid = writer(name)(forcing)
     if name == "smet":
-        if units is None:
-            raise ValueError("SMET headers need the units")
         from datetime import datetime, timezone
 
         heads = aggregate.smet_header(units, datetime.now(timezone.utc).isoformat()).join(forcing.select("unit_id").distinct(), "unit_id", "left_semi")

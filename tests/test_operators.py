@@ -168,6 +168,9 @@ def test_snow_model_files(spark, tmp_path):
     assert got[13] == f"{T0:%Y-%m-%dT%H:%M:%S} 270.12 71.23 3.46 433.35 250.75 1.5000 0.3333" and len(got) == 16
     with pytest.raises(ValueError, match="units"):
         store.export(df, "smet", str(tmp_path / "none"))
+    store.export(df, "hbv", str(tmp_path / "hbv"), sites)
+    got = read(tmp_path / "hbv" / "unit_id=2")
+    assert got[1] == "# Date T[C] P[mm] PET[mm]" and got[2:] == [f"{T0:%Y%m%d} -2.03 7.500 0.000"]
 
 
 def test_netcdf_layouts(spark):
