@@ -785,12 +785,13 @@ def export_cryogrid(v: Views) -> DataFrame:
     return _rounded(aggregate.cryogrid_columns(_forcing(v), aggregate.time_step(v.hours)), {"Tair": 4, "q": 9, "wind": 4, "Sin": 3, "Lin": 3, "p": 2, "rainfall": 12, "snowfall": 12}, "unit_id", "time")
 
 
-@query()
+@query(with_simple(f"""SELECT 0 AS number, CAST(NULL AS TIMESTAMP) AS time, 'time' || coalesce(string_agg(',u' || unit_id, '' ORDER BY unit_id), '') AS line FROM (SELECT DISTINCT unit_id FROM units WHERE unit_id IS NOT NULL)
+UNION ALL SELECT 1, time, strftime(time, '%Y-%m-%d %H:%M:%S') || string_agg(',' || x, '' ORDER BY unit_id) FROM (
+  SELECT time, unit_id, min(CASE WHEN ta IS NULL OR isnan(ta) THEN 'NaN' ELSE printf('%.4f', {r("ta", 4)}) END) AS x FROM done WHERE unit_id IS NOT NULL GROUP BY time, unit_id) GROUP BY time"""))
 def export_csv_wide(v: Views) -> DataFrame:
-    """All units as columns; they differ by table, so there is no SQL of fixed columns."""
-    ids = sorted(x["unit_id"] for x in v.units.select("unit_id").collect())  # the columns of the result
-    out = aggregate.wide(downscale.downscale(v.surface, v.units_w, ["temperature"]).withColumn("temperature", _r("temperature", 4)), "temperature", ids)
-    return out.select("time", *(F.col(str(k)).alias(f"u{k}") for k in ids))
+    """All units as columns of a CSV file, by line."""
+    out = downscale.downscale(v.surface, v.units_w, ["temperature"]).withColumn("temperature", _r("temperature", 4))
+    return aggregate.wide_lines(out, "temperature", v.units)
 
 
 _BOUND_SQL = {k: tuple(f"{x:.17e}" for x in (a, b)) for k, (a, b) in (checks.BOUNDS | checks.FSM_BOUNDS).items()} | {k: ("-1e-6", f"300e0*greatest({_STEP_S}/3600e0, 1e0)") for k in checks.AMOUNTS}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnspark.functions import physics as ph
+from tarnspark.operators import interp
 
 MEANS = ("temperature", "humidity_specific", "humidity_relative", "wind_speed", "pressure", "shortwave_direct", "shortwave_diffuse", "longwave")
 SUMS = ("precipitation", "rainfall", "snowfall")
@@ -52,10 +53,41 @@ def to_raster(forcing: DataFrame, membership: DataFrame, values: Sequence[str])
 
 
 def wide(forcing: DataFrame, value: str, unit_ids: Sequence[object]) -> DataFrame:
-    """One row per time with a column for each unit named."""
+    """One row per time with a column for each unit named: for a few, as the plan grows with them.  ``wide_lines`` takes any number."""
     return forcing.where(F.col("unit_id").isin(list(unit_ids))).groupBy("time").pivot("unit_id", list(unit_ids)).agg(F.first(value))
 
 
+#: What a table for people has where there is no value; units of a line that are put together at once, at most.
+MISSING, WIDE_UNITS = "NaN", 4096
+
+
+def _fields(entries: str, before: Column) -> Column:
+    """The text of sorted ``entries`` (first, last, text) of positions after ``before``; positions between them are missing, repeated ones left out."""
+    last = F.concat(F.array(before), F.col(f"{entries}.last"))  # one more than the entries: that pair has no entry, hence no text
+    gap = lambda x, p: F.concat(F.repeat(F.lit(f",{MISSING}"), x["first"] - p - 1), x["text"])
+    return F.array_join(F.zip_with(entries, last, lambda x, p: F.when(x["first"] > p, gap(x, p))), "")
+
+
+def wide_lines(forcing: DataFrame, value: str, units: DataFrame, fmt: str = "%.4f") -> DataFrame:
+    """(number, time, line): a table with a row per time and a column for each of ``units``, as lines of CSV.  The header has number 0, the rows 1; they follow by time.
+
+    Units are columns of the text only, so the plan is the same for any number of them.
+    """
+    ids = units.agg(F.sort_array(F.collect_set("unit_id")).alias("ids"))  # one row, as the header is one line
+    n = units.agg(F.count_distinct("unit_id")).first()[0]
+    names = F.array_join(F.transform("ids", lambda k: F.concat(F.lit(",u"), k.cast("string"))), "")
+    head = ids.select(F.lit(0).alias("number"), F.lit(None).cast(forcing.schema["time"].dataType).alias("time"), F.concat(F.lit("time"), names).alias("line"))
+    at = forcing.join(interp.small(ids.select(F.posexplode("ids").alias("_at", "unit_id"))), "unit_id")
+    text = F.concat(F.lit(","), F.when(F.col(value).isNull() | F.isnan(value), MISSING).otherwise(F.format_string(fmt, value)))
+    at = at.select("time", F.floor(F.col("_at") / WIDE_UNITS).alias("_part"), F.struct(F.col("_at").alias("first"), F.col("_at").alias("last"), text.alias("text")).alias("_x"))
+    parts = at.groupBy("time", "_part").agg(F.sort_array(F.collect_list("_x")).alias("_e"))
+    first, last = F.col("_e")[0]["first"], F.element_at("_e", -1)["last"]
+    parts = parts.select("time", F.struct(first.alias("first"), last.alias("last"), _fields("_e", first - 1).alias("text")).alias("_x"))
+    rows = parts.groupBy("time").agg(F.sort_array(F.collect_list("_x")).alias("_e"))
+    line = F.concat(F.coalesce(F.date_format("time", "yyyy-MM-dd HH:mm:ss"), F.lit("")), _fields("_e", F.lit(-1)), F.repeat(F.lit(f",{MISSING}"), F.lit(n - 1) - last))
+    return head.unionByName(rows.select(F.lit(1).alias("number"), "time", line.alias("line")))
+
+
 def packed(forcing: DataFrame, scales: Mapping[str, float]) -> DataFrame:
     """(time, unit_id) and int16 values for a page."""
     return forcing.select("time", "unit_id", *(ph.pack_int16(F.col(v), s).alias(v) for v, s in scales.items()))

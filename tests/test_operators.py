@@ -1,10 +1,12 @@
 """Behaviour of operators on small, hand-made inputs."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from tarnspark import catalog
 from tarnspark.functions import boxes, sql
 from tarnspark.operators import aggregate, checks, downscale, graph, grids, ingest, interp, redistribute, terrain, units
 from tarnspark.plans import planner
@@ -194,6 +196,39 @@ def test_wide_has_every_unit(spark):
     assert [(r["1"], r["2"]) for r in got] == [(a[2], b[2]) for a, b in zip(data[::2], data[1::2], strict=True)]
 
 
+def test_wide_lines_hold_the_table_of_columns(spark, monkeypatch):
+    """Read back, the lines are ``wide``'s rows, however units are put together; what is missing or not a number is NaN."""
+    monkeypatch.setattr(aggregate, "WIDE_UNITS", 3)
+    times, ids = [T0 + dt.timedelta(hours=h) for h in range(3)], [7, 2, 100, 11, 5, 23, 1, 60, 9, 40]
+    data = [(t, k, 250.0 + k / 16 + h if (k + h) % 4 else None) for h, t in enumerate(times) for k in ids if (h, k) not in {(0, 1), (0, 2), (1, 11), (1, 23), (1, 40), (2, 60), (2, 100)}]
+    df = spark.createDataFrame([*data, (times[0], 7, 0.5), (times[0], 999, 1.0), (times[1], 11, math.nan)], "time timestamp_ntz, unit_id long, x double")
+    units = spark.createDataFrame([(k,) for k in [*ids, 7, None]], "unit_id long")
+    lines = aggregate.wide_lines(df, "x", units).orderBy("number", "time").collect()
+    table = [r["line"].split(",") for r in lines]
+    assert table[0] == ["time", *(f"u{k}" for k in sorted(ids))] and [r["number"] for r in lines] == [0, 1, 1, 1]
+    assert [r["time"] for r in lines] == [None, *times] and [r[0] for r in table[1:]] == [f"{t:%Y-%m-%d %H:%M:%S}" for t in times]
+    expected = {(t, k): v for t, k, v in data} | {(times[0], 7): 0.5}  # a repeated unit has the first text; a unit that isn't asked for has no column
+    for t, row in zip(times, table[1:], strict=True):
+        assert row[1:] == [f"{v:.4f}" if (v := expected.get((t, k))) is not None else "NaN" for k in sorted(ids)]
+    plain = spark.createDataFrame(data, df.schema)
+    columns = aggregate.wide(plain, "x", sorted(ids)).orderBy("time").collect()
+    back = [r["line"].split(",")[1:] for r in aggregate.wide_lines(plain, "x", units).where("number = 1").orderBy("time").collect()]
+    assert [[None if x == "NaN" else float(x) for x in row] for row in back] == [list(r)[1:] for r in columns]
+
+
+def test_wide_export_of_many_units_has_a_small_plan(spark, tmp_path):
+    """As many fields as units in each line, but the same columns: a column for each of 60,000 units filled the driver."""
+    for t in ("nation", "events"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    some = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").limit(1).drop("s_suppkey")
+    some.crossJoin(spark.range(5000).withColumnRenamed("id", "s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    hours = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.date_trunc("hour", "ts")).distinct().count()
+    df = catalog.queries()["export_csv_wide"](spark, str(tmp_path))
+    assert df.columns == ["number", "time", "line"]
+    got = df.select("number", F.size(F.split("line", ",")).alias("fields"), F.contains("line", F.lit("NaN")).alias("gaps")).groupBy("number", "fields", "gaps").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 5001, False, 1), (1, 5001, False, hours)]
+
+
 def test_chunk_sizes_and_amounts():
     assert checks.chunk_sizes((10, 10), 8) == [10, 10] and checks.chunk_sizes((8760, 100, 200), 4, 50) == [547, 100, 200]
     with pytest.raises(ValueError, match="units"):
