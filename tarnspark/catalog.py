@@ -790,7 +790,8 @@ UNION ALL SELECT 1, time, strftime(time, '%Y-%m-%d %H:%M:%S') || string_agg(','
   SELECT time, unit_id, min(CASE WHEN ta IS NULL OR isnan(ta) THEN 'NaN' ELSE printf('%.4f', {r("ta", 4)}) END) AS x FROM done WHERE unit_id IS NOT NULL GROUP BY time, unit_id) GROUP BY time"""))
 def export_csv_wide(v: Views) -> DataFrame:
     """All units as columns of a CSV file, by line."""
-    out = downscale.downscale(v.surface, v.units_w, ["temperature"]).withColumn("temperature", _r("temperature", 4))
+    number = ~F.isnan("temperature")  # the floor of what is none is 0
+    out = downscale.downscale(v.surface, v.units_w, ["temperature"]).withColumn("temperature", F.when(number, _r("temperature", 4)))
     return aggregate.wide_lines(out, "temperature", v.units)
 
 
