@@ -42,22 +42,27 @@ def _around(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, row: np.nda
     return starts[a] - starts[before], ends[after] - ends[b]
 
 
-def chunk_slice(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, _text.RangeHash]:
+    """Starts and ends of a slice's words, each row's first word, and hashes of byte ranges: what chunks and grams have in common."""
+    return *_text.words(data, at), _text.RangeHash(data)
+
+
+def chunk_slice(data: np.ndarray, at: np.ndarray, found: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end, hash, lead, tail) of the chunks of a slice; positions are bytes within the row, without white space around;
-    lead and tail are the bytes of context before and after."""
-    starts, ends, first = _text.words(data, at)
+    lead and tail are the bytes of context before and after.  ``found`` is the slice's ``words_of``, if the caller has them."""
+    starts, ends, first, hashed = found or words_of(data, at)
     n = len(starts)
     none = np.zeros(0, np.int64)
     if not n:
         return none, none, none, none, none, none
     row = np.repeat(np.arange(len(at) - 1), np.diff(first))
     closes = _END[data[ends - 1]]  # the word ends a sentence,
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    closes[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]  # or a line break follows,
+    before = np.searchsorted(ends, np.flatnonzero(data == 10), "right") - 1
+    closes[before[before >= 0]] = True  # or a line break follows,
     closes[first[1:][first[1:] > 0] - 1] = True  # or the text ends
     last = np.flatnonzero(closes)
     line_first = np.concatenate([[0], last[:-1] + 1])
-    line_hash = _text.RangeHash(data)(starts[line_first], ends[last])
+    line_hash = hashed(starts[line_first], ends[last])
     line_row, line_words = row[last], last - line_first + 1
     rolled = _text.mix(line_hash * _text.U(3))
     rolled[1:] = _text.mix(line_hash[1:] * _text.U(3) + line_hash[:-1])
@@ -76,7 +81,7 @@ def chunk_slice(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     keep = (c_lines >= LEAST_LINES) & (c_words >= LEAST_WORDS)
     a, b, r = line_first[c_first][keep], last[c_last][keep], line_row[c_last][keep]
     start, end = starts[a], ends[b]
-    return r, start - at[r], end - at[r], _text.RangeHash(data)(start, end).view(np.int64), *_around(starts, ends, first, r, a, b)
+    return r, start - at[r], end - at[r], hashed(start, end).view(np.int64), *_around(starts, ends, first, r, a, b)
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -89,20 +94,20 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-def gram_slice(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end, hash, lead, tail, again) of the chosen grams of a slice; positions as for chunks.
+def gram_slice(data: np.ndarray, at: np.ndarray, found: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, hash, lead, tail, again) of the chosen grams of a slice; positions and ``found`` as for chunks.
 
     A stretch that repeats itself within less than a gram has an equal gram at each repetition.  The first and last are kept and
     so many between that no window is without; ``again`` marks all but the first, which are no second occurrence in their own text.
     """
-    starts, ends, first = _text.words(data, at)
+    starts, ends, first, hashed = found or words_of(data, at)
     none = np.zeros(0, np.int64)
     n = len(starts) - GRAM + 1
     if n < 1:
         return none, none, none, none, none, none, np.zeros(0, bool)
     count = np.diff(first)
     row = np.repeat(np.arange(len(at) - 1), count)
-    h = _text.RangeHash(data)(starts[:n], ends[GRAM - 1 :])
+    h = hashed(starts[:n], ends[GRAM - 1 :])
     top = _text.U(2**64 - 1)
     padded = np.concatenate([np.where(row[:n] == row[GRAM - 1 :], h, top), np.full(WINDOW - 1, top)])
     whole = np.zeros(n, bool)  # windows within a row, and the only one of a row with fewer grams
@@ -136,8 +141,9 @@ def chunks(docs: DataFrame) -> DataFrame:
             data, at = _text.buffers(batch["text"])
             for i, j in _text.slices(at):
                 piece, of = data[at[i] : at[j]], at[i : j + 1] - at[i]
-                found = chunk_slice(piece, of)
-                for w, (row, *values) in enumerate(((*found, np.zeros(len(found[0]), bool)), gram_slice(piece, of))):
+                found = words_of(piece, of)
+                lines = chunk_slice(piece, of, found)
+                for w, (row, *values) in enumerate(((*lines, np.zeros(len(lines[0]), bool)), gram_slice(piece, of, found))):
                     n = np.arange(len(row)) - np.searchsorted(row, row)
                     own = pa.array(row + i)
                     kind = np.full(len(row), w == 1)
@@ -172,15 +178,22 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     return found
 
 
+def _alike(a: bytes, b: bytes, order: str) -> int:
+    """How many bytes of two strings of one length agree: from the start ("little") or from the end ("big")."""
+    if a == b:
+        return len(a)
+    differ = int.from_bytes(a, order) ^ int.from_bytes(b, order)
+    return ((differ & -differ).bit_length() - 1) >> 3
+
+
 def _grow(text: bytes, s: int, e: int, first: bytes, lead: int) -> tuple[int, int] | None:
     """The run's extent in ``text``, extended while its bytes are those around the first occurrence; None if it differs."""
     if text[s:e] != first[lead : lead + e - s]:
         return None
-    a, b = s, e
-    while a > 0 and s - a < lead and text[a - 1] == first[lead - (s - a) - 1]:
-        a -= 1
-    while b < len(text) and lead + (b - s) < len(first) and text[b] == first[lead + (b - s)]:
-        b += 1
+    most, end = min(s, lead), lead + e - s
+    a = s - _alike(text[s - most : s], first[lead - most : lead], "big")
+    most = min(len(text) - e, len(first) - end)
+    b = e + _alike(text[e : e + most], first[end : end + most], "little")
     if a < s and a > 0 and not text[a - 1 : a].isspace():  # whole words only
         while a < s and not text[a : a + 1].isspace():
             a += 1
@@ -218,11 +231,14 @@ _DONE = pa.struct([("text", pa.string()), ("spans", _SPAN)])
 
 def _clean_batch(text: pa.Array, runs: pa.Array) -> pa.Array:
     out = []
-    for t, r in zip(text, runs, strict=True):
-        if not r.is_valid or not t.is_valid:
+    if isinstance(runs, pa.ChunkedArray):
+        runs = runs.combine_chunks()
+    at, (s, e, b, lead) = runs.offsets.to_pylist(), runs.values.flatten()  # a field at a time: an object for each run takes longer
+    for t, known, i, j in zip(text, runs.is_valid(), at[:-1], at[1:], strict=True):
+        if not known.as_py() or not t.is_valid:
             out.append({"text": t.as_py(), "spans": []})
             continue
-        new, gone = remove_runs(t.as_py().encode(), [(x["s"], x["e"], x["b"], x["lead"]) for x in r.as_py()])
+        new, gone = remove_runs(t.as_py().encode(), list(zip(*(x[i:j].to_pylist() for x in (s, e, b, lead)), strict=True)))
         # a cut between the bytes of a character can't occur: both ends stand beside white space or an end of the run
         out.append({"text": new.decode(), "spans": [{"start": a, "end": b} for a, b in gone]})
     return pa.array(out, _DONE)

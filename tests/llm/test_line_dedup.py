@@ -67,6 +67,46 @@ def test_growth_stops_at_words():
     assert line_dedup.remove_runs(text, [(2, 12, first, 2)])[0] == b"x yes"
 
 
+def test_growth_reads_context_as_a_whole():
+    """Context is compared in one piece each way, not byte by byte, and as far as a byte loop would."""
+
+    class Counted(bytes):
+        reads = 0
+
+        def __getitem__(self, at):
+            Counted.reads += 1
+            return bytes.__getitem__(self, at)
+
+    own = b" ".join(b"word%d" % k for k in range(400))
+    s, e = own.index(b"word200"), own.index(b"word201") - 1
+    assert line_dedup._grow(Counted(own), s, e, own, s) == (0, len(own)) and Counted.reads < 20
+    for _ in range(500):
+        run, (x, y), (u, v) = b"run of words", *([b"".join(rnd.choice([b"a", b"b", b" "]) for _ in range(rnd.randrange(12))) for _ in range(2)] for _ in range(2))
+        i, j = 0, 0
+        while i < min(len(x), len(u)) and x[-i - 1] == u[-i - 1]:
+            i += 1
+        while j < min(len(y), len(v)) and y[j] == v[j]:
+            j += 1
+        assert line_dedup._alike(x[len(x) - min(len(x), len(u)) :], u[len(u) - min(len(x), len(u)) :], "big") == i
+        assert line_dedup._alike(y[: min(len(y), len(v))], v[: min(len(y), len(v))], "little") == j
+        a, b = line_dedup._grow(x + run + y, len(x), len(x) + len(run), u + run + v, len(u))
+        assert len(x) - i <= a <= len(x) and len(x) + len(run) <= b <= len(x) + len(run) + j
+
+
+def test_chunks_and_grams_share_words(monkeypatch):
+    """Words and hashes of a slice are made once for both; with or without them the result is the same."""
+    import numpy as np
+
+    texts = [prose(9).encode(), b"", b"\n\n one. two\nthree", b"\n" + prose(40).encode() + b"\n \n", " ".join(plain(120)).encode()]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    found = line_dedup.words_of(data, at)
+    apart = line_dedup.chunk_slice(data, at), line_dedup.gram_slice(data, at)
+    monkeypatch.setattr(line_dedup._text, "words", None)
+    monkeypatch.setattr(line_dedup._text, "RangeHash", None)
+    for one, other in zip(apart, (line_dedup.chunk_slice(data, at, found), line_dedup.gram_slice(data, at, found)), strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(one, other, strict=True)) and len(one[0])
+
+
 def test_inserted_line_moves_boundaries_only_nearby():
     import numpy as np
 
